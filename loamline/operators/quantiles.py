@@ -21,8 +21,12 @@ def exact_quantiles(
     probs: Mapping[str, float],
     layout: Layout = DEFAULT,
     width: float | None = None,
+    weight: str | None = None,
 ) -> DataFrame:
-    """Linearly interpolated quantiles per key, plus ``samples`` and ``mean``; null and NaN values are left out."""
+    """Linearly interpolated quantiles per key, plus ``samples`` and ``mean``; null and NaN values are left out.
+
+    With ``weight``, a row stands for that many equal values.
+    """
     keys = list(keys)
     bucket = F.floor(F.col("_v") / F.lit(width or layout.value_width)).cast("long")
     # The bucket and the null tests are set before counting, so that both uses below share one shuffle.
@@ -30,12 +34,12 @@ def exact_quantiles(
     for key in keys:
         present = present.where(F.col(key).isNotNull())
     counted = (
-        present.select(*keys, F.col(value).alias("_v"))
+        present.select(*keys, F.col(value).alias("_v"), (F.col(weight) if weight else F.lit(1)).alias("_w"))
         .where(F.col("_v").isNotNull() & ~F.isnan("_v"))
         .withColumn("_b", bucket)
         .where(F.col("_b").isNotNull())
         .groupBy(*keys, "_b", "_v")
-        .agg(F.count(F.lit(1)).alias("_c"))
+        .agg(F.sum("_w").alias("_c"))
     )
     by_bucket = Window.partitionBy(*keys).orderBy("_b")
     totals = (

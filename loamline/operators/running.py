@@ -29,14 +29,16 @@ def index_rows(
     layout: Layout = DEFAULT,
     rn: str = "rn",
     n: str = "n",
+    bucket: str | None = None,
 ) -> DataFrame:
     """Add the 1-based position ``rn`` of each row in its key and the key's row count ``n``.
 
-    ``order[0]`` is the time. Rows are numbered inside a time bucket, then shifted by the count of the earlier
-    buckets. The join of the two sides uses the window's own partitioning.
+    Rows are numbered inside a bucket, then shifted by the count of the earlier buckets. The bucket is the period
+    of the time ``order[0]``, or a given column that never decreases along the order: with the ``block`` of an
+    earlier window, the rows are renumbered without another shuffle.
     """
     keys = list(keys)
-    bucketed = df.withColumn("_bucket", time_bucket(order[0], layout))
+    bucketed = df.withColumn("_bucket", F.col(bucket) if bucket else time_bucket(order[0], layout))
     counts = bucketed.groupBy(*keys, "_bucket").agg(F.count(F.lit(1)).alias("_c"))
     by_bucket = Window.partitionBy(*keys).orderBy("_bucket")
     offsets = counts.select(
