@@ -121,7 +121,7 @@ def running(
 ) -> DataFrame:
     """Running aggregates from a key's first row to the current one: ``{output: (kind, column)}``.
 
-    Kinds: ``sum``, ``max``, ``last`` (last non-null so far) and ``first_after`` (first non-null from here on).
+    Kinds: ``sum``, ``max``, ``min``, ``last`` (last non-null so far) and ``first_after`` (first non-null from here on).
     Each block is scanned on its own and shifted by the aggregate of the blocks before (or after) it.
     Rows must carry ``block``, a value that never decreases along the order.
     """
@@ -131,6 +131,7 @@ def running(
     whole = {
         "sum": F.sum,
         "max": F.max,
+        "min": F.min,
         "last": lambda c: F.max_by(c, F.when(F.col(c).isNotNull(), mark)),
         "first_after": lambda c: F.min_by(c, F.when(F.col(c).isNotNull(), mark)),
     }
@@ -141,6 +142,7 @@ def running(
     over_blocks = {
         "sum": lambda c: F.sum(c).over(earlier),
         "max": lambda c: F.max(c).over(earlier),
+        "min": lambda c: F.min(c).over(earlier),
         "last": lambda c: F.last(c, ignorenulls=True).over(earlier),
         "first_after": lambda c: F.first(c, ignorenulls=True).over(later),
     }
@@ -152,6 +154,7 @@ def running(
     inside = {
         "sum": lambda c: F.sum(c).over(so_far),
         "max": lambda c: F.max(c).over(so_far),
+        "min": lambda c: F.min(c).over(so_far),
         "last": lambda c: F.last(c, ignorenulls=True).over(so_far),
         "first_after": lambda c: F.first(c, ignorenulls=True).over(from_here),
     }
@@ -161,6 +164,7 @@ def running(
             F.coalesce(i, F.lit(0)) + F.coalesce(c, F.lit(0))
         ),
         "max": lambda i, c: F.greatest(i, c),
+        "min": lambda i, c: F.least(i, c),
         "last": lambda i, c: F.coalesce(i, c),
         "first_after": lambda i, c: F.coalesce(i, c),
     }

@@ -38,7 +38,7 @@ def check_sites(sites: DataFrame) -> DataFrame:
 
 def integrate_depths(df: DataFrame, weights: Mapping[int, float] = DEFAULT_WEIGHTS) -> DataFrame:
     """Add ``weight_fraction``, ``theta_rz`` and ``is_valid`` from ``soil_moisture_<d>cm`` (only usable values kept)."""
-    layers = {d: F.col(f"soil_moisture_{d}cm") for d in DEPTHS}
+    layers = {d: F.col(f"soil_moisture_{d}cm") for d in DEPTHS if f"soil_moisture_{d}cm" in df.columns}
     return (
         df.withColumn("weight_fraction", water.weight_fraction(layers, weights))
         .withColumn("theta_rz", water.root_zone_theta(layers, F.col("weight_fraction"), weights))

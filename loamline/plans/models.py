@@ -19,6 +19,7 @@ from loamline.operators.running import attach
 from loamline.operators.series import KEYS, by_horizon, long_enough
 from loamline.plans.walk_forward import split_states
 from loamline.schemas import HORIZONS
+from loamline.stage import stage
 
 WEATHER = ["event_time", "precip_mm", "solar_rad_wm2", "air_temp_c"]
 AR, ARX = "M1_AUTOREGRESSIVE", "M2_ENVIRONMENTAL_ARX"
@@ -32,7 +33,8 @@ def featured_series(rows: DataFrame, order: Sequence[str], target: Column | None
     keep = ["theta_rz", "soil_moisture_10cm", *WEATHER]
     series = long_enough(split_states(rows, order, keep, fraction, layout), horizons)
     y = target if target is not None else F.col("theta_rz")
-    return with_features(series.withColumn("y", y), horizons, oracle=oracle, layout=layout)
+    featured = with_features(series.withColumn("y", y), horizons, oracle=oracle, layout=layout)
+    return stage(featured.drop("core"), "features")
 
 
 def _map_of(df: DataFrame, key: Column, fields: Sequence[str], name: str) -> DataFrame:
@@ -85,7 +87,7 @@ def in_sample_spread(featured: DataFrame, weights: DataFrame, horizons: Sequence
 def ladder_points(featured: DataFrame, horizons: Sequence[int], bounds, fraction: float = 0.5, level: float = 0.25,
                   intervals: bool = True, layout: Layout = DEFAULT) -> DataFrame:
     """Test rows per horizon with the point of every model (and its 80 % interval)."""
-    weights = ridge.fit(featured, horizons, level)
+    weights = stage(ridge.fit(featured, horizons, level), "weights")
     learnt = _map_of(weights, F.concat_ws("@", "model", "horizon").alias("k"), ["bias", "weights"], "w")
     if intervals:
         residual = U.residual_counts(featured, horizons)
@@ -187,7 +189,7 @@ METHODS = ["U0_STATIC_QUANTILES", "U1_HORIZON_DISPERSION_MAD", "U2_REGIME_CONDIT
 def interval_params(featured: DataFrame, horizons: Sequence[int], coverages: Sequence[float], fraction: float,
                     layout: Layout = DEFAULT, methods: Sequence[str] = METHODS) -> DataFrame:
     """Parameters of the wanted calibrators, one row per station keyed to its test series."""
-    residuals = U.residual_counts(featured, horizons, ["regime"])
+    residuals = stage(U.residual_counts(featured, horizons, ["regime"]), "residuals")
     names = list(U.interval_probs(coverages))
     out = None
     parts = []
