@@ -37,7 +37,7 @@ class Layout:
     @staticmethod
     def of(df: DataFrame, span_days: float = 365.0) -> Layout:
         """Layout from the planner's size estimate of the input; runs no job."""
-        size = float(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes().toString())
+        size = float(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
         return Layout.for_bytes(size, span_days)
 
 

@@ -115,10 +115,11 @@ def first_rows(df: DataFrame, count: int, order: Sequence[str]) -> DataFrame:
     return df.orderBy(*order).limit(count)
 
 
-def order_inversions(df: DataFrame, time: str, arrival: str) -> DataFrame:
-    """Adjacent pairs out of time order, given an arrival position with no gaps (self-join on the next position)."""
-    after = df.select((F.col(arrival) - 1).alias(arrival), F.col(time).alias("_next"))
-    return df.join(after, arrival).agg(F.count_if(F.col(time) > F.col("_next")).alias("inversions"))
+def order_inversions(df: DataFrame, time: str, arrival: str, key: str = "source_id") -> DataFrame:
+    """Per station, adjacent pairs out of time order, given a gap-free arrival position (join on the next position)."""
+    after = df.select(key, (F.col(arrival) - 1).alias(arrival), F.col(time).alias("_next"))
+    return df.join(after, [key, arrival], "left").groupBy(key).agg(
+        F.count_if(F.col(time) > F.col("_next")).alias("inversions"))
 
 
 def site_status(states: DataFrame, counters: DataFrame, recent: int = 48, key: str = "source_id") -> DataFrame:

@@ -37,7 +37,7 @@ def featured_series(rows: DataFrame, order: Sequence[str], target: Column | None
     return stage(featured.drop("core"), "features")
 
 
-def _map_of(df: DataFrame, key: Column, fields: Sequence[str], name: str) -> DataFrame:
+def map_of(df: DataFrame, key: Column, fields: Sequence[str], name: str) -> DataFrame:
     return df.groupBy("source_id").agg(
         F.map_from_entries(F.collect_list(F.struct(key, F.struct(*fields)))).alias(name)
     )
@@ -66,7 +66,7 @@ def vectors(names: Sequence[str]) -> list[Column]:
 def in_sample_spread(featured: DataFrame, weights: DataFrame, horizons: Sequence[int], bounds,
                      layout: Layout = DEFAULT) -> DataFrame:
     """10/90 % residual quantiles of each fitted model on its own train rows (unclipped, as fitted)."""
-    learnt = _map_of(weights, F.concat_ws("@", "model", "horizon").alias("k"), ["bias", "weights"], "w")
+    learnt = map_of(weights, F.concat_ws("@", "model", "horizon").alias("k"), ["bias", "weights"], "w")
     train = featured.where("is_train")
     lengths = train.groupBy("source_id").agg(F.max("n").alias("n"), F.max("split").alias("split"))
     rows = attach(train, lengths.join(learnt, "source_id"), KEYS, layout=layout, how="inner")
@@ -88,7 +88,7 @@ def ladder_points(featured: DataFrame, horizons: Sequence[int], bounds, fraction
                   intervals: bool = True, layout: Layout = DEFAULT) -> DataFrame:
     """Test rows per horizon with the point of every model (and its 80 % interval)."""
     weights = stage(ridge.fit(featured, horizons, level), "weights")
-    learnt = _map_of(weights, F.concat_ws("@", "model", "horizon").alias("k"), ["bias", "weights"], "w")
+    learnt = map_of(weights, F.concat_ws("@", "model", "horizon").alias("k"), ["bias", "weights"], "w")
     if intervals:
         residual = U.residual_counts(featured, horizons)
         b0 = exact_quantiles(residual, ["source_id", "horizon"], "residual", {"q10": 0.1, "q90": 0.9}, layout, None,
@@ -96,7 +96,7 @@ def ladder_points(featured: DataFrame, horizons: Sequence[int], bounds, fraction
         own = in_sample_spread(featured, weights, horizons, bounds, layout)
         spread = b0.unionByName(own)
         learnt = learnt.join(
-            _map_of(spread, F.concat_ws("@", "model", "horizon").alias("k"), ["q10", "q90"], "spread"),
+            map_of(spread, F.concat_ws("@", "model", "horizon").alias("k"), ["q10", "q90"], "spread"),
             "source_id", "full",
         )
     params = for_test_rows(learnt, train_summary(featured), fraction)
@@ -163,7 +163,7 @@ def oracle_ablation(featured: DataFrame, horizons: Sequence[int] = HORIZONS, bou
                     layout: Layout = DEFAULT) -> DataFrame:
     """What perfect future rain would be worth. ``featured`` must carry the oracle columns."""
     weights = ridge.fit(featured, horizons, oracle=True)
-    learnt = _map_of(weights, F.concat_ws("@", "model", "horizon").alias("k"), ["bias", "weights"], "w")
+    learnt = map_of(weights, F.concat_ws("@", "model", "horizon").alias("k"), ["bias", "weights"], "w")
     params = for_test_rows(learnt, train_summary(featured), fraction)
     test = attach(featured.where(~F.col("is_train")), params, KEYS, layout=layout)
     rain = F.map_from_arrays(F.array(*[F.lit(h) for h in horizons]), F.array(*[f"oracle_rain_{h}" for h in horizons]))
@@ -194,12 +194,12 @@ def interval_params(featured: DataFrame, horizons: Sequence[int], coverages: Seq
     out = None
     parts = []
     if METHODS[0] in methods:
-        parts.append(_map_of(U.fit_static(residuals, coverages, layout), F.col("horizon"), names, "u0"))
+        parts.append(map_of(U.fit_static(residuals, coverages, layout), F.col("horizon"), names, "u0"))
     if METHODS[1] in methods:
-        parts.append(_map_of(U.fit_dispersion(residuals, layout), F.col("horizon"), ["bias", "scale"], "u1"))
+        parts.append(map_of(U.fit_dispersion(residuals, layout), F.col("horizon"), ["bias", "scale"], "u1"))
     if METHODS[2] in methods:
         key = F.concat_ws("@", "regime", "horizon").alias("k")
-        parts.append(_map_of(U.fit_regimes(residuals, coverages, layout), key, names, "u2"))
+        parts.append(map_of(U.fit_regimes(residuals, coverages, layout), key, names, "u2"))
     if METHODS[3] in methods:
         parts.append(U.fit_power_law(residuals))
     for part in parts:
@@ -252,7 +252,7 @@ def site_evaluation(featured: DataFrame, horizons: Sequence[int] = HORIZONS, bou
                     layout: Layout = DEFAULT) -> DataFrame:
     """Per station and horizon: persistence, both regressions, the hybrid, and U0/U2 interval quality."""
     use = [METHODS[0], METHODS[2]]
-    weights = _map_of(ridge.fit(featured, horizons), F.concat_ws("@", "model", "horizon").alias("k"),
+    weights = map_of(ridge.fit(featured, horizons), F.concat_ws("@", "model", "horizon").alias("k"),
                       ["bias", "weights"], "w")
     params = interval_params(featured, horizons, [0.8], fraction, layout, use).join(weights, "source_id", "left")
     test = attach(featured.where(~F.col("is_train")), params, KEYS, layout=layout)

@@ -10,9 +10,13 @@ from pyspark.sql import functions as F
 from loamline.layout import DEFAULT, Layout
 from loamline.operators import decision as D
 from loamline.operators import qc
+from loamline.operators import uncertainty as U
 from loamline.operators.filters import FilterRules, filter_alerts
-from loamline.operators.running import index_rows, running
+from loamline.operators.forecast import fan_out
+from loamline.operators.quantiles import exact_quantiles
+from loamline.operators.running import attach, index_rows, running
 from loamline.operators.state import build_states
+from loamline.plans import models as M
 from loamline.stage import stage
 
 
@@ -60,3 +64,20 @@ def decision_cycle(rows: DataFrame, order: Sequence[str], sites: DataFrame | Non
     alerts = filter_alerts(decision_candidates(events, sites, prior, layout=layout), rules, layout)
     cycles = events.select("source_id", "step", "event_time", "quarantined")
     return D.cycle_class(cycles, alerts.where("status = 'CONFIRMED'")), alerts
+
+
+def risk_forecasts(featured: DataFrame, horizons: Sequence[int], threshold: float, fraction: float = 0.5,
+                   bounds: tuple[float, float] = (-0.5, 1.5), layout: Layout = DEFAULT) -> DataFrame:
+    """Depletion forecasts of the test rows with their 80 % interval and exceedance probability, one per horizon.
+
+    ``featured`` is a series whose target ``y`` is the depletion fraction.
+    """
+    residuals = stage(U.residual_counts(featured, horizons), "residuals")
+    spread = exact_quantiles(residuals, U.KEY, "residual", {"q10": 0.1, "q90": 0.9}, layout, weight="weight")
+    learnt = M.map_of(spread, F.col("horizon"), ["q10", "q90"], "spread")
+    params = M.for_test_rows(learnt, M.train_summary(featured), fraction)
+    test = attach(featured.where(~F.col("is_train")), params, M.KEYS, layout=layout)
+    rows = fan_out(test.select("source_id", "rn", "event_time", F.col("y").alias("depletion_fraction"), "spread"), horizons)
+    low, high = D.interval_80(F.col("spread")[F.col("horizon")], F.col("depletion_fraction"), bounds)
+    points = rows.withColumns({"point": F.col("depletion_fraction"), "low": low, "high": high}).drop("spread")
+    return U.exceedance(residuals, points, threshold, layout)
