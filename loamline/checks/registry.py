@@ -8,6 +8,7 @@ from collections.abc import Callable, Sequence
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from loamline.checks.sql import oracle_sql, scale
 from loamline.functions.keys import ingress_key, iso_utc, natural_key
 from loamline.layout import Layout
 from loamline.operators import audit, episodes, faults, filters, qc, ridge
@@ -39,6 +40,10 @@ def r6(df: DataFrame, digits: int = 6) -> DataFrame:
     ])
 
 
+def r9(df: DataFrame) -> DataFrame:
+    return r6(df, 9)
+
+
 def _series(spark, d):
     rows = T.supplier_series(spark, d)
     return rows, Layout.of(rows, 2500)
@@ -78,7 +83,7 @@ def walk_forward_persistence(spark, d):
 
 def walk_forward_by_source(spark, d):
     rows, lay = _series(spark, d)
-    return r6(persistence_walk_forward(rows, ORDER, by=("source_id", "horizon"), layout=lay))
+    return r9(persistence_walk_forward(rows, ORDER, by=("source_id", "horizon"), layout=lay))
 
 
 def root_zone_state(spark, d):
@@ -130,7 +135,7 @@ def site_status(spark, d):
     indexed = stage(index_rows(states, ["source_id"], ORDER, lay).where("n >= 218").select(
         "source_id", "event_time", "rn", "n", "theta_rz", "depletion_fraction"), "status")
     counters = rows.groupBy("source_id").agg(F.count(F.lit(1)).alias("ingested"))
-    return r6(audit.site_status(indexed, counters))
+    return r9(audit.site_status(indexed, counters))
 
 
 def _flag_counts(flagged):
@@ -270,7 +275,7 @@ def _persistence(spark, d):
 
 
 def forecast_persistence(spark, d):
-    return r6(_persistence(spark, d).select("source_id", "step", "horizon", "valid_time", "support", "point", *QUANTILES))
+    return r9(_persistence(spark, d).select("source_id", "step", "horizon", "valid_time", "support", "point", *QUANTILES))
 
 
 def forecast_events(spark, d):
@@ -281,7 +286,7 @@ def forecast_events(spark, d):
 
 def forecast_mean_expanding(spark, d):
     s, lay = _split(spark, d)
-    return r6(FC.expanding_mean(s, layout=lay).select("source_id", "split", "rn", "point"))
+    return r9(FC.expanding_mean(s, layout=lay).select("source_id", "split", "rn", "point"))
 
 
 def forecast_ewma(spark, d):
@@ -290,9 +295,15 @@ def forecast_ewma(spark, d):
 
 
 def _gram(spark, d, names: Sequence[str]):
+    """Mean products per horizon: the sums of the models over the rows, in units that keep them small."""
     f, _ = _featured(spark, d)
-    rows = ridge.training_rows(f, HORIZONS, names)
-    return r6(ridge.cross_sums(rows, names, ["horizon"]))
+    sums = ridge.cross_sums(ridge.training_rows(f, HORIZONS, names), names, ["horizon"])
+    unit = [float(scale(n)) for n in names]
+    mean = lambda c, u=1.0: (F.col(c) / F.col("rows") / F.lit(u)).alias(c)
+    p = range(len(names))
+    return r6(sums.select(
+        "horizon", "rows", mean("s_t"), *[mean(f"s_{i}", unit[i]) for i in p], *[mean(f"t_{i}", unit[i]) for i in p],
+        *[mean(f"c_{i}_{j}", unit[i] * unit[j]) for i in p for j in p if i <= j]))
 
 
 def ridge_gram_ar(spark, d):
@@ -351,7 +362,7 @@ def fallback_routing(spark, d):
 
 def residual_quantiles(spark, d):
     f, lay = _featured(spark, d)
-    return r6(U.residual_stats(stage(U.residual_counts(f, HORIZONS), "residuals"), QUANTILES, lay))
+    return r9(U.residual_stats(stage(U.residual_counts(f, HORIZONS), "residuals"), QUANTILES, lay))
 
 
 def _residuals(spark, d):
@@ -361,7 +372,7 @@ def _residuals(spark, d):
 
 def interval_u0_static(spark, d):
     res, lay = _residuals(spark, d)
-    return r6(U.fit_static(res, [0.8, 0.9], lay).select("source_id", "horizon", "lo_80", "hi_80", "lo_90", "hi_90"))
+    return r9(U.fit_static(res, [0.8, 0.9], lay).select("source_id", "horizon", "lo_80", "hi_80", "lo_90", "hi_90"))
 
 
 def interval_u1_mad(spark, d):
@@ -371,7 +382,7 @@ def interval_u1_mad(spark, d):
 
 def interval_u2_regime(spark, d):
     res, lay = _residuals(spark, d)
-    return r6(U.fit_regimes(res, [0.8], lay).select("source_id", "horizon", "regime", "lo_80", "hi_80"))
+    return r9(U.fit_regimes(res, [0.8], lay).select("source_id", "horizon", "regime", "lo_80", "hi_80"))
 
 
 def interval_u3_power(spark, d):
@@ -652,6 +663,4 @@ def _utc(fn):
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    from loamline.checks.sql import oracle_sql
-
     return {name: _utc(globals()[name]) for name in [*oracle_sql(), *ROWS_ONLY]}

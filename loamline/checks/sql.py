@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+# Results made of short decimals: at six digits they would be rounding ties.
+NINE_DIGITS = ["walk_forward_by_source", "site_status", "forecast_persistence", "forecast_mean_expanding",
+               "residual_quantiles", "interval_u0_static", "interval_u2_regime"]
 HORIZONS = [1, 6, 12, 24, 48, 72, 168]
 ORDER = ("event_time, l_orderkey, l_linenumber, l_partkey, l_quantity, l_extendedprice, l_discount, l_tax, "
          "l_returnflag, l_linestatus")
@@ -91,14 +94,19 @@ def shift(f: str) -> str:
     return {"temp_now": "15", "temp_mean_24": "15", "solar_now": "200", "solar_sum_24": "4800"}.get(f, "0.25" if f.startswith("lag") else "0")
 
 
+def scale(f: str) -> str:
+    return {"solar_now": "100", "solar_sum_24": "1000", "temp_now": "10", "temp_mean_24": "10", "rain_72": "10"}.get(f, "1")
+
+
 def gram(features: list[str]) -> str:
-    cols = ", ".join(f"(f.{x} - {shift(x)}::DOUBLE) AS x{i}" for i, x in enumerate(features))
-    sums = [r("sum(t)", "s_t")] + [r(f"sum(x{i})", f"s_{i}") for i in range(len(features))]
-    sums += [r(f"sum(x{i} * t)", f"t_{i}") for i in range(len(features))]
-    sums += [r(f"sum(x{i} * x{j})", f"c_{i}_{j}") for i in range(len(features)) for j in range(len(features)) if i <= j]
+    """Mean products of the shifted features, in units that keep them small."""
+    cols = ", ".join(f"(f.{x} - {shift(x)}::DOUBLE) / {scale(x)}::DOUBLE AS x{i}" for i, x in enumerate(features))
+    means = [r("avg(t)", "s_t")] + [r(f"avg(x{i})", f"s_{i}") for i in range(len(features))]
+    means += [r(f"avg(x{i} * t)", f"t_{i}") for i in range(len(features))]
+    means += [r(f"avg(x{i} * x{j})", f"c_{i}_{j}") for i in range(len(features)) for j in range(len(features)) if i <= j]
     return f"""WITH {FPAIRS}, g AS (SELECT p.source_id, p.horizon, p.y_ahead - 0.25::DOUBLE AS t, {cols}
       FROM pr p JOIN fx f USING (source_id, split, rn) WHERE p.split = 'train' AND f.n > p.horizon + 50)
-      SELECT horizon, count(*) AS rows, {', '.join(sums)} FROM g GROUP BY horizon"""
+      SELECT horizon, count(*) AS rows, {', '.join(means)} FROM g GROUP BY horizon"""
 
 
 def _z(c: str) -> str:
@@ -386,4 +394,6 @@ def oracle_sql() -> dict[str, str]:
         "stream_late_split": "SELECT (event_id % 5 = 0) AS late, count(*) AS events FROM events GROUP BY ALL",
         "operations_counters": f"WITH {QC} SELECT count(*) AS ingested, count(*) FILTER (quarantined) AS quarantined, round(count(*) FILTER (quarantined) * 100.0::DOUBLE / count(*), 6) AS quarantined_pct FROM qc",
     }
+    for name in NINE_DIGITS:
+        out[name] = out[name].replace(", 6) AS", ", 9) AS")
     return {k: " ".join(v.split()) for k, v in out.items()}
