@@ -109,8 +109,8 @@ def forecast_rules() -> list[Column]:
 
 def alert_events(candidates: DataFrame, site: Column | None = None) -> DataFrame:
     """Candidate rows -> alert contract rows with a deterministic id and no actuation."""
-    key = F.concat_ws("|", F.col("source_id").cast("string"), F.col("step").cast("string"), F.col("ord").cast("string"),
-                      "category", "threshold_type")
+    key = F.concat_ws("|", F.col("source_id").cast("string"), F.col("event_time").cast("string"),
+                      F.col("step").cast("string"), F.col("ord").cast("string"), "category", "threshold_type")
     return candidates.select(
         F.lit("1.0.0").alias("schema_version"),
         F.sha2(key, 256).alias("alert_id"),

@@ -14,8 +14,8 @@ from loamline.operators import uncertainty as U
 from loamline.operators.filters import FilterRules, filter_alerts
 from loamline.operators.forecast import fan_out
 from loamline.operators.quantiles import exact_quantiles
-from loamline.operators.running import attach, index_rows, running
-from loamline.operators.state import build_states
+from loamline.operators.running import attach, block_of, index_rows, running
+from loamline.operators.state import build_states, widen_moisture
 from loamline.plans import models as M
 from loamline.stage import stage
 
@@ -23,9 +23,15 @@ from loamline.stage import stage
 def checked_events(rows: DataFrame, order: Sequence[str], layout: Layout = DEFAULT) -> DataFrame:
     """Wide events with flags, quarantine columns and the station's cycle number ``step``.
 
-    ``rain_last`` becomes the last rain of a non-quarantined event, as the deviation rules want it.
+    Moisture that is not VALID is null from here on. ``rain_last`` becomes the last rain of a non-quarantined event,
+    as the deviation rules want it.
     """
-    flagged = stage(qc.wide_quarantine(qc.check_wide(rows, order, layout)), "flagged")
+    checked = qc.usable_moisture(qc.wide_quarantine(qc.check_wide(rows, order, layout)))
+    return with_rain_memory(stage(checked, "flagged"))
+
+
+def with_rain_memory(flagged: DataFrame) -> DataFrame:
+    """Number the cycles and carry the last rain of accepted events (rows have rn and block)."""
     accepted = F.when(~F.col("quarantined"), F.greatest(F.lit(0.0), F.col("precip_mm")))
     memory = running(flagged.drop("rain_last").withColumn("_rain", accepted), ["source_id"],
                      {"rain_last": ("last", "_rain")})
@@ -33,10 +39,21 @@ def checked_events(rows: DataFrame, order: Sequence[str], layout: Layout = DEFAU
         "_rain")
 
 
+def events_from_readings(readings: DataFrame, order: Sequence[str], layout: Layout = DEFAULT) -> DataFrame:
+    """Long readings (with injected faults or absent sensors) -> the same event rows as ``checked_events``."""
+    event = ["source_id", *order]
+    checked = stage(qc.check_long(readings, order, layout), "checked")
+    summary = qc.summarise_events(checked, event)
+    moisture = widen_moisture(checked, event)
+    rain = checked.where("variable_name = 'precipitation'").groupBy(*event).agg(F.max("value").alias("precip_mm"))
+    wide = summary.join(moisture, event).join(rain, event, "left")
+    numbered = index_rows(wide, ["source_id"], order, layout).withColumn("block", block_of("rn", layout))
+    return with_rain_memory(stage(numbered.withColumn("rain_last", F.lit(0.0)), "events"))
+
+
 def accepted_states(events: DataFrame, sites: DataFrame | None = None) -> DataFrame:
-    """Valid states of the non-quarantined events (flags applied, position of the event kept)."""
-    usable = qc.usable_moisture(events.where("not quarantined"))
-    return build_states(usable, sites).where("is_valid")
+    """Valid states of the non-quarantined events (the event's position is kept)."""
+    return build_states(events.where("not quarantined"), sites).where("is_valid")
 
 
 def decision_candidates(events: DataFrame, sites: DataFrame | None = None, prior: str | None = None,

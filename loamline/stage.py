@@ -16,13 +16,14 @@ SETTING = "spark.checkpoint.dir"
 
 
 def stage_folder(spark: SparkSession) -> str:
-    """The cluster's checkpoint folder; a new temporary folder where none is set (local runs)."""
-    folder = spark.conf.get(SETTING, None) or spark.sparkContext.getConf().get(SETTING)
+    """The cluster's checkpoint folder; where none is set (local runs), the context's or a new temporary one."""
+    context = spark.sparkContext
+    folder = spark.conf.get(SETTING, None) or context.getCheckpointDir()
     if not folder:
-        if not spark.sparkContext.master.startswith("local"):
+        if not context.master.startswith("local"):
             raise ValueError(f"set {SETTING} to a folder that all executors share")
-        folder = tempfile.mkdtemp(prefix="loamline-")
-        spark.conf.set(SETTING, folder)
+        context.setCheckpointDir(tempfile.mkdtemp(prefix="loamline-"))
+        folder = context.getCheckpointDir()
     return folder
 
 
