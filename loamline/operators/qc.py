@@ -136,20 +136,22 @@ def check_long(readings: DataFrame, order: Sequence[str], layout: Layout = DEFAU
     """Flag readings (source, time order, ord, sensor, variable, depth, value, unit, qc_flag).
 
     Readings already SYNTHETIC_CORRUPTED keep their flag and are left out of their sensor's history, but an
-    injected rain value still counts as the last known rain.
+    injected rain value still counts as the last known rain. Adds the event's position ``event_rn`` unless the
+    readings have one.
     """
+    position = "_event_rn" if "event_rn" in readings.columns else "event_rn"
     rain = F.when(F.col("variable_name") == "precipitation", F.col("value"))
     events = readings.groupBy(key, *order).agg(F.max_by(rain, F.when(rain.isNotNull(), F.col("ord"))).alias("_rain"))
-    numbered = index_rows(events, [key], order, layout, rn="event_rn", n="_n").drop("_n")
-    blocks = numbered.withColumn("block", block_of("event_rn", layout))
-    known = running(blocks, [key], {"rain_last": ("last", "_rain")}, rn="event_rn")
+    numbered = index_rows(events, [key], order, layout, rn=position, n="_n").drop("_n")
+    blocks = numbered.withColumn("block", block_of(position, layout))
+    known = running(blocks, [key], {"rain_last": ("last", "_rain")}, rn=position)
     known = known.withColumn("rain_last", F.coalesce(F.col("rain_last"), F.lit(0.0))).drop("_rain")
     rows = readings.join(known.withColumnRenamed("block", "event_block"), [key, *order])
     fixed = rows.where(F.col("qc_flag") == "SYNTHETIC_CORRUPTED")
     live = rows.where(F.col("qc_flag") != "SYNTHETIC_CORRUPTED")
     sensor = [key, "sensor_id"]
     history = with_halo(
-        index_rows(live, sensor, ["event_rn", "ord"], layout, bucket="event_block"), before=steps - 1, layout=layout
+        index_rows(live, sensor, [position, "ord"], layout, bucket="event_block"), before=steps - 1, layout=layout
     )
     w = block_window(sensor)
     frame = w.rowsBetween(-(steps - 1), 0)
@@ -168,7 +170,7 @@ def check_long(readings: DataFrame, order: Sequence[str], layout: Layout = DEFAU
         stuck(F.col("_cnt"), F.col("_lo"), F.col("_hi"), F.col("_old"), variable, F.col("depth_cm"), steps),
     )
     checked = core_rows(seen.withColumn("qc_flag", flag)).select(*rows.columns)
-    return checked.unionByName(fixed).drop("event_block")
+    return checked.unionByName(fixed).drop("event_block", "_event_rn")
 
 
 def reason_text(steps: int = STUCK_STEPS) -> Column:
