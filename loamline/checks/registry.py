@@ -297,12 +297,12 @@ def forecast_ewma(spark, d):
 def _gram(spark, d, names: Sequence[str]):
     """Mean products per horizon: the sums of the models over the rows, in units that keep them small."""
     f, _ = _featured(spark, d)
-    sums = ridge.cross_sums(ridge.training_rows(f, HORIZONS, names), names, ["horizon"])
+    sums = ridge.cross_sums(f, HORIZONS, names, keys=["horizon"])
     unit = [float(scale(n)) for n in names]
     mean = lambda c, u=1.0: (F.col(c) / F.col("rows") / F.lit(u)).alias(c)
     p = range(len(names))
     return r6(sums.select(
-        "horizon", "rows", mean("s_t"), *[mean(f"s_{i}", unit[i]) for i in p], *[mean(f"t_{i}", unit[i]) for i in p],
+        "horizon", F.col("rows").cast("long").alias("rows"), mean("s_t"), *[mean(f"s_{i}", unit[i]) for i in p], *[mean(f"t_{i}", unit[i]) for i in p],
         *[mean(f"c_{i}_{j}", unit[i] * unit[j]) for i in p for j in p if i <= j]))
 
 

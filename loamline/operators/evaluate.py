@@ -89,11 +89,11 @@ def score_persistence(
     """
     learnt = learn_persistence(paired, horizons, fraction, {"q10": 0.1, "q90": 0.9}, layout)
     test = attach(paired.where(~F.col("is_train")), learnt, KEYS, layout=layout)
-    scored = by_horizon(test, horizons, ["source_id", "y", "spread", "train_mean"]).withColumns(
+    scored = by_horizon(test, horizons, ["source_id", "y", "train_mean"], maps=["spread"]).withColumns(
         {
             "error": F.col("y_ahead") - F.col("y"),
-            "low": clip(F.col("y") + F.coalesce(F.col("spread")[F.col("horizon")]["q10"], F.lit(0.0)), *bounds),
-            "high": clip(F.col("y") + F.coalesce(F.col("spread")[F.col("horizon")]["q90"], F.lit(0.0)), *bounds),
+            "low": clip(F.col("y") + F.coalesce(F.col("spread")["q10"], F.lit(0.0)), *bounds),
+            "high": clip(F.col("y") + F.coalesce(F.col("spread")["q90"], F.lit(0.0)), *bounds),
             "mean_error": F.col("y_ahead") - F.col("train_mean"),
         }
     )

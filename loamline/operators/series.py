@@ -59,11 +59,16 @@ def with_targets_by_time(df: DataFrame, y: str, horizons: Sequence[int], keys: S
     return out
 
 
-def by_horizon(df: DataFrame, horizons: Sequence[int], keep: Sequence[str], own: str | None = None) -> DataFrame:
+def by_horizon(df: DataFrame, horizons: Sequence[int], keep: Sequence[str], own: str | None = None,
+               maps: Sequence[str] = ()) -> DataFrame:
     """One row per origin and horizon with a known target: ``horizon``, ``y_ahead``.
 
-    With ``own``, that column's present value is added as horizon 0.
+    With ``own``, that column's present value is added as horizon 0. ``maps`` are columns keyed by horizon; their
+    entry of the row's horizon is looked up once, here, and takes the column's name.
     """
     ahead = {0: own, **{h: f"y_{h}" for h in horizons}} if own else {h: f"y_{h}" for h in horizons}
-    pairs = F.array(*[F.struct(F.lit(h).alias("horizon"), F.col(c).alias("y_ahead")) for h, c in ahead.items()])
+    pairs = F.array(*[
+        F.struct(F.lit(h).alias("horizon"), F.col(c).alias("y_ahead"), *[F.col(m)[h].alias(m) for m in maps])
+        for h, c in ahead.items()
+    ])
     return df.select(*keep, F.inline(pairs)).where(F.col("y_ahead").isNotNull())

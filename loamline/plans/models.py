@@ -43,6 +43,12 @@ def map_of(df: DataFrame, key: Column, fields: Sequence[str], name: str) -> Data
     )
 
 
+def per_model(table: DataFrame, models: Sequence[str], fields: Sequence[str], name: str) -> DataFrame:
+    """Rows per (station, horizon, model) -> one map per station: horizon -> struct of models."""
+    pick = [F.any_value(F.when(F.col("model") == m, F.struct(*fields)), ignoreNulls=True).alias(m) for m in models]
+    return map_of(table.groupBy("source_id", "horizon").agg(*pick), F.col("horizon"), models, name)
+
+
 def for_test_rows(per_source: DataFrame, train_rows: DataFrame, fraction: float) -> DataFrame:
     """Key per-station parameters to the test series (label and an upper bound of its length)."""
     return train_rows.select(
@@ -66,18 +72,17 @@ def vectors(names: Sequence[str]) -> list[Column]:
 def in_sample_spread(featured: DataFrame, weights: DataFrame, horizons: Sequence[int], bounds,
                      layout: Layout = DEFAULT) -> DataFrame:
     """10/90 % residual quantiles of each fitted model on its own train rows (unclipped, as fitted)."""
-    learnt = map_of(weights, F.concat_ws("@", "model", "horizon").alias("k"), ["bias", "weights"], "w")
+    learnt = per_model(weights, [AR, ARX], ["bias", "weights"], "w")
     train = featured.where("is_train")
     lengths = train.groupBy("source_id").agg(F.max("n").alias("n"), F.max("split").alias("split"))
     rows = attach(train, lengths.join(learnt, "source_id"), KEYS, layout=layout, how="inner")
     complete = F.lit(True)
     for f in ARX_FEATURES:
         complete = complete & F.col(f).isNotNull()
-    pairs = by_horizon(rows.where(complete), horizons, ["source_id", "w", "y", *ARX_FEATURES])
+    pairs = by_horizon(rows.where(complete), horizons, ["source_id", "y", *ARX_FEATURES], maps=["w"])
     both = []
     for model, names in ((AR, AR_FEATURES), (ARX, ARX_FEATURES)):
-        w = F.col("w")[F.concat(F.lit(model + "@"), F.col("horizon"))]
-        point = ridge.predict(w, vectors(names), (-1e9, 1e9), F.lit(None).cast("double"))
+        point = ridge.predict(F.col("w")[model], vectors(names), (-1e9, 1e9), F.lit(None).cast("double"))
         both.append(F.struct(F.lit(model).alias("model"), (F.col("y_ahead") - point).alias("residual")))
     long = pairs.select("source_id", "horizon", F.inline(F.array(*both)))
     probs = {"q10": 0.1, "q90": 0.9}
@@ -88,7 +93,7 @@ def ladder_points(featured: DataFrame, horizons: Sequence[int], bounds, fraction
                   intervals: bool = True, layout: Layout = DEFAULT) -> DataFrame:
     """Test rows per horizon with the point of every model (and its 80 % interval)."""
     weights = stage(ridge.fit(featured, horizons, level), "weights")
-    learnt = map_of(weights, F.concat_ws("@", "model", "horizon").alias("k"), ["bias", "weights"], "w")
+    learnt = per_model(weights, [AR, ARX], ["bias", "weights"], "w")
     if intervals:
         residual = U.residual_counts(featured, horizons)
         b0 = exact_quantiles(residual, ["source_id", "horizon"], "residual", {"q10": 0.1, "q90": 0.9}, layout, None,
@@ -96,15 +101,14 @@ def ladder_points(featured: DataFrame, horizons: Sequence[int], bounds, fraction
         own = in_sample_spread(featured, weights, horizons, bounds, layout)
         spread = b0.unionByName(own)
         learnt = learnt.join(
-            map_of(spread, F.concat_ws("@", "model", "horizon").alias("k"), ["q10", "q90"], "spread"),
-            "source_id", "full",
+            per_model(spread, ["B0_PERSISTENCE", AR, ARX], ["q10", "q90"], "spread"), "source_id", "full",
         )
     params = for_test_rows(learnt, train_summary(featured), fraction)
     level_rows = ewma(featured, 0.15, bounds=bounds, seeds=last_train_values(featured), layout=layout)
     test = attach(level_rows.where(~F.col("is_train")).withColumnRenamed("point", "ewma"), params, KEYS, layout=layout)
-    keep = ["source_id", "y", "ewma", "train_mean", "w", "regime", *ARX_FEATURES, *(["spread"] if intervals else [])]
-    pairs = by_horizon(test, horizons, keep)
-    at = lambda model: F.col("w")[F.concat(F.lit(model + "@"), F.col("horizon"))]
+    keep = ["source_id", "y", "ewma", "train_mean", "regime", *ARX_FEATURES]
+    pairs = by_horizon(test, horizons, keep, maps=["w", *(["spread"] if intervals else [])])
+    at = lambda model: F.col("w")[model]
     return pairs.withColumns({
         "B0_PERSISTENCE": F.col("y"),
         "B1_CLIMATOLOGY": clip(F.col("train_mean"), *bounds),
@@ -126,7 +130,7 @@ def model_ladder(featured: DataFrame, horizons: Sequence[int] = HORIZONS, bounds
             F.avg((F.col("y_ahead") - F.col("train_mean")) ** 2).alias("ref_mean")]
     for m in LADDER:
         e = F.col("y_ahead") - F.col(m)
-        s = F.col("spread")[F.concat(F.lit(own_spread.get(m, "B0_PERSISTENCE") + "@"), F.col("horizon"))]
+        s = F.col("spread")[own_spread.get(m, "B0_PERSISTENCE")]
         low = clip(F.col(m) + F.coalesce(s["q10"], F.lit(0.0)), *bounds)
         high = clip(F.col(m) + F.coalesce(s["q90"], F.lit(0.0)), *bounds)
         aggs += [
@@ -163,14 +167,14 @@ def oracle_ablation(featured: DataFrame, horizons: Sequence[int] = HORIZONS, bou
                     layout: Layout = DEFAULT) -> DataFrame:
     """What perfect future rain would be worth. ``featured`` must carry the oracle columns."""
     weights = ridge.fit(featured, horizons, oracle=True)
-    learnt = map_of(weights, F.concat_ws("@", "model", "horizon").alias("k"), ["bias", "weights"], "w")
+    learnt = per_model(weights, [ARX, ridge.ORACLE], ["bias", "weights"], "w")
     params = for_test_rows(learnt, train_summary(featured), fraction)
     test = attach(featured.where(~F.col("is_train")), params, KEYS, layout=layout)
     rain = F.map_from_arrays(F.array(*[F.lit(h) for h in horizons]), F.array(*[f"oracle_rain_{h}" for h in horizons]))
-    pairs = by_horizon(test.withColumn("oracle", rain), horizons, ["y", "w", "oracle", *ARX_FEATURES])
-    at = lambda model: F.col("w")[F.concat(F.lit(model + "@"), F.col("horizon"))]
+    pairs = by_horizon(test.withColumn("oracle", rain), horizons, ["y", *ARX_FEATURES], maps=["w", "oracle"])
+    at = lambda model: F.col("w")[model]
     arx = ridge.predict(at(ARX), vectors(ARX_FEATURES), bounds, F.col("y"))
-    best = ridge.predict(at(ridge.ORACLE), [*vectors(ARX_FEATURES), F.col("oracle")[F.col("horizon")]], bounds,
+    best = ridge.predict(at(ridge.ORACLE), [*vectors(ARX_FEATURES), F.col("oracle")], bounds,
                          F.col("y"))
     scored = pairs.select("horizon", *[
         ((F.col("y_ahead") - c) ** 2).alias(n) for n, c in (("b", F.col("y")), ("m", arx), ("o", best))
@@ -198,8 +202,10 @@ def interval_params(featured: DataFrame, horizons: Sequence[int], coverages: Seq
     if METHODS[1] in methods:
         parts.append(map_of(U.fit_dispersion(residuals, layout), F.col("horizon"), ["bias", "scale"], "u1"))
     if METHODS[2] in methods:
-        key = F.concat_ws("@", "regime", "horizon").alias("k")
-        parts.append(map_of(U.fit_regimes(residuals, coverages, layout), key, names, "u2"))
+        entry = F.struct("regime", F.struct(*names))
+        regimes = U.fit_regimes(residuals, coverages, layout).groupBy("source_id", "horizon").agg(
+            F.map_from_entries(F.collect_list(entry)).alias("by_regime"))
+        parts.append(map_of(regimes, F.col("horizon"), ["by_regime"], "u2"))
     if METHODS[3] in methods:
         parts.append(U.fit_power_law(residuals))
     for part in parts:
@@ -210,18 +216,24 @@ def interval_params(featured: DataFrame, horizons: Sequence[int], coverages: Seq
 def method_interval(method: str, point: Column, coverage: float, bounds) -> tuple[Column, Column]:
     h = F.col("horizon")
     if method == METHODS[0]:
-        return U.static_interval(point, F.col("u0")[h], coverage, bounds)
+        return U.static_interval(point, F.col("u0"), coverage, bounds)
     if method == METHODS[1]:
-        return U.dispersion_interval(point, F.col("u1")[h], coverage, bounds)
+        return U.dispersion_interval(point, F.col("u1"), coverage, bounds)
     if method == METHODS[2]:
-        own = F.col("u2")[F.concat(F.col("regime"), F.lit("@"), h)]
-        return U.regime_interval(point, own, F.col("u2")[F.concat(F.lit("ALL@"), h)], coverage, bounds)
+        return U.regime_interval(point, F.col("own_regime"), F.col("any_regime"), coverage, bounds)
     return U.power_interval(point, F.col("sigma_1"), F.col("nu"), h, coverage, bounds)
 
 
-def _param_columns(methods: Sequence[str]) -> list[str]:
-    own = {METHODS[0]: ["u0"], METHODS[1]: ["u1"], METHODS[2]: ["u2"], METHODS[3]: ["sigma_1", "nu"]}
-    return [c for m in methods for c in own[m]]
+def interval_pairs(test: DataFrame, horizons: Sequence[int], keep: Sequence[str], methods: Sequence[str],
+                   maps: Sequence[str] = ()) -> DataFrame:
+    """Origin/horizon rows of the test series with each method's parameters looked up once."""
+    own = {METHODS[0]: "u0", METHODS[1]: "u1", METHODS[2]: "u2"}
+    power = ["sigma_1", "nu"] if METHODS[3] in methods else []
+    pairs = by_horizon(test, horizons, [*keep, *power], maps=[*maps, *[own[m] for m in methods if m in own]])
+    if METHODS[2] not in methods:
+        return pairs
+    regimes = F.col("u2")["by_regime"]
+    return pairs.withColumns({"own_regime": regimes[F.col("regime")], "any_regime": regimes["ALL"]}).drop("u2")
 
 
 def interval_benchmark(featured: DataFrame, horizons: Sequence[int] = HORIZONS, coverages: Sequence[float] = (0.8, 0.9),
@@ -230,7 +242,7 @@ def interval_benchmark(featured: DataFrame, horizons: Sequence[int] = HORIZONS,
     """Coverage and width per method, nominal coverage and horizon, overall (regime null) and per origin regime."""
     params = interval_params(featured, horizons, coverages, fraction, layout, methods)
     test = attach(featured.where(~F.col("is_train")), params, KEYS, layout=layout)
-    pairs = by_horizon(test, horizons, ["y", "regime", *_param_columns(methods)])
+    pairs = interval_pairs(test, horizons, ["y", "regime"], methods)
     aggs, cells = [F.count(F.lit(1)).alias("k")], []
     for i, m in enumerate(methods):
         for j, c in enumerate(coverages):
@@ -252,12 +264,11 @@ def site_evaluation(featured: DataFrame, horizons: Sequence[int] = HORIZONS, bou
                     layout: Layout = DEFAULT) -> DataFrame:
     """Per station and horizon: persistence, both regressions, the hybrid, and U0/U2 interval quality."""
     use = [METHODS[0], METHODS[2]]
-    weights = map_of(ridge.fit(featured, horizons), F.concat_ws("@", "model", "horizon").alias("k"),
-                      ["bias", "weights"], "w")
+    weights = per_model(ridge.fit(featured, horizons), [AR, ARX], ["bias", "weights"], "w")
     params = interval_params(featured, horizons, [0.8], fraction, layout, use).join(weights, "source_id", "left")
     test = attach(featured.where(~F.col("is_train")), params, KEYS, layout=layout)
-    pairs = by_horizon(test, horizons, ["source_id", "y", "regime", "w", "u0", "u2", *ARX_FEATURES])
-    at = lambda model: F.col("w")[F.concat(F.lit(model + "@"), F.col("horizon"))]
+    pairs = interval_pairs(test, horizons, ["source_id", "y", "regime", *ARX_FEATURES], use, maps=["w"])
+    at = lambda model: F.col("w")[model]
     pairs = pairs.withColumns({
         "m1": ridge.predict(at(AR), vectors(AR_FEATURES), bounds, F.col("y")),
         "m2": ridge.predict(at(ARX), vectors(ARX_FEATURES), bounds, F.col("y")),
