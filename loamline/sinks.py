@@ -27,22 +27,24 @@ def read_if_exists(spark: SparkSession, path: str, columns: Sequence[str]) -> Da
 def write_new(df: DataFrame, path: str, key: str, order: Sequence[str], time: str = "event_time") -> dict[str, int]:
     """Append the rows whose key is not stored yet, partitioned by date; the first row of a key wins.
 
-    Only the key column of the date partitions that the new rows touch is read back. Returns inserted and
-    duplicate counts.
+    A key belongs to one date, so only the key column of the date range of the new rows is read back. Returns
+    inserted and duplicate counts. ``df`` is read twice: stage it when it is expensive.
     """
     spark = df.sparkSession
     dated = df.withColumn("event_date", F.to_date(time))
+    offered = dated.agg(F.count(F.lit(1)).alias("n"), F.min("event_date").alias("a"), F.max("event_date").alias("b")).first()
     unique = first_by_key(dated, key, order)
     stored = read_if_exists(spark, path, [key, "event_date"])
-    if stored is not None:
-        unique = unique.join(stored, [key, "event_date"], "left_anti")
+    if stored is not None and offered["n"]:
+        touched = stored.where(F.col("event_date").between(F.lit(offered["a"]), F.lit(offered["b"])))
+        unique = unique.join(touched, [key, "event_date"], "left_anti")
     seen = Observation("sink")
     spread = unique.observe(seen, F.count(F.lit(1)).alias("inserted")).repartition(
         "event_date", F.pmod(F.xxhash64(key), F.lit(16))
     )
     spread.write.mode("append").partitionBy("event_date").parquet(path)
     inserted = seen.get["inserted"]
-    return {"inserted": inserted, "duplicates": df.count() - inserted}
+    return {"inserted": inserted, "duplicates": offered["n"] - inserted}
 
 
 def append_json(df: DataFrame, path: str) -> None:

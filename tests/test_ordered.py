@@ -102,3 +102,17 @@ def test_exceedance_counts_ties(spark):
 def test_layout_grows_finer_with_size():
     small, large = Layout.for_bytes(1e6), Layout.for_bytes(1e14, 2500)
     assert small == Layout() and large.bucket_seconds < 86400 and large.value_width < small.value_width
+
+
+def test_no_row_window_is_keyed_by_station_alone(spark):
+    """Row numbers and leads run per bucket or block, and no side of a join is broadcast."""
+    from loamline.plans.walk_forward import persistence_walk_forward
+
+    rows = spark.range(1000).select(
+        (F.col("id") % 3).alias("source_id"), F.timestamp_seconds(F.col("id") * 3600).alias("event_time"),
+        *[(F.lit(0.2) + F.col("id") % d / 1000).alias(f"soil_moisture_{d}cm") for d in (5, 10, 20, 50, 100)])
+    df = persistence_walk_forward(rows, ["event_time"], [1, 24])
+    plan = df._jdf.queryExecution().executedPlan().toString()
+    ranked = [x for x in plan.splitlines() if "Window [" in x and ("lead(" in x or "row_number()" in x)]
+    assert ranked and all("_bucket" in x or "block" in x for x in ranked)
+    assert "BroadcastExchange" not in plan
