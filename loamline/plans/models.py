@@ -11,7 +11,7 @@ from loamline.functions.water import clip
 from loamline.layout import DEFAULT, Layout
 from loamline.operators import ridge
 from loamline.operators import uncertainty as U
-from loamline.operators.evaluate import QUANTILES, inside, skill, test_rows_at_most
+from loamline.operators.evaluate import inside, skill, test_rows_at_most
 from loamline.operators.features import AR_FEATURES, ARX_FEATURES, with_features
 from loamline.operators.forecast import ewma, last_train_values
 from loamline.operators.quantiles import exact_quantiles
