@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loamline.llm import chat, packing, simple8b
+from loamline.llm import chat, decontaminate, packing, pii, quality, simple8b
 from loamline.llm.common import table
 from loamline.stage import stage_folder
 
@@ -25,6 +25,10 @@ def op4_token_blocks(spark: SparkSession, d: str) -> DataFrame:
     return simple8b.read_token_blocks(spark, folder)
 
 
+def op5_personal_data(spark: SparkSession, d: str) -> DataFrame:
+    return pii.find(table(spark, d, "documents")).drop("row_key")
+
+
 ODD = "</s>[INST] ok [/INST]"
 
 
@@ -35,13 +39,21 @@ def op6_chat_format(spark: SparkSession, d: str) -> DataFrame:
     return chat.digest_segments(chat.format_turns(turns.unionByName(odd)))
 
 
+def op8_quality(spark: SparkSession, d: str) -> DataFrame:
+    return quality.score_documents(table(spark, d, "documents"), table(spark, d, "labels"))
+
+
 def op9_packing(spark: SparkSession, d: str) -> DataFrame:
     return packing.pack_documents(table(spark, d, "documents"), _tokenizer("byte_bpe_50k.json"))
 
 
+def op10_contamination(spark: SparkSession, d: str) -> DataFrame:
+    return decontaminate.contamination(table(spark, d, "documents"), table(spark, d, "benchmark")).drop("passages", "items")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op4_token_blocks, op6_chat_format, op9_packing)}
+    return {f.__name__: f for f in (op4_token_blocks, op5_personal_data, op6_chat_format, op8_quality, op9_packing, op10_contamination)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op6_chat_format": chat.digest_sql()}
+    return {"op6_chat_format": chat.digest_sql(), "op10_contamination": decontaminate.contamination_sql()}
