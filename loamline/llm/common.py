@@ -6,13 +6,12 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from loamline.stage import stage
 
-__all__ = ["stage", "docs_of", "texts_of", "slices", "mix64", "connected_components", "words_table"]
-
 #: Bytes of text that a Python task looks at together.
 SLICE_BYTES = 8 << 20
 
@@ -36,7 +35,7 @@ def texts_of(batches: Iterator[pa.RecordBatch], column: str = "text") -> Iterato
 def slices(batch: pa.RecordBatch, column: str = "text", limit: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
     if not batch.num_rows:
         return
-    sizes = np.asarray(pa.compute.binary_length(batch.column(column)).fill_null(0), dtype=np.int64)
+    sizes = np.asarray(pc.binary_length(batch.column(column)).fill_null(0), dtype=np.int64)
     ends = np.cumsum(sizes)
     start = 0
     while start < batch.num_rows:
@@ -93,3 +92,61 @@ def connected_components(edges: DataFrame, label: str) -> DataFrame:
     stars = cur.select(F.col("u").alias("id"), F.col("v").alias("component"))
     roots = cur.select(F.col("v").alias("id"), F.col("v").alias("component")).distinct()
     return stars.union(roots)
+
+
+def groups_of(batches: Iterator[pa.RecordBatch], keys: list[str], whole: bool = True, rows: int = 1 << 17) -> Iterator[pa.RecordBatch]:
+    """Rows of a sorted partition in batches that never split a group of equal keys. ``whole``: many groups a batch,
+    at least about ``rows`` rows; else one group a batch."""
+    held: list[pa.RecordBatch] = []
+    count = 0
+
+    def merged(parts: list[pa.RecordBatch]) -> pa.RecordBatch:
+        return parts[0] if len(parts) == 1 else pa.Table.from_batches(parts).combine_chunks().to_batches()[0]
+
+    def changes(batch: pa.RecordBatch) -> np.ndarray:
+        change = np.zeros(batch.num_rows, bool)
+        for k in keys:
+            x = np.asarray(batch.column(k))
+            change[1:] |= x[1:] != x[:-1]
+        return np.flatnonzero(change)
+
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        held.append(batch)
+        count += batch.num_rows
+        if whole and count < rows:
+            continue
+        one = merged(held)
+        cuts = changes(one)
+        if not len(cuts):
+            held = [one]
+            continue
+        if whole:
+            yield one.slice(0, int(cuts[-1]))
+        else:
+            for a, b in zip([0, *cuts[:-1].tolist()], cuts.tolist()):
+                yield one.slice(a, b - a)
+        held = [one.slice(int(cuts[-1]))]
+        count = held[0].num_rows
+    if held:
+        one = merged(held)
+        if whole:
+            yield one
+        else:
+            cuts = [0, *changes(one).tolist(), one.num_rows]
+            for a, b in zip(cuts[:-1], cuts[1:]):
+                yield one.slice(a, b - a)
+
+
+def block_pairs(rows: DataFrame, key: str, id: str, block: int) -> DataFrame:
+    """Rows of groups (with their ``size``) repeated for every pair of blocks they take part in.
+
+    A group of up to ``block`` rows is one block. A larger one is dealt over size / block blocks, and each pair of them
+    becomes a group (key, low, high) of its own of about twice ``block`` rows: any two rows meet in some group, and no
+    task ever holds a whole large group.
+    """
+    n = F.ceil(F.col("size") / block).cast("int")
+    dealt = rows.withColumn("_n", n).withColumn("block", F.pmod(F.xxhash64(id), F.col("_n")).cast("int"))
+    dealt = dealt.withColumn("_other", F.explode(F.sequence(F.lit(0), F.col("_n") - 1)))
+    return dealt.withColumn("low", F.least("block", "_other")).withColumn("high", F.greatest("block", "_other")).drop("_n", "_other", "size")

@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loamline.llm import chat, decontaminate, line_dedup, packing, pii, quality, simple8b
+from loamline.llm import chat, decontaminate, line_dedup, near_dup, packing, pii, quality, simple8b
 from loamline.llm.common import table
 from loamline.stage import stage_folder
 
@@ -19,6 +19,10 @@ def _tokenizer(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+def op1_near_dup(spark: SparkSession, d: str) -> DataFrame:
+    return near_dup.near_duplicates(table(spark, d, "documents"))
+
+
 def op2_line_dedup(spark: SparkSession, d: str) -> DataFrame:
     return line_dedup.dedup_lines(table(spark, d, "documents"), report=True)
 
@@ -56,8 +60,8 @@ def op10_contamination(spark: SparkSession, d: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op2_line_dedup, op4_token_blocks, op5_personal_data, op6_chat_format, op8_quality, op9_packing, op10_contamination)}
+    return {f.__name__: f for f in (op1_near_dup, op2_line_dedup, op4_token_blocks, op5_personal_data, op6_chat_format, op8_quality, op9_packing, op10_contamination)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_line_dedup": line_dedup.dedup_sql(), "op6_chat_format": chat.digest_sql(), "op10_contamination": decontaminate.contamination_sql()}
+    return {"op1_near_dup": near_dup.near_dup_sql(), "op2_line_dedup": line_dedup.dedup_sql(), "op6_chat_format": chat.digest_sql(), "op10_contamination": decontaminate.contamination_sql()}
