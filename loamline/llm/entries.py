@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loamline.llm import chat, decontaminate, line_dedup, near_dup, packing, pii, quality, simple8b
+from loamline.llm import chat, decontaminate, embedding_dup, line_dedup, near_dup, packing, pii, quality, simple8b
 from loamline.llm.common import table
 from loamline.stage import stage_folder
 
@@ -27,6 +27,10 @@ def op2_line_dedup(spark: SparkSession, d: str) -> DataFrame:
     return line_dedup.dedup_lines(table(spark, d, "documents"), report=True)
 
 
+def op3_embedding_dup(spark: SparkSession, d: str) -> DataFrame:
+    return embedding_dup.near_vectors(table(spark, d, "embeddings"))
+
+
 def op4_token_blocks(spark: SparkSession, d: str) -> DataFrame:
     folder = f"{stage_folder(spark)}/token-blocks-{uuid.uuid4().hex}"
     simple8b.write_token_blocks(table(spark, d, "documents"), folder, _tokenizer("word_bpe_49k.json"))
@@ -60,7 +64,7 @@ def op10_contamination(spark: SparkSession, d: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_near_dup, op2_line_dedup, op4_token_blocks, op5_personal_data, op6_chat_format, op8_quality, op9_packing, op10_contamination)}
+    return {f.__name__: f for f in (op1_near_dup, op2_line_dedup, op3_embedding_dup, op4_token_blocks, op5_personal_data, op6_chat_format, op8_quality, op9_packing, op10_contamination)}
 
 
 def oracle_sql() -> dict[str, str]:
