@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loamline.llm import chat, decontaminate, embedding_dup, line_dedup, near_dup, packing, pii, quality, simple8b
+from loamline.llm import chat, decontaminate, embedding_dup, line_dedup, near_dup, packing, pii, quality, simple8b, suffix_dedup
 from loamline.llm.common import table
 from loamline.stage import stage_folder
 
@@ -51,6 +51,10 @@ def op6_chat_format(spark: SparkSession, d: str) -> DataFrame:
     return chat.digest_segments(chat.format_turns(turns.unionByName(odd)))
 
 
+def op7_repeated_passages(spark: SparkSession, d: str) -> DataFrame:
+    return suffix_dedup.dedup_passages(table(spark, d, "documents"))
+
+
 def op8_quality(spark: SparkSession, d: str) -> DataFrame:
     return quality.score_documents(table(spark, d, "documents"), table(spark, d, "labels"))
 
@@ -64,7 +68,7 @@ def op10_contamination(spark: SparkSession, d: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_near_dup, op2_line_dedup, op3_embedding_dup, op4_token_blocks, op5_personal_data, op6_chat_format, op8_quality, op9_packing, op10_contamination)}
+    return {f.__name__: f for f in (op1_near_dup, op2_line_dedup, op3_embedding_dup, op4_token_blocks, op5_personal_data, op6_chat_format, op7_repeated_passages, op8_quality, op9_packing, op10_contamination)}
 
 
 def oracle_sql() -> dict[str, str]:
