@@ -68,7 +68,9 @@ def op10_contamination(spark: SparkSession, d: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_near_dup, op2_line_dedup, op3_embedding_dup, op4_token_blocks, op5_personal_data, op6_chat_format, op7_repeated_passages, op8_quality, op9_packing, op10_contamination)}
+    import corpus_pipeline
+
+    return {"pipeline": corpus_pipeline.run} | {f.__name__: f for f in (op1_near_dup, op2_line_dedup, op3_embedding_dup, op4_token_blocks, op5_personal_data, op6_chat_format, op7_repeated_passages, op8_quality, op9_packing, op10_contamination)}
 
 
 def oracle_sql() -> dict[str, str]:
