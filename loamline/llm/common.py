@@ -25,6 +25,14 @@ def docs_of(df: DataFrame) -> DataFrame:
     return df.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
 
 
+def free(df: DataFrame, name: str) -> str:
+    """``name``, or with underscores in front until no column of ``df`` has it."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name = "_" + name
+    return name
+
+
 def texts_of(batches: Iterator[pa.RecordBatch], column: str = "text") -> Iterator[tuple[pa.RecordBatch, list[str]]]:
     """Slices of the batches of at most about SLICE_BYTES of text, with their texts (null: empty)."""
     for batch in batches:

@@ -1,13 +1,15 @@
 """Token ids of whole texts by a public tokenizer.
 
 A tokenizer treats most of a text as independent words. ``Encoder`` cuts a text at places that are always token
-boundaries, encodes each different piece once with the tokenizers library, and joins the stored ids. Texts whose
-blanks are unusual go through the library whole. Stored pieces are bounded; beyond the bound they are forgotten and
-encoded again, which changes no result.
+boundaries, encodes each different piece once with the tokenizers library, and joins the stored ids. Pieces of plain
+characters, on which the tokenizer's normaliser and its special tokens have no effect, are encoded without these two
+steps. Texts whose blanks are unusual go through the library whole. Stored pieces are bounded; beyond the bound they are
+forgotten and encoded again, which changes no result.
 """
 
 from __future__ import annotations
 
+import json
 import os
 import re
 from array import array
@@ -15,30 +17,40 @@ from array import array
 #: Blanks whose handling depends on their neighbours: runs, at either end, or controls that only some libraries count as blank.
 _UNUSUAL = re.compile(r"\s\s|^\s|\s$|[\x1c-\x1f]")
 _CONTROLS = re.compile(r"[\x1c-\x1f]")
+#: Beyond these letters, lower case may depend on the library.
+_BEYOND_LATIN = re.compile(r"[^\x00-\u024f]")
+#: Composed characters only, and none that a special token starts with.
+_PLAIN = re.compile(r"[\n\x20-\x3b\x3d-\x7e\xa1-\u024f]+")
 _LOADED: dict[str, Encoder] = {}
 
 
 class Encoder:
-    """``blanks`` says how the tokenizer treats blanks: "dropped" (they only separate words) or "joined" (a single
-    space belongs to the word after it)."""
+    """``blanks`` says how the tokenizer treats blanks: "dropped" (they only separate words, and case is dropped too) or
+    "joined" (a single space belongs to the word after it)."""
 
-    def __init__(self, path: str, blanks: str, held_words: int = 600_000):
+    def __init__(self, path: str, blanks: str, held_words: int = 1_500_000):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
 
         self.library = Tokenizer.from_file(path)
+        bare = json.loads(self.library.to_str()) | {"normalizer": None, "added_tokens": []}
+        self.bare = Tokenizer.from_str(json.dumps(bare))
         self.blanks = blanks
         self.held_words = held_words
         self.held: dict[str, bytes] = {}
 
     def _encode(self, texts: list[str]) -> list[bytes]:
-        found = self.library.encode_batch_fast(texts, add_special_tokens=False)
-        return [array("I", x.ids).tobytes() for x in found]
+        plain = [_PLAIN.fullmatch(t) is not None and (self.blanks == "joined" or t == t.lower()) for t in texts]
+        out = iter(self.bare.encode_batch_fast([t for t, p in zip(texts, plain) if p], add_special_tokens=False))
+        rest = iter(self.library.encode_batch_fast([t for t, p in zip(texts, plain) if not p], add_special_tokens=False))
+        return [array("I", next(out if p else rest).ids).tobytes() for p in plain]
 
     def pieces(self, text: str) -> list[str] | None:
         """Parts of the text whose ids, joined, are the ids of the text; None if it has to be encoded whole."""
         if self.blanks == "dropped":
-            return None if _CONTROLS.search(text) else text.split()
+            if _CONTROLS.search(text):
+                return None
+            return text.split() if _BEYOND_LATIN.search(text) else text.lower().split()
         if _UNUSUAL.search(text):
             return None
         first, *rest = text.split(" ")
@@ -51,12 +63,14 @@ class Encoder:
         for c in cut:
             if c is not None:
                 new.update(c)
-        if len(self.held) + len(new.difference(self.held)) > self.held_words:
-            self.held.clear()
         missing = list(new.difference(self.held))
+        if len(self.held) + len(missing) > self.held_words:
+            self.held.clear()
+            missing = list(new)
         self.held.update(zip(missing, self._encode(missing)))
         get = self.held.__getitem__
-        return [b"".join(map(get, c)) if c is not None else self._encode([t])[0] for c, t in zip(cut, texts)]
+        return [b"".join(map(get, c)) if c is not None else array("I", self.library.encode(t, add_special_tokens=False).ids).tobytes()
+                for c, t in zip(cut, texts)]
 
 
 def encoder(path: str, blanks: str) -> Encoder:
