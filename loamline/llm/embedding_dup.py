@@ -84,7 +84,7 @@ def _decode(x: np.ndarray, rules: CapRules, number: int) -> tuple[np.ndarray, np
     row, code, total = np.arange(n), np.zeros(n, np.int64), np.zeros(n)
     for p, s in enumerate(scores):
         rows, codes, totals = [], [], []
-        for k in range(0, len(row), 20_000):
+        for k in range(0, max(1, len(row)), 20_000):
             r = row[k: k + 20_000]
             t = total[k: k + 20_000, None] + s[r]
             i, j = np.nonzero(t + rest[p + 1][r][:, None] >= least)

@@ -24,10 +24,10 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from loamline.llm.common import free
 from loamline.stage import stage
 
 _CELLS = 1 << 16
-KEY = "_line_row_key"
 
 
 @dataclass(frozen=True)
@@ -125,10 +125,11 @@ def dedup_lines(docs: DataFrame, rules: LineRules = LineRules(), report: bool =
     known = stage(_known(lines), "line-known")
     near = near_lines(lines, rules, known)
     kept = known.join(near, ["h1", "h2"], "left_anti").select("at.row_key", "at.line_no")
-    kept = kept.groupBy("row_key").agg(F.collect_list("line_no").alias("_kept")).withColumnRenamed("row_key", KEY)
-    keyed = docs.withColumn(KEY, _row_key()).join(kept, KEY, "left")
+    key, mine = free(docs, "_line_row_key"), free(docs, "_line_kept")
+    kept = kept.groupBy("row_key").agg(F.collect_list("line_no").alias(mine)).withColumnRenamed("row_key", key)
+    keyed = docs.withColumn(key, _row_key()).join(kept, key, "left")
     parts = F.split(F.col("text").cast("string"), "\n", -1)
-    stays = F.transform(parts, lambda x, i: F.when(F.array_contains(F.col("_kept"), i) | (F.trim(F.translate(x, "\t\x0b\f\r", "    ")) == ""), x))
+    stays = F.transform(parts, lambda x, i: F.when(F.array_contains(F.col(mine), i) | (F.trim(F.translate(x, "\t\x0b\f\r", "    ")) == ""), x))
     rest = F.filter(stays, lambda x: x.isNotNull())
     if report:
         return keyed.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.size(parts), F.lit(0)).cast("long").alias("n_lines"),

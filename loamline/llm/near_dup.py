@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from loamline.llm.bytetext import Hashes, joined
-from loamline.llm.common import block_pairs, connected_components, docs_of, groups_of, mix64, slices
+from loamline.llm.common import block_pairs, connected_components, docs_of, free, groups_of, mix64, slices
 from loamline.stage import stage
 
 _SEPARATORS = (9, 10, 11, 12, 13, 32)
@@ -330,8 +330,9 @@ def _across(classes: DataFrame, large: DataFrame, parts: DataFrame, rules: NearD
 
 def keep_one(docs: DataFrame, rules: NearDupRules = NearDupRules()) -> DataFrame:
     """``docs`` with one document of each component, and every document without links."""
-    gone = near_duplicates(docs, rules).where("not kept").select(F.col("doc_id").alias("_near_gone")).distinct()
-    return docs.join(gone, F.col("doc_id").cast("long") == F.col("_near_gone"), "left_anti")
+    name = free(docs, "_near_gone")
+    gone = near_duplicates(docs, rules).where("not kept").select(F.col("doc_id").alias(name)).distinct()
+    return docs.join(gone, docs["doc_id"].cast("long") == gone[name], "left_anti")
 
 
 def near_dup_sql(percent: int = 80) -> str:

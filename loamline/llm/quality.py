@@ -222,8 +222,8 @@ def fit(docs: DataFrame, labels: DataFrame, rules: QualityRules = QualityRules()
 
     pairs = texts.join(F.broadcast(sample), "doc_id").mapInArrow(run, "doc_id long, quality int, x binary")
     rows = sorted(pairs.orderBy(F.xxhash64("doc_id"), "doc_id").limit(rules.max_labels).collect(), key=lambda r: (r["doc_id"], r["x"]))
-    x = np.array([np.frombuffer(r["x"], np.float32) for r in rows], np.float64).reshape(len(rows), -1)
-    return vectors, weights, train(x if len(rows) else np.zeros((0, 3 * rules.width + 2)), np.array([r["quality"] for r in rows], float), rules)
+    x = np.array([np.frombuffer(r["x"], np.float32) for r in rows], np.float64).reshape(len(rows), 3 * rules.width + 2)
+    return vectors, weights, train(x, np.array([r["quality"] for r in rows], float), rules)
 
 
 def _scored(docs: DataFrame, model: tuple, rules: QualityRules, schema, keep: bool) -> DataFrame:
