@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from loamline.llm.bytetext import Hashes, joined
-from loamline.llm.common import docs_of, slices, texts_of
+from loamline.llm.common import docs_of, free, slices, texts_of
 from loamline.stage import stage
 
 KINDS = ("email", "ip", "card", "phone", "term")
@@ -41,7 +41,7 @@ _PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 _WORD = re.compile(r"[^\x00-@\[-`{-\x7f]{3,}")
 _LETTERS = np.array([(chr(b).isalpha() and b < 128) or b >= 128 for b in range(256)])
 _LOWER = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
-_BITS = 1 << 22
+_BITS = 1 << 26
 
 
 @dataclass(frozen=True)
@@ -157,25 +157,43 @@ def _scan(docs: DataFrame, rules: PiiRules) -> DataFrame:
 def _frequencies(docs: DataFrame, bitmap: np.ndarray) -> DataFrame:
     """(term, n_t): documents with each word whose bit is set."""
 
+    shared = docs.sparkSession.sparkContext.broadcast(bitmap)
+
+    def seen(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        data, offsets = joined(column)
+        data = np.frombuffer(data.tobytes().translate(_LOWER), np.uint8)
+        letter = _LETTERS[data]
+        change = np.ones(len(data) + 1, bool)
+        change[1:-1] = letter[1:] != letter[:-1]
+        change[offsets] = True
+        edges = np.flatnonzero(change)
+        starts, ends = edges[:-1], edges[1:]
+        word = letter[starts] if len(starts) else np.zeros(0, bool)
+        starts, ends = starts[word], ends[word]
+        h = Hashes(data).of(starts, ends)
+        bit = h & np.uint64(_BITS - 1)
+        kept = np.flatnonzero(shared.value[(bit >> np.uint64(6)).astype(np.int64)] >> (bit & np.uint64(63)) & np.uint64(1))
+        keys = np.unique(np.stack([h[kept].view(np.int64), np.searchsorted(offsets, starts[kept], "right")]), axis=1)
+        return np.unique(keys[0], return_counts=True)
+
+    def summed(parts: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
+        terms, place = np.unique(np.concatenate([t for t, _ in parts]), return_inverse=True)
+        return terms, np.bincount(place, np.concatenate([n for _, n in parts]), len(terms)).astype(np.int64)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, size = [], 0
         for batch in batches:
             for part in slices(batch, limit=1 << 20):
-                data, offsets = joined(part.column("text"))
-                data = np.frombuffer(data.tobytes().translate(_LOWER), np.uint8)
-                letter = _LETTERS[data]
-                change = np.ones(len(data) + 1, bool)
-                change[1:-1] = letter[1:] != letter[:-1]
-                change[offsets] = True
-                edges = np.flatnonzero(change)
-                starts, ends = edges[:-1], edges[1:]
-                word = letter[starts] if len(starts) else np.zeros(0, bool)
-                starts, ends = starts[word], ends[word]
-                h = Hashes(data).of(starts, ends)
-                bit = h & np.uint64(_BITS - 1)
-                kept = np.flatnonzero(bitmap[(bit >> np.uint64(6)).astype(np.int64)] >> (bit & np.uint64(63)) & np.uint64(1))
-                keys = np.unique(np.stack([h[kept].view(np.int64), np.searchsorted(offsets, starts[kept], "right")]), axis=1)
-                terms, n = np.unique(keys[0], return_counts=True)
-                yield pa.RecordBatch.from_arrays([pa.array(terms, pa.int64()), pa.array(n, pa.int64())], names=["term", "n"])
+                held.append(seen(part.column("text")))
+                size += len(held[-1][0])
+                if size > 1 << 20:
+                    held = [summed(held)]
+                    size = len(held[0][0])
+                    if size > 1 << 19:  # many different terms: passed on, the task starts afresh
+                        yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in held[0]], names=["term", "n"])
+                        held, size = [], 0
+        if held:
+            yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in summed(held)], names=["term", "n"])
 
     counted = docs.select(F.col("text").cast("string").alias("text")).mapInArrow(run, "term long, n long")
     return counted.groupBy("term").agg(F.sum("n").alias("n_t"))
@@ -192,9 +210,10 @@ def find(docs: DataFrame, rules: PiiRules = PiiRules()) -> DataFrame:
     pairs = stage(pairs.where(F.col("n_te") >= rules.support), "pii-pairs")
     bits = pairs.select(F.col("term").bitwiseAND(_BITS - 1).alias("b")).groupBy(F.shiftright("b", 6).alias("cell")).agg(
         F.bit_or(F.expr("shiftleft(1L, cast(b & 63 as int))")).alias("word"))
-    bitmap = np.zeros(_BITS // 64, np.uint64)
-    for r in bits.collect():  # at most 65,536 rows
-        bitmap[r["cell"]] = np.uint64(r["word"] & 0xFFFFFFFFFFFFFFFF)
+    cells = bits.toArrow()  # at most _BITS / 64 rows
+    bitmap = np.zeros(_BITS // 64, np.int64)
+    bitmap[np.asarray(cells.column("cell"))] = np.asarray(cells.column("word"))
+    bitmap = bitmap.view(np.uint64)
     entities = near.select("row_key", "entity").distinct().groupBy("entity").agg(F.count("*").alias("n_e"))
     total = found.count()
     told = pairs.join(entities, "entity").join(_frequencies(docs, bitmap), "term")
@@ -223,15 +242,15 @@ def find(docs: DataFrame, rules: PiiRules = PiiRules()) -> DataFrame:
 
 def sanitise(docs: DataFrame, rules: PiiRules = PiiRules()) -> DataFrame:
     """``docs`` with entities replaced by their kind in capitals, and disclosing terms by [TERM]."""
-    key = "_pii_row_key"
-    spans = find(docs, rules).where("spans <> ''").select(F.col("row_key").alias(key), F.col("spans").alias("_pii_spans")).distinct()
+    key, listing = free(docs, "_pii_row_key"), free(docs, "_pii_spans")
+    spans = find(docs, rules).where("spans <> ''").select(F.col("row_key").alias(key), F.col("spans").alias(listing)).distinct()
     keyed = docs.withColumn(key, F.xxhash64(F.col("doc_id").cast("long"), F.col("text").cast("string")))
     schema = docs.schema
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             texts = []
-            for text, spans in zip(batch.column("text").to_pylist(), batch.column("_pii_spans").to_pylist()):
+            for text, spans in zip(batch.column("text").to_pylist(), batch.column(listing).to_pylist()):
                 for k, a, b in reversed([x.split(":") for x in spans.split(",")] if spans else []):
                     text = text[: int(a)] + f"[{k.upper()}]" + text[max(int(a), int(b)):]
                 texts.append(text)
