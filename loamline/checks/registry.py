@@ -235,7 +235,9 @@ def contract_report(spark, d):
         F.col("source_id").cast("string").alias("source_id"),
         F.when(kind != "signup", "FIELD_01").alias("site_id"),
         time.alias("event_time"), time.alias("ingest_time"),
-        F.struct(F.when(kind == "click", "GUESSED").otherwise("OBSERVED").alias("data_class")).alias("provenance"),
+        F.struct(F.when(kind == "click", "GUESSED").otherwise("OBSERVED").alias("data_class"),
+                 F.when(F.col("event_id") % 5 != 0, "NET").alias("network"),
+                 F.when(F.col("event_id") % 13 == 0, "x").alias("owner")).alias("provenance"),
         F.array(reading).alias("measurements"),
         F.when(kind == "error", 1).alias("extra"),
     )).alias("value"))

@@ -319,6 +319,8 @@ def oracle_sql() -> dict[str, str]:
             CASE WHEN event_type = 'error' THEN '[root] unknown field' END,
             CASE WHEN event_id % 7 = 0 THEN '[schema_version] is not a version' END,
             CASE WHEN event_type = 'click' THEN '[provenance.data_class] is not allowed' END,
+            CASE WHEN event_id % 5 = 0 THEN '[provenance] ''network'' is required' END,
+            CASE WHEN event_id % 13 = 0 THEN '[provenance] unknown field' END,
             CASE WHEN value > 100 THEN '[measurements.depth_cm] is negative' END], lambda x: x IS NOT NULL)) AS violation FROM events) GROUP BY violation""",
         "features_causal": f"WITH {FEATURES} SELECT source_id, split, rn, {', '.join(r(f, f) for f in ARX)}, regime FROM fx",
         "regime_counts": f"WITH {FEATURES} SELECT source_id, split, regime, count(*) AS rows, {r('sum(rain_72)', 'rain_72')} FROM fx GROUP BY ALL",

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -36,13 +38,58 @@ def _short(c: Column) -> Column:
     return F.length(c) < 1
 
 
-def event_rules(e: Column, present: Column) -> list[Column]:
-    """Rules of a telemetry event struct ``e``; ``present`` holds the keys of the raw object."""
-    missing = lambda f: ~F.array_contains(present, f)
+#: Fields of each object: name -> kinds of JSON value. A null counts as missing unless it is listed.
+PROVENANCE = {"data_class": ("STRING",), "network": ("STRING",), "dataset_version": ("STRING",), "replay_session_id": ("STRING", "VOID"),
+              "synthetic_fault_type": ("STRING", "VOID")}
+NUMBER = ("BIGINT", "DECIMAL", "DOUBLE", "FLOAT")
+MEASUREMENT = {"sensor_id": ("STRING",), "variable_name": ("STRING",), "depth_cm": NUMBER, "value": (*NUMBER, "VOID"), "unit": ("STRING",),
+               "qc_flag": ("STRING",)}
+SUMMARY = {"all_valid": ("BOOLEAN",), "flag_count": ("BIGINT",), "quarantined": ("BOOLEAN",)}
+EVENT = {"provenance": ("OBJECT",), "measurements": ("ARRAY",), "qc_summary": ("OBJECT",)} | {
+    f: ("STRING",) for f in ("schema_version", "event_id", "source_id", "site_id", "event_time", "ingest_time")}
+
+
+def _kind(v: Column, path: str) -> Column:
+    """Kind of the JSON value at ``path``; null if there is none."""
+    return F.regexp_extract(F.schema_of_variant(F.try_variant_get(v, path, "variant")), "^[A-Z]+", 0)
+
+
+def _object_faults(v: Column, fields: dict[str, tuple[str, ...]], required: Sequence[str]) -> tuple[dict[str, Column], dict[str, Column], Column]:
+    """Of a JSON object: which required fields are missing or null, which fields have a wrong kind, and whether it has others."""
+    missing, wrong = {}, {}
+    for f, kinds in fields.items():
+        kind = _kind(v, f"$.{f}")
+        if f in required:
+            missing[f] = kind.isNull() | ((kind == "VOID") & F.lit("VOID" not in kinds))
+        wrong[f] = kind.isNotNull() & ~kind.isin(*kinds, *([] if f not in required else ["VOID"]))
+    names = F.map_keys(F.try_variant_get(v, "$", "map<string,variant>"))
+    return missing, wrong, F.size(F.array_except(names, F.array(*[F.lit(f) for f in fields]))) > 0
+
+
+def event_rules(e: Column, v: Column) -> list[Column]:
+    """Rules of a telemetry event: ``e`` is its struct, ``v`` the raw object as a variant."""
     m = e["measurements"]
-    rules = [violation(missing(f), "root", f"'{f}' is required") for f in EVENT_REQUIRED]
+
+    def level(path: str, x: Column, fields: dict[str, tuple[str, ...]], required: Sequence[str], there: Column) -> list[Column]:
+        missing, wrong, unknown = _object_faults(x, fields, required)
+        dot = "" if path == "root" else f"{path}."
+        return [violation(there & bad, path, f"'{f}' is required") for f, bad in missing.items()] + [
+            violation(there & bad, dot + f, "has the wrong type") for f, bad in wrong.items()] + [violation(there & unknown, path, "unknown field")]
+
+    rules = level("root", v, EVENT, EVENT_REQUIRED, F.lit(True))
+    rules += level("provenance", F.try_variant_get(v, "$.provenance", "variant"), PROVENANCE, ("data_class", "network"), _kind(v, "$.provenance") == "OBJECT")
+    rules += level("qc_summary", F.try_variant_get(v, "$.qc_summary", "variant"), SUMMARY, (), _kind(v, "$.qc_summary") == "OBJECT")
+    items = F.try_variant_get(v, "$.measurements", "array<variant>")
+
+    def any_item(rule) -> Column:
+        return F.exists(items, lambda x: F.coalesce(rule(x), F.lit(False)))
+
+    rules.append(violation(any_item(lambda x: F.coalesce(_kind(x, "$"), F.lit("")) != "OBJECT"), "measurements", "is not a list of objects"))
+    for f in MEASUREMENT:
+        rules.append(violation(any_item(lambda x, f=f: (_kind(x, "$") == "OBJECT") & _object_faults(x, {f: MEASUREMENT[f]}, (f,))[0][f]), "measurements", f"'{f}' is required"))
+        rules.append(violation(any_item(lambda x, f=f: _object_faults(x, {f: MEASUREMENT[f]}, (f,))[1][f]), f"measurements.{f}", "has the wrong type"))
+    rules.append(violation(any_item(lambda x: _object_faults(x, MEASUREMENT, ())[2]), "measurements", "unknown field"))
     rules += [
-        violation(F.size(F.array_except(present, F.array(*[F.lit(f) for f in EVENT_FIELDS]))) > 0, "root", "unknown field"),
         violation(~e["schema_version"].rlike(VERSION_PATTERN), "schema_version", "is not a version"),
         violation(e["event_id"].isNotNull() & ~is_uuid(e["event_id"]), "event_id", "is not a UUID"),
         violation(_short(e["source_id"]), "source_id", "is empty"),
@@ -52,15 +99,13 @@ def event_rules(e: Column, present: Column) -> list[Column]:
         violation(~e["provenance"]["data_class"].isin(S.DATA_CLASSES), "provenance.data_class", "is not allowed"),
         violation(~e["provenance"]["synthetic_fault_type"].isin(S.FAULT_TYPES), "provenance.synthetic_fault_type",
                   "is not allowed"),
-        violation(F.array_contains(present, "measurements") & (F.coalesce(F.size(m), F.lit(0)) < 1), "measurements",
-                  "is empty"),
+        violation((_kind(v, "$.measurements") == "ARRAY") & (F.coalesce(F.size(items), F.lit(0)) < 1), "measurements", "is empty"),
         violation(F.exists(m, lambda x: ~x["variable_name"].isin(S.VARIABLES)), "measurements.variable_name",
                   "is not allowed"),
         violation(F.exists(m, lambda x: ~x["unit"].isin(S.UNITS)), "measurements.unit", "is not allowed"),
         violation(F.exists(m, lambda x: ~x["qc_flag"].isin(S.QC_FLAGS)), "measurements.qc_flag", "is not allowed"),
         violation(F.exists(m, lambda x: x["depth_cm"] < 0), "measurements.depth_cm", "is negative"),
-        violation(F.exists(m, lambda x: F.coalesce(F.length(x["sensor_id"]), F.lit(0)) < 1), "measurements.sensor_id",
-                  "is empty"),
+        violation(F.exists(m, lambda x: F.length(x["sensor_id"]) < 1), "measurements.sensor_id", "is empty"),
         violation(e["qc_summary"]["flag_count"] < 0, "qc_summary.flag_count", "is negative"),
     ]
     return rules
@@ -68,14 +113,11 @@ def event_rules(e: Column, present: Column) -> list[Column]:
 
 def event_report(raw: DataFrame, column: str = "value") -> DataFrame:
     """Raw JSON lines -> parsed event, sorted violations and validity. Broken JSON is one violation."""
-    parsed = raw.withColumns({
-        "event": F.from_json(column, RAW_EVENT),
-        "_keys": F.map_keys(F.from_json(column, "map<string,string>")),
-    })
-    rules = collect_violations(event_rules(F.col("event"), F.col("_keys")))
-    broken = F.col("_keys").isNull()
+    parsed = raw.withColumns({"event": F.from_json(column, RAW_EVENT), "_raw": F.try_parse_json(column)})
+    rules = collect_violations(event_rules(F.col("event"), F.col("_raw")))
+    broken = F.coalesce(_kind(F.col("_raw"), "$"), F.lit("")) != "OBJECT"
     out = parsed.withColumn("violations", F.when(broken, F.array(F.lit("[root] is not a JSON object"))).otherwise(rules))
-    return out.withColumn("is_valid", F.size("violations") == 0).drop("_keys")
+    return out.withColumn("is_valid", F.size("violations") == 0).drop("_raw")
 
 
 def alert_rules(columns: list[str]) -> list[Column]:

@@ -5,9 +5,11 @@ from __future__ import annotations
 from collections.abc import Sequence
 
 from pyspark.errors import AnalysisException
-from pyspark.sql import DataFrame, Observation, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from loamline.stage import stage
+
 
 def first_by_key(df: DataFrame, key: str, order: Sequence[str]) -> DataFrame:
     """First row per key in the given order: a map-side aggregate, so a key with many copies is no hot task."""
@@ -18,37 +20,54 @@ def first_by_key(df: DataFrame, key: str, order: Sequence[str]) -> DataFrame:
 
 
 def read_if_exists(spark: SparkSession, path: str, columns: Sequence[str]) -> DataFrame | None:
+    """The stored columns, or None if nothing was written there yet. Any other problem is an error."""
     try:
         return spark.read.parquet(path).select(*columns)
-    except AnalysisException:
-        return None
+    except AnalysisException as e:
+        if e.getCondition() in ("PATH_NOT_FOUND", "UNABLE_TO_INFER_SCHEMA"):
+            return None
+        raise
 
 
 def write_new(df: DataFrame, path: str, key: str, order: Sequence[str], time: str = "event_time") -> dict[str, int]:
     """Append the rows whose key is not stored yet, partitioned by date; the first row of a key wins.
 
-    A key belongs to one date, so only the key column of the date range of the new rows is read back. Returns
-    inserted and duplicate counts. ``df`` is read twice: stage it when it is expensive.
+    A key belongs to one date, so only the key column of the date range of the new rows is read back. The new rows are
+    staged, which makes their number a count of what is written, also when there are none. Returns inserted and
+    duplicate counts.
     """
     spark = df.sparkSession
     dated = df.withColumn("event_date", F.to_date(time))
     offered = dated.agg(F.count(F.lit(1)).alias("n"), F.min("event_date").alias("a"), F.max("event_date").alias("b")).first()
+    if not offered["n"]:
+        return {"inserted": 0, "duplicates": 0}
     unique = first_by_key(dated, key, order)
     stored = read_if_exists(spark, path, [key, "event_date"])
-    if stored is not None and offered["n"]:
-        touched = stored.where(F.col("event_date").between(F.lit(offered["a"]), F.lit(offered["b"])))
-        unique = unique.join(touched, [key, "event_date"], "left_anti")
-    seen = Observation("sink")
-    spread = unique.observe(seen, F.count(F.lit(1)).alias("inserted")).repartition(
-        "event_date", F.pmod(F.xxhash64(key), F.lit(16))
-    )
-    spread.write.mode("append").partitionBy("event_date").parquet(path)
-    inserted = seen.get["inserted"]
+    if stored is not None:
+        touched = stored.where(F.col("event_date").between(F.lit(offered["a"]), F.lit(offered["b"])) | F.col("event_date").isNull())
+        unique = unique.join(touched.select(key), key, "left_anti")
+    new = stage(unique, "new-rows")
+    inserted = new.count()
+    if inserted:
+        spread = new.repartition("event_date", F.pmod(F.xxhash64(key), F.lit(16)))
+        spread.write.mode("append").partitionBy("event_date").parquet(path)
     return {"inserted": inserted, "duplicates": offered["n"] - inserted}
 
 
-def append_json(df: DataFrame, path: str) -> None:
-    df.write.mode("append").json(path)
+def append_json(df: DataFrame, path: str, key: str, order: Sequence[str]) -> int:
+    """Append the rows whose key is not stored yet as JSON lines; returns how many there were."""
+    spark = df.sparkSession
+    unique = first_by_key(df, key, order)
+    try:
+        unique = unique.join(spark.read.schema(df.schema).json(path).select(key), key, "left_anti")
+    except AnalysisException as e:
+        if e.getCondition() != "PATH_NOT_FOUND":
+            raise
+    new = stage(unique, "new-lines")
+    inserted = new.count()
+    if inserted:
+        new.write.mode("append").json(path)
+    return inserted
 
 
 def run_summary(run_id: str, counts: DataFrame, scores: DataFrame) -> DataFrame:
@@ -83,10 +102,3 @@ def ledger_markdown(summary: DataFrame) -> str:
     lines = [f"## Run {row['run_id']}", "", "| Horizon | MAE | RMSE | Coverage | Skill |", "| --- | --- | --- | --- | --- |"]
     lines += [f"| {h}h | {mae[h]:.4f} | {rmse[h]:.4f} | {cover[h] * 100:.1f}% | {skill[h]:+.3f} |" for h in sorted(mae)]
     return "\n".join(lines)
-
-
-def table_markdown(df: DataFrame, rows: int = 50) -> str:
-    """A small report as Markdown; larger reports are for tables, not for the driver."""
-    head = df.limit(rows).collect()
-    lines = ["| " + " | ".join(df.columns) + " |", "|" + " --- |" * len(df.columns)]
-    return "\n".join(lines + ["| " + " | ".join(str(v) for v in r) + " |" for r in head])

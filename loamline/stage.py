@@ -9,6 +9,8 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -27,9 +29,28 @@ def stage_folder(spark: SparkSession) -> str:
     return folder
 
 
+_SCOPES: list[list[str]] = []
+
+
 def stage(df: DataFrame, label: str) -> DataFrame:
-    """Write ``df`` and read it back. The folder's owner removes old tables, as with checkpoints."""
+    """Write ``df`` and read it back. Inside ``removed_after`` the table goes at its end; else the folder's owner removes
+    old tables, as with checkpoints."""
     spark = df.sparkSession
     path = f"{stage_folder(spark)}/{label}-{uuid.uuid4().hex}"
+    if _SCOPES:
+        _SCOPES[-1].append(path)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+@contextmanager
+def removed_after(spark: SparkSession) -> Iterator[None]:
+    """Tables staged inside are removed at the end: everything that reads them has to be written by then."""
+    _SCOPES.append([])
+    try:
+        yield
+    finally:
+        context = spark.sparkContext
+        for path in _SCOPES.pop():
+            where = context._jvm.org.apache.hadoop.fs.Path(path)
+            where.getFileSystem(context._jsc.hadoopConfiguration()).delete(where, True)

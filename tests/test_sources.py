@@ -43,7 +43,8 @@ def test_station_files(spark, tmp_path):
 
 def packet(**changes):
     p = {"device_id": "d1", "site_id": "f1", "timestamp_utc": "2023-06-01T00:00:00Z", "is_simulated": False,
-         "sensors": {"soil_moisture_5cm": 0.25, "air_temp_c": None, "rh_pct": "wet"}}
+         "sensors": {"soil_moisture_5cm": 0.25, "air_temp_c": None, "rh_pct": "wet", "solar_radiation_wm2": "NaN",
+                     "precipitation_mm": "-Infinity"}}
     p.update(changes)
     return json.dumps(p)
 
@@ -55,17 +56,20 @@ def test_device_packets(spark):
     out = device_json.decode(df)
     good = device_json.good_packets(out).collect()
     assert [(g.site_id, g.data_class) for g in good] == [("f1", "OBSERVED"), ("FIELD_DEFAULT", "SIMULATED_REPLAY")]
-    assert [(m.sensor_id, m.value) for m in good[0].measurements] == [("d1-soil_moisture_5cm", 0.25), ("d1-rh_pct", None)]
+    assert [(m.sensor_id, m.value) for m in good[0].measurements] == [("d1-soil_moisture_5cm", 0.25), ("d1-rh_pct", None), ("d1-solar_radiation_wm2", None),
+                                                                        ("d1-precipitation_mm", None)]
     reasons = sorted(r.failure_reason for r in device_json.dead_letters(out).collect())
     assert reasons == ["device_id, timestamp_utc or sensors object is missing", "no sensor reading in the packet",
                        "packet is not a JSON object", "timestamp_utc is not a time"]
 
 
+MEASURED = {"sensor_id": "a", "variable_name": "air_temperature", "depth_cm": 0.0, "value": None, "unit": "degC", "qc_flag": "MISSING"}
+
+
 def event(**changes):
     e = {"schema_version": "1.0.0", "event_id": "00000000-0000-4000-8000-000000000000", "source_id": "s", "site_id": "f",
-         "event_time": "2023-06-01T00:00:00Z", "ingest_time": "2023-06-01T00:00:05Z", "provenance": {"data_class": "OBSERVED"},
-         "measurements": [{"sensor_id": "a", "variable_name": "air_temperature", "depth_cm": 0.0, "value": None, "unit": "degC",
-                           "qc_flag": "MISSING"}]}
+         "event_time": "2023-06-01T00:00:00Z", "ingest_time": "2023-06-01T00:00:05Z", "provenance": {"data_class": "OBSERVED", "network": "N"},
+         "measurements": [MEASURED]}
     e.update(changes)
     return json.dumps({k: v for k, v in e.items() if v != "DROP"})
 
@@ -76,6 +80,23 @@ def event(**changes):
     (event(schema_version="one", event_id="x"), ["[event_id] is not a UUID", "[schema_version] is not a version"]),
     (event(measurements=[]), ["[measurements] is empty"]),
     ("[1", ["[root] is not a JSON object"]),
+    ("[1]", ["[root] is not a JSON object"]),
+    (event(source_id=None), ["[root] 'source_id' is required"]),
+    (event(source_id=5), ["[source_id] has the wrong type"]),
+    (event(provenance={"data_class": "OBSERVED"}), ["[provenance] 'network' is required"]),
+    (event(provenance={"network": "N"}), ["[provenance] 'data_class' is required"]),
+    (event(provenance={"data_class": "OBSERVED", "network": "N", "owner": 1}), ["[provenance] unknown field"]),
+    (event(provenance={"data_class": "OBSERVED", "network": "N", "synthetic_fault_type": None}), []),
+    (event(provenance="OBSERVED"), ["[provenance] has the wrong type"]),
+    (event(measurements=[MEASURED | {"more": 1}]), ["[measurements] unknown field"]),
+    (event(measurements=[{k: v for k, v in MEASURED.items() if k != "value"}]), ["[measurements] 'value' is required"]),
+    (event(measurements=[{k: v for k, v in MEASURED.items() if k not in ("variable_name", "qc_flag")}]),
+     ["[measurements] 'qc_flag' is required", "[measurements] 'variable_name' is required"]),
+    (event(measurements=[MEASURED | {"value": "wet"}]), ["[measurements.value] has the wrong type"]),
+    (event(measurements=[MEASURED | {"depth_cm": "deep"}]), ["[measurements.depth_cm] has the wrong type"]),
+    (event(measurements=[MEASURED, 7]), ["[measurements] is not a list of objects"]),
+    (event(event_time="2023"), ["[event_time] is not a time"]),
+    (event(qc_summary={"flag_count": -1}), ["[qc_summary.flag_count] is negative"]),
 ])
 def test_event_contract(spark, text, want):
     report = contracts.event_report(spark.createDataFrame([(text,)], "value string")).first()
@@ -116,7 +137,18 @@ def test_idempotent_sink(spark, tmp_path):
     path = str(tmp_path / "events")
     assert sinks.write_new(batch([1, 2, 2]), path, "key", ["n"]) == {"inserted": 2, "duplicates": 1}
     assert sinks.write_new(batch([2, 3]), path, "key", ["n"]) == {"inserted": 1, "duplicates": 1}
+    assert sinks.write_new(batch([2, 3]), path, "key", ["n"]) == {"inserted": 0, "duplicates": 2}
+    assert sinks.write_new(batch([]), path, "key", ["n"]) == {"inserted": 0, "duplicates": 0}
     assert sorted((r.source_id, r.n) for r in spark.read.parquet(path).collect()) == [(1, 0), (2, 1), (3, 1)]
+    with pytest.raises(PySparkException):
+        sinks.read_if_exists(spark, path, ["no_such_column"])
+
+
+def test_json_lines_are_appended_once(spark, tmp_path):
+    df = spark.createDataFrame([("a", 1), ("b", 2), ("a", 3)], "k string, n int")
+    path = str(tmp_path / "lines")
+    assert [sinks.append_json(df, path, "k", ["n"]) for _ in range(2)] == [2, 0]
+    assert sorted((r.k, r.n) for r in spark.read.schema(df.schema).json(path).collect()) == [("a", 1), ("b", 2)]
 
 
 def test_run_summary_and_ledger(spark):
