@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from loamline.checks.sql import oracle_sql, scale
 from loamline.functions.keys import ingress_key, iso_utc, natural_key
 from loamline.layout import Layout
-from loamline.operators import audit, episodes, faults, filters, qc, ridge
+from loamline.operators import audit, episodes, faults, filters, qc, ridge, series
 from loamline.operators import decision as D
 from loamline.operators import forecast as FC
 from loamline.operators import uncertainty as U
@@ -61,13 +61,17 @@ def _events(spark, d):
 
 def _split(spark, d):
     rows, lay = _series(spark, d)
-    series = split_states(rows, ORDER, ["event_time", "theta_rz"], layout=lay).where("n_all >= 218")
+    series = split_states(rows, ORDER, ["event_time", "theta_rz"], layout=lay)
     return series.withColumn("y", F.col("theta_rz")), lay
 
 
-def _featured(spark, d, oracle=False):
+def _featured(spark, d, oracle=False, scored=True):
     rows, lay = _series(spark, d)
-    return models.featured_series(rows, ORDER, oracle=oracle, layout=lay), lay
+    return models.featured_series(rows, ORDER, oracle=oracle, layout=lay, scored=scored), lay
+
+
+def skipped_series(spark, d):
+    return series.skipped_series(T.event_readings(spark, d), HORIZONS)
 
 
 def _depletion(spark, d):
@@ -132,7 +136,7 @@ def store_counts(spark, d):
 def site_status(spark, d):
     rows, lay = _series(spark, d)
     states = water_state(valid_states(rows).select("source_id", *ORDER, "theta_rz"))
-    indexed = stage(index_rows(states, ["source_id"], ORDER, lay).where("n >= 218").select(
+    indexed = stage(index_rows(states, ["source_id"], ORDER, lay).select(
         "source_id", "event_time", "rn", "n", "theta_rz", "depletion_fraction"), "status")
     counters = rows.groupBy("source_id").agg(F.count(F.lit(1)).alias("ingested"))
     return r9(audit.site_status(indexed, counters))
@@ -246,17 +250,17 @@ def contract_report(spark, d):
 
 
 def features_causal(spark, d):
-    f, _ = _featured(spark, d)
+    f, _ = _featured(spark, d, scored=False)
     return r6(f.select("source_id", "split", "rn", *ARX_FEATURES, "regime"))
 
 
 def regime_counts(spark, d):
-    f, _ = _featured(spark, d)
+    f, _ = _featured(spark, d, scored=False)
     return r6(f.groupBy("source_id", "split", "regime").agg(F.count(F.lit(1)).alias("rows"), F.sum("rain_72").alias("rain_72")))
 
 
 def oracle_future_rain(spark, d):
-    f, _ = _featured(spark, d, oracle=True)
+    f, _ = _featured(spark, d, oracle=True, scored=False)
     return r6(f.select("source_id", "split", "rn", *[f"oracle_rain_{h}" for h in HORIZONS]))
 
 
@@ -650,9 +654,9 @@ def stream_late_split(spark, d):
         F.count(F.lit(1)).alias("events"))
 
 
-ROWS_ONLY = ["forecast_events", "forecast_ridge", "model_ladder", "model_ladder_depletion", "model_ladder_topsoil",
-             "forecast_hybrid", "oracle_ablation", "fallback_routing", "site_evaluation", "site_outcomes",
-             "cross_site_summary", "run_summary"]
+ROWS_ONLY = ["forecast_ridge", "model_ladder", "model_ladder_depletion", "model_ladder_topsoil",
+             "forecast_hybrid", "oracle_ablation", "site_evaluation", "site_outcomes",
+             "cross_site_summary"]
 
 
 def _utc(fn):

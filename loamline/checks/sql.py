@@ -47,8 +47,17 @@ SPLIT = STATES + f""", ix AS (SELECT *, row_number() OVER (PARTITION BY source_i
     (CASE WHEN step <= floor(n_all * 0.5) THEN floor(n_all * 0.5) ELSE n_all - floor(n_all * 0.5) END)::BIGINT AS n,
     theta AS y FROM ix WHERE n_all >= 218)"""
 
-PAIRS = SPLIT + f""", pr AS (SELECT a.source_id, a.split, a.rn, h.horizon, a.y, b.y AS y_ahead, b.y - a.y AS e
-  FROM se a CROSS JOIN {H_LIST} h JOIN se b ON b.source_id = a.source_id AND b.split = a.split AND b.rn = a.rn + h.horizon)"""
+SPLIT_ALL = SPLIT.replace(" FROM ix WHERE n_all >= 218)", " FROM ix)")
+
+
+def pairs(source: str, more: str = "") -> str:
+    """CTE pr: each row of ``source`` with its value every horizon ahead in the same series."""
+    ahead = ", ".join(f"lead(y, {h}) OVER w" for h in HORIZONS)
+    return f"""pr AS (SELECT *, y_ahead - y AS e FROM (SELECT source_id, split, rn, y{more}, unnest({HORIZONS})::INT AS horizon, unnest(ahead) AS y_ahead
+      FROM (SELECT *, [{ahead}] AS ahead FROM {source} WINDOW w AS (PARTITION BY source_id, split ORDER BY rn))) WHERE y_ahead IS NOT NULL)"""
+
+
+PAIRS = SPLIT + ", " + pairs("se")
 
 CLIP = "greatest(0.0::DOUBLE, least(0.6::DOUBLE, {}))"
 TIE = "5e-10::DOUBLE"
@@ -71,7 +80,7 @@ def walk_forward(by: str) -> str:
   FROM s GROUP BY {join}"""
 
 
-FEATURES = SPLIT + """, ft AS (SELECT source_id, split, rn, n, event_time, y, rain, solar, """ + ", ".join(
+_FEATURES = """, ft AS (SELECT source_id, split, rn, n, event_time, y, rain, solar, """ + ", ".join(
     ["y AS lag_0"] + [f"coalesce(lag(y, {k}) OVER w, first_value(y) OVER w) AS lag_{k}" for k in (1, 2, 6, 12, 24, 48)]
 ) + """, CASE WHEN rn <= 24 THEN 0 ELSE y - lag(y, 24) OVER w END AS delta_24, """ + ", ".join(
     [f"sum(rain) OVER (w ROWS BETWEEN {k - 1} PRECEDING AND CURRENT ROW) AS rain_{k}" for k in (1, 6, 24, 72)]
@@ -83,8 +92,9 @@ FEATURES = SPLIT + """, ft AS (SELECT source_id, split, rn, n, event_time, y, ra
   fx AS (SELECT *, avg(temp_now) OVER (PARTITION BY source_id, split ORDER BY rn ROWS BETWEEN 23 PRECEDING AND CURRENT ROW) AS temp_mean_24,
     CASE WHEN rain_24 > 1.0 THEN 'WET_ANTECEDENT' WHEN solar_now >= 200.0 THEN 'HIGH_EVAP' ELSE 'DRY_QUIESCENT' END AS regime FROM ft)"""
 
-FPAIRS = FEATURES + f""", pr AS (SELECT a.source_id, a.split, a.rn, h.horizon, a.y, a.regime, b.y AS y_ahead, b.y - a.y AS e
-  FROM fx a CROSS JOIN {H_LIST} h JOIN se b ON b.source_id = a.source_id AND b.split = a.split AND b.rn = a.rn + h.horizon)"""
+FEATURES, FEATURES_ALL = SPLIT + _FEATURES, SPLIT_ALL + _FEATURES
+
+FPAIRS = FEATURES + ", " + pairs("fx", ", regime")
 
 AR = ["lag_0", "lag_1", "lag_2", "lag_6", "lag_12", "lag_24", "lag_48", "delta_24"]
 ARX = AR + ["rain_1", "rain_6", "rain_24", "rain_72", "temp_now", "temp_mean_24", "solar_now", "solar_sum_24", "hour_sin", "hour_cos"]
@@ -271,9 +281,10 @@ def _loss() -> str:
       FROM gd LEFT JOIN tr USING (source_id, {ORDER}) GROUP BY loss"""
 
 
-EXCEED = FPAIRS.replace("theta AS y FROM ix", "(0.32::DOUBLE - theta) / (0.32::DOUBLE - 0.14::DOUBLE) AS y FROM ix") + f""", tr AS (SELECT source_id, horizon, list(round(e, 12)) AS es FROM pr WHERE split = 'train' GROUP BY ALL),
-  qs AS (SELECT source_id, rn, h.horizon, y, round(0.5::DOUBLE - y, 12) AS gap FROM fx CROSS JOIN {H_LIST} h WHERE split = 'test'),
-  ex AS (SELECT q.source_id, q.rn, q.horizon, q.y, len(list_filter(es, lambda x: x >= gap)) / len(es)::DOUBLE AS p FROM qs q JOIN tr USING (source_id, horizon)),
+EXCEED = FPAIRS.replace("theta AS y FROM ix", "(0.32::DOUBLE - theta) / (0.32::DOUBLE - 0.14::DOUBLE) AS y FROM ix") + f""", qs AS (SELECT source_id, rn, h.horizon, y, round(0.5::DOUBLE - y, 12) AS gap FROM fx CROSS JOIN {H_LIST} h WHERE split = 'test'),
+  un AS (SELECT source_id, horizon, round(e, 12) AS v, 1 AS known, NULL AS rn, NULL AS y FROM pr WHERE split = 'train' UNION ALL SELECT source_id, horizon, gap, 0, rn, y FROM qs),
+  ex AS (SELECT source_id, rn, horizon, y, above / total::DOUBLE AS p FROM (SELECT *, sum(known) OVER (PARTITION BY source_id, horizon ORDER BY v DESC RANGE BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS above,
+    sum(known) OVER (PARTITION BY source_id, horizon) AS total FROM un) WHERE known = 0 AND total > 0),
   qq AS (SELECT source_id, horizon, quantile_cont(e, 0.1) AS q10, quantile_cont(e, 0.9) AS q90 FROM pr WHERE split = 'train' GROUP BY ALL),
   er AS (SELECT ex.*, greatest(-0.5::DOUBLE, least(1.5::DOUBLE, y + q10)) AS lo, greatest(-0.5::DOUBLE, least(1.5::DOUBLE, y + q90)) AS hi FROM ex JOIN qq USING (source_id, horizon)),
   ce AS (SELECT *, CASE WHEN horizon > 48 AND ((lo <= 0.5 AND 0.5 <= hi) OR y >= 0.5) THEN 'HIGHLY_UNCERTAIN' WHEN hi < 0.5 THEN 'DEFINITELY_NOT_REACHED'
@@ -298,7 +309,7 @@ def oracle_sql() -> dict[str, str]:
         "audit_completeness": f"""WITH {RD}, lg AS ({' UNION ALL '.join(f"SELECT source_id, '{c}' AS variable, {c} AS value FROM rd" for c in QC_COLUMNS)})
           SELECT source_id, variable, round(count(value) * 100.0::DOUBLE / count(*), 6) AS present_pct FROM lg GROUP BY GROUPING SETS ((source_id), (source_id, variable))""",
         "store_counts": f"WITH {QC} SELECT 'events' AS \"table\", count(*) AS rows, count(*) FILTER (quarantined) AS quarantined FROM qc UNION ALL SELECT 'readings', count(*) * 6, 0 FROM qc",
-        "site_status": f"""WITH {SPLIT}, k AS (SELECT source_id, count(*) AS ingested FROM ss GROUP BY ALL), l AS (SELECT *, (0.32::DOUBLE - theta) / (0.32::DOUBLE - 0.14::DOUBLE) AS dr FROM ix WHERE step = n_all),
+        "site_status": f"""WITH {SPLIT_ALL}, k AS (SELECT source_id, count(*) AS ingested FROM ss GROUP BY ALL), l AS (SELECT *, (0.32::DOUBLE - theta) / (0.32::DOUBLE - 0.14::DOUBLE) AS dr FROM ix WHERE step = n_all),
           w AS (SELECT source_id, count(*) AS recent_states, avg(theta) AS rt FROM ix WHERE step > n_all - 48 GROUP BY ALL)
           SELECT l.source_id, l.event_time, {r('l.theta', 'theta_rz')}, {r('dr', 'depletion_fraction')}, recent_states, {r('rt', 'recent_theta')}, ingested FROM l JOIN w USING (source_id) JOIN k USING (source_id)""",
         "qc_flags_wide": f"WITH {QC_LONG} SELECT source_id, sensor_id, qc_flag, count(*) AS readings, {r('sum(value)', 'total')} FROM ql GROUP BY ALL",
@@ -322,9 +333,9 @@ def oracle_sql() -> dict[str, str]:
             CASE WHEN event_id % 5 = 0 THEN '[provenance] ''network'' is required' END,
             CASE WHEN event_id % 13 = 0 THEN '[provenance] unknown field' END,
             CASE WHEN value > 100 THEN '[measurements.depth_cm] is negative' END], lambda x: x IS NOT NULL)) AS violation FROM events) GROUP BY violation""",
-        "features_causal": f"WITH {FEATURES} SELECT source_id, split, rn, {', '.join(r(f, f) for f in ARX)}, regime FROM fx",
-        "regime_counts": f"WITH {FEATURES} SELECT source_id, split, regime, count(*) AS rows, {r('sum(rain_72)', 'rain_72')} FROM fx GROUP BY ALL",
-        "oracle_future_rain": f"WITH {FEATURES} SELECT source_id, split, rn, " + ", ".join(
+        "features_causal": f"WITH {FEATURES_ALL} SELECT source_id, split, rn, {', '.join(r(f, f) for f in ARX)}, regime FROM fx",
+        "regime_counts": f"WITH {FEATURES_ALL} SELECT source_id, split, regime, count(*) AS rows, {r('sum(rain_72)', 'rain_72')} FROM fx GROUP BY ALL",
+        "oracle_future_rain": f"WITH {FEATURES_ALL} SELECT source_id, split, rn, " + ", ".join(
             f"round(sum(rain) OVER (PARTITION BY source_id, split ORDER BY rn ROWS BETWEEN CURRENT ROW AND {h - 1} FOLLOWING), 6) AS oracle_rain_{h}" for h in HORIZONS) + " FROM fx",
         "weather_aligned": """WITH s AS (SELECT user_id AS source_id, date_trunc('hour', ts)::TIMESTAMP AS event_time, event_id FROM events WHERE event_type <> 'view'),
           w AS (SELECT user_id AS source_id, date_trunc('hour', ts)::TIMESTAMP AS event_time, arg_min(value, (ts, event_id)) AS rain FROM events WHERE event_type = 'view' GROUP BY ALL)
@@ -332,8 +343,15 @@ def oracle_sql() -> dict[str, str]:
         "forecast_persistence": f"""WITH {PAIRS}, q AS (SELECT source_id, horizon, quantile_cont(e, [0.1, 0.25, 0.5, 0.75, 0.9]) AS q FROM pr WHERE split = 'train' GROUP BY ALL)
           SELECT source_id, step, horizon, event_time + to_hours(horizon) AS valid_time, CASE WHEN horizon <= 48 THEN 'SUPPORTED' ELSE 'RESEARCH' END AS support, {r('y', 'point')}, """ + ", ".join(
             r(CLIP.format(f"y + q[{i}]"), n) for i, n in enumerate(("q10", "q25", "q50", "q75", "q90"), 1)) + " FROM se JOIN q USING (source_id) WHERE split = 'test'",
-        "forecast_mean_expanding": f"WITH {SPLIT} SELECT source_id, split, rn, {r(CLIP.format('avg(y) OVER (PARTITION BY source_id, split ORDER BY rn)'), 'point')} FROM se",
-        "forecast_ewma": f"""WITH {SPLIT}, l AS (SELECT source_id, split, rn, list(y) OVER (PARTITION BY source_id, split ORDER BY rn) AS ys FROM se)
+        "skipped_series": """SELECT user_id AS source_id, count(*) AS readings, 'fewer than 218 readings' AS reason FROM events GROUP BY user_id HAVING count(*) < 218""",
+        "run_summary": f"""SELECT 'RUN-CHECK' AS run_id, total_records, quarantined, mae AS mae_24, rmse AS rmse_24, skill_vs_mean AS skill_vs_mean_24, coverage AS coverage_24
+          FROM (WITH {QC} SELECT count(*) AS total_records, count(*) FILTER (quarantined) AS quarantined FROM qc), ({walk_forward('horizon')}) WHERE horizon = 24""",
+        "forecast_events": f"""WITH {SPLIT} SELECT sha256(concat_ws('|', source_id::VARCHAR, event_time::VARCHAR, rn::VARCHAR, 'PERSISTENCE_BASELINE')) AS forecast_id, source_id,
+          event_time AS origin_time, 'volumetric_water_content' AS target_variable, 7 AS horizons, round(y::VARCHAR::DECIMAL(38,20), 4)::DOUBLE AS point FROM se WHERE split = 'test'""",
+        "fallback_routing": f"""WITH {FEATURES} SELECT source_id, source_id % 7 = 0 AS used_fallback, count(*) AS forecasts,
+          {r('avg(CASE WHEN source_id % 7 = 0 THEN lag_0 ELSE 0.5::DOUBLE * lag_0 + 0.5::DOUBLE * lag_24 END)', 'mean_point')} FROM fx WHERE split = 'test' GROUP BY ALL""",
+        "forecast_mean_expanding": f"WITH {SPLIT_ALL} SELECT source_id, split, rn, {r(CLIP.format('avg(y) OVER (PARTITION BY source_id, split ORDER BY rn)'), 'point')} FROM se",
+        "forecast_ewma": f"""WITH {SPLIT_ALL}, l AS (SELECT source_id, split, rn, list(y) OVER (PARTITION BY source_id, split ORDER BY rn) AS ys FROM se)
           SELECT source_id, split, rn, {r(CLIP.format('list_reduce(ys, lambda a, x: 0.2::DOUBLE * x + 0.8::DOUBLE * a)'), 'point')} FROM l""",
         "ridge_gram_ar": gram(AR),
         "ridge_gram_arx": gram(ARX),

@@ -125,11 +125,16 @@ def solve(sums: DataFrame, features: Sequence[str], models: dict, level: float =
 
 
 def fit(featured: DataFrame, horizons: Sequence[int], level: float = 0.25, oracle: bool = False) -> DataFrame:
-    """Weights of the autoregressive and the environmental model (and the future-rain ablation)."""
+    """Weights of the autoregressive and the environmental model (and the future-rain ablation).
+
+    Each has sums over the rows on which its own features are complete, so a station without weather keeps the
+    autoregressive model.
+    """
     features = [*ARX_FEATURES, *(["oracle_rain"] if oracle else [])]
-    models = {**MODELS, **({ORACLE: (features, 10.0, True)} if oracle else {})}
-    sums = cross_sums(featured, horizons, ARX_FEATURES, level, oracle)
-    return solve(sums, features, models, level)
+    models = {k: v for k, v in MODELS.items() if not set(v[0]) <= set(AR_FEATURES)} | ({ORACLE: (features, 10.0, True)} if oracle else {})
+    plain = {k: v for k, v in MODELS.items() if k not in models}
+    with_weather = solve(cross_sums(featured, horizons, ARX_FEATURES, level, oracle), features, models, level)
+    return solve(cross_sums(featured, horizons, AR_FEATURES, level), AR_FEATURES, plain, level).unionByName(with_weather)
 
 
 def predict(weights: Column, features: Sequence[Column], bounds: tuple[float, float], current: Column) -> Column:

@@ -36,9 +36,21 @@ def chronological_split(df: DataFrame, fraction: float = 0.5) -> DataFrame:
     )
 
 
+def least_rows(horizons: Sequence[int], margin: int = 50) -> int:
+    """Rows a series needs to be scored at every horizon."""
+    return max(horizons) + margin
+
+
 def long_enough(df: DataFrame, horizons: Sequence[int], margin: int = 50) -> DataFrame:
-    """Series with at least max(horizon)+margin rows; shorter ones cannot be scored."""
-    return df.where(F.col("n_all") >= max(horizons) + margin)
+    """Series with enough rows to be scored; ``skipped_series`` reports the others."""
+    return df.where(F.col("n_all") >= least_rows(horizons, margin))
+
+
+def skipped_series(rows: DataFrame, horizons: Sequence[int], margin: int = 50) -> DataFrame:
+    """Series too short to be scored: source_id, readings, reason."""
+    least = least_rows(horizons, margin)
+    return rows.groupBy("source_id").agg(F.count(F.lit(1)).alias("readings")).where(F.col("readings") < least).withColumn(
+        "reason", F.lit(f"fewer than {least} readings"))
 
 
 def with_targets(df: DataFrame, y: str, horizons: Sequence[int], keys: Sequence[str] = KEYS,

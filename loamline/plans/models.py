@@ -28,10 +28,14 @@ HYBRID_HOURS = 48
 
 def featured_series(rows: DataFrame, order: Sequence[str], target: Column | None = None,
                     horizons: Sequence[int] = HORIZONS, fraction: float = 0.5, oracle: bool = False,
-                    layout: Layout = DEFAULT) -> DataFrame:
-    """Valid states, split, with features and targets; ``y`` is root-zone moisture unless a column is given."""
+                    layout: Layout = DEFAULT, scored: bool = True) -> DataFrame:
+    """Valid states, split, with features and targets; ``y`` is root-zone moisture unless a column is given.
+
+    With ``scored``, series too short to be scored at every horizon are left out, as the experiments do.
+    """
     keep = ["theta_rz", "soil_moisture_10cm", *WEATHER]
-    series = long_enough(split_states(rows, order, keep, fraction, layout), horizons)
+    series = split_states(rows, order, keep, fraction, layout)
+    series = long_enough(series, horizons) if scored else series
     y = target if target is not None else F.col("theta_rz")
     featured = with_features(series.withColumn("y", y), horizons, oracle=oracle, layout=layout)
     return stage(featured.drop("core"), "features")
@@ -76,15 +80,13 @@ def in_sample_spread(featured: DataFrame, weights: DataFrame, horizons: Sequence
     train = featured.where("is_train")
     lengths = train.groupBy("source_id").agg(F.max("n").alias("n"), F.max("split").alias("split"))
     rows = attach(train, lengths.join(learnt, "source_id"), KEYS, layout=layout, how="inner")
-    complete = F.lit(True)
-    for f in ARX_FEATURES:
-        complete = complete & F.col(f).isNotNull()
-    pairs = by_horizon(rows.where(complete), horizons, ["source_id", "y", *ARX_FEATURES], maps=["w"])
+    pairs = by_horizon(rows, horizons, ["source_id", "y", *ARX_FEATURES], maps=["w"])
     both = []
     for model, names in ((AR, AR_FEATURES), (ARX, ARX_FEATURES)):
         point = ridge.predict(F.col("w")[model], vectors(names), (-1e9, 1e9), F.lit(None).cast("double"))
         both.append(F.struct(F.lit(model).alias("model"), (F.col("y_ahead") - point).alias("residual")))
-    long = pairs.select("source_id", "horizon", F.inline(F.array(*both)))
+    # a row without weather has no environmental prediction, but an autoregressive one
+    long = pairs.select("source_id", "horizon", F.inline(F.array(*both))).where("residual is not null")
     probs = {"q10": 0.1, "q90": 0.9}
     return exact_quantiles(long, ["source_id", "model", "horizon"], "residual", probs, layout)
 

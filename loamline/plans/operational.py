@@ -57,17 +57,24 @@ def accepted_states(events: DataFrame, sites: DataFrame | None = None) -> DataFr
 
 
 def decision_candidates(events: DataFrame, sites: DataFrame | None = None, prior: str | None = None,
-                        risk: D.RiskRules = D.RiskRules(), layout: Layout = DEFAULT) -> DataFrame:
-    """Candidates of every cycle: quality alerts of quarantined events, else deviations and present risk.
+                        risk: D.RiskRules = D.RiskRules(), layout: Layout = DEFAULT,
+                        early: DataFrame | None = None) -> DataFrame:
+    """Candidates of every cycle: quality alerts of quarantined events, else deviations, present and forecast risk.
 
-    ``prior='persistence'`` compares each state with the one-step forecast made at the state before.
+    ``prior='persistence'`` compares each state with the one-step forecast made at the state before. ``early`` has the
+    earliest risky horizon of a cycle (``D.early_risk`` by source_id and step); present risk goes before forecast risk.
     """
     states = accepted_states(events, sites).drop("n")
     numbered = index_rows(stage(states, "states").withColumnRenamed("rn", "event_rn"), ["source_id"], ["event_rn"], layout,
                           bucket="block").drop("block")
     moved = D.with_previous_state(numbered, layout)
     prior_column = "prev_theta" if prior == "persistence" else prior
-    structs = [*D.deviations(moved.columns, prior=prior_column), D.current_risk(risk)]
+    present = D.current_risk(risk)
+    if early is not None:
+        first = early.select("source_id", "step", F.struct("horizon", "point", "exceedance", "certainty").alias("early"))
+        moved = moved.join(first, ["source_id", "step"], "left")
+        present = F.coalesce(present, D.forecast_risk(risk))
+    structs = [*D.deviations(moved.columns, prior=prior_column), present]
     from_states = D.explode_candidates(moved, structs)
     from_quality = D.explode_candidates(events, [D.quality_candidate()])
     return stage(from_quality.unionByName(from_states), "candidates")
@@ -75,10 +82,10 @@ def decision_candidates(events: DataFrame, sites: DataFrame | None = None, prior
 
 def decision_cycle(rows: DataFrame, order: Sequence[str], sites: DataFrame | None = None,
                    rules: FilterRules = FilterRules(count_mode="steps"), prior: str | None = None,
-                   layout: Layout = DEFAULT) -> tuple[DataFrame, DataFrame]:
-    """(cycles with their class, filtered alerts)."""
+                   layout: Layout = DEFAULT, early: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
+    """(cycles with their class, filtered alerts). ``early``: see ``decision_candidates``."""
     events = checked_events(rows, order, layout)
-    alerts = filter_alerts(decision_candidates(events, sites, prior, layout=layout), rules, layout)
+    alerts = filter_alerts(decision_candidates(events, sites, prior, layout=layout, early=early), rules, layout)
     cycles = events.select("source_id", "step", "event_time", "quarantined")
     return D.cycle_class(cycles, alerts.where("status = 'CONFIRMED'")), alerts
 
