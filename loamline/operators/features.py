@@ -19,6 +19,8 @@ from loamline.operators.series import KEYS
 LAGS = (0, 1, 2, 6, 12, 24, 48)
 RAIN_WINDOWS = (1, 6, 24, 72)
 DAY = 24
+# What stands for weather where none is given.
+NO_WEATHER = {"air_temp_c": 15.0, "precip_mm": 0.0, "solar_rad_wm2": 0.0}
 
 
 @dataclass(frozen=True)
@@ -102,9 +104,10 @@ def with_features(df: DataFrame, horizons: Sequence[int] = (), weather: bool = T
                   layout: Layout = DEFAULT) -> DataFrame:
     """Features, ``regime`` and ``y_<h>`` targets from one window; rows keep ``block`` for later joins.
 
-    ``oracle`` adds ``oracle_rain_<h>``, the rain of the rows i..i+h-1: it looks ahead and is no causal feature.
+    A weather column that the input lacks takes its value of NO_WEATHER. ``oracle`` adds ``oracle_rain_<h>``, the rain of the rows i..i+h-1: it looks ahead and is no causal feature.
     """
     if weather:
+        df = df.withColumns({c: F.lit(v) for c, v in NO_WEATHER.items() if c not in df.columns})
         df = fill_both_ways(df, ["air_temp_c"], layout=layout)
     ahead = max(horizons, default=0)
     rows = with_halo(df, before=LOOKBACK, after=ahead, layout=layout)

@@ -163,3 +163,18 @@ def test_bounds_and_fallback(spark):
                                "id double, primary double, persistence double")
     out = [(r.point, r.used_fallback) for r in FC.safe_route(df).orderBy("id").collect()]
     assert out == [(0.2, True), (0.4, False), (0.3, True)]
+
+
+def test_station_without_temperature_keeps_the_autoregressive_model(spark, rows, featured):
+    schema = "source_id string, event_time timestamp, y double, precip_mm double, solar_rad_wm2 double, air_temp_c double"
+    bare = spark.createDataFrame([(*r[:5], None) for r in rows], schema)
+    numbered = chronological_split(index_rows(bare, ["source_id"], ["event_time"], TINY))
+    got = {(r.horizon, r.model): r for r in ridge.fit(stage(with_features(numbered, HORIZONS, layout=TINY), "bare"), HORIZONS).collect()}
+    assert set(got) == {(h, "M1_AUTOREGRESSIVE") for h in HORIZONS}
+    full = {(r.horizon, r.model): r for r in ridge.fit(featured, HORIZONS).collect()}
+    assert len(full) == 2 * len(HORIZONS)
+    for k, r in got.items():
+        assert np.allclose(r.weights, full[k].weights) and r.bias == pytest.approx(full[k].bias)
+    # no weather column at all: fixed values stand in
+    plain = with_features(numbered.drop("precip_mm", "solar_rad_wm2", "air_temp_c"), HORIZONS, layout=TINY)
+    assert plain.select("temp_now", "temp_mean_24", "rain_72", "solar_sum_24").distinct().collect() == [(15.0, 15.0, 0.0, 0.0)]

@@ -145,3 +145,21 @@ def test_eight_scenarios_at_once(spark):
     assert got == {f"s{k}": v for k, v in RAW_AND_CONFIRMED.items()}
     quarantined = events.where("quarantined").select("source_id", "step")
     assert candidates.where("category = 'AGRONOMIC_RISK'").join(quarantined, ["source_id", "step"], "left_semi").isEmpty()
+
+
+def test_forecast_risk_joins_the_cycle(spark):
+    values = [0.24, 0.238, 0.236, 0.22, 0.219]  # the last two are past the allowed depletion already
+    rows = [reading(h, v, VWC, d, "s", ord_=i) for h, v in enumerate(values) for i, d in enumerate((5.0, 10.0, 20.0, 50.0, 100.0))]
+    events = operational.events_from_readings(spark.createDataFrame(rows, READING), ["event_time"], TINY)
+    early = spark.createDataFrame([("s", k, 24, 0.52, 0.8, "LIKELY_REACHED") for k in (1, 2, 4)],
+                                  "source_id string, step long, horizon int, point double, exceedance double, certainty string")
+    risk = lambda e: {r.step: r.horizon for r in operational.decision_candidates(events, layout=TINY, early=e).where("category = 'AGRONOMIC_RISK'").collect()}
+    assert risk(early) == {1: 24, 2: 24, 4: None, 5: None}
+    assert risk(None) == {4: None, 5: None}
+
+
+def test_skipped_series_are_reported(spark):
+    from loamline.operators.series import skipped_series
+
+    rows = spark.range(30).select((F.col("id") % 3 == 0).cast("int").alias("source_id"))
+    assert [(r.source_id, r.readings, r.reason) for r in skipped_series(rows, [5], 10).collect()] == [(1, 10, "fewer than 15 readings")]
