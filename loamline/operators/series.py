@@ -63,12 +63,16 @@ def with_targets(df: DataFrame, y: str, horizons: Sequence[int], keys: Sequence[
 
 def with_targets_by_time(df: DataFrame, y: str, horizons: Sequence[int], keys: Sequence[str] = KEYS,
                          time: str = "event_time") -> DataFrame:
-    """As ``with_targets`` but the target is the reading exactly h hours later, found by an equi-join on time."""
-    out = df
-    for h in horizons:
-        later = df.select(*keys, (F.col(time) - F.expr(f"interval {h} hours")).alias(time), F.col(y).alias(f"y_{h}"))
-        out = out.join(later, [*keys, time], "left")
-    return out
+    """As ``with_targets`` but the target is the reading exactly h hours later, found by an equi-join on time.
+
+    Of several readings at one time the smallest is the target, so a repeated time adds no rows. One join serves all
+    horizons: a reading is offered to the origins it is the target of.
+    """
+    once = df.groupBy(*keys, time).agg(F.min(y).alias("_y"))
+    offers = F.array(*[F.struct((F.col(time) - F.expr(f"interval {h} hours")).alias("t"), F.lit(h).alias("h")) for h in horizons])
+    offered = once.select(*keys, F.inline(offers), "_y").groupBy(*keys, F.col("t").alias(time)).agg(
+        *[F.max(F.when(F.col("h") == h, F.col("_y"))).alias(f"y_{h}") for h in horizons])
+    return df.join(offered, [*keys, time], "left")
 
 
 def by_horizon(df: DataFrame, horizons: Sequence[int], keep: Sequence[str], own: str | None = None,
