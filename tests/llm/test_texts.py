@@ -370,7 +370,7 @@ def test_anchors_follow_content():
     rules = suffix_dedup.PassageRules(length=20, piece=8)
     text = bytes(random.Random(1).choices(b"abc ", k=300))
     data = np.frombuffer(text + b"xyz" + text, np.uint8)
-    owner, lo, hi, h = suffix_dedup.anchored(data, np.array([0, 300, 303, 603]), rules)
+    owner, lo, hi, h, _ = suffix_dedup.anchored(data, np.array([0, 300, 303, 603]), rules)
     first = [(a, b, x) for o, a, b, x in zip(owner, lo, hi, h) if o == 0]
     assert first == [(a - 303, b - 303, x) for o, a, b, x in zip(owner, lo, hi, h) if o == 2]
     assert sum(b - a + 1 for a, b, _ in first) == 281
