@@ -43,7 +43,9 @@ def _lines(docs: DataFrame, rules: LineRules) -> DataFrame:
     """One row a line that has words: where it is, its words, two hashes, and the keys of its halves."""
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), _row_key().alias("row_key"),
                        F.posexplode(F.split(F.coalesce(F.col("text").cast("string"), F.lit("")), "\n", -1)).alias("line_no", "line"))
-    rows = rows.select("doc_id", "row_key", "line_no", F.array_remove(F.split(F.lower("line"), "[ \\t\\x0B\\f\\r]+", -1), "").alias("words"))
+    words = F.array_remove(F.split(F.lower("line"), "[ \\t\\x0B\\f\\r]+", -1), "")
+    # explode of one element: the planner can't copy the splitting into each condition and expression that uses the words
+    rows = rows.select("doc_id", "row_key", "line_no", F.explode(F.array(words)).alias("words"))
     rows = rows.withColumn("n", F.size("words")).where("n > 0")
 
     def halves(n: Column) -> list[Column]:
@@ -55,7 +57,7 @@ def _lines(docs: DataFrame, rules: LineRules) -> DataFrame:
     keys = F.array(*halves(F.col("n")), *halves(F.col("n") - 1))
     return rows.select(F.struct("doc_id", "row_key", "line_no").alias("at"), "words", "n",
                        F.xxhash64("words").alias("h1"), F.xxhash64(F.lit(3), F.col("words")).alias("h2"),
-                       F.when(F.col("n") >= rules.min_words, keys).alias("halves"))
+                       F.explode(F.array(F.when(F.col("n") >= rules.min_words, keys))).alias("halves"))
 
 
 def _bit(key: Column) -> tuple[Column, Column]:
@@ -79,39 +81,47 @@ def near_lines(lines: DataFrame, rules: LineRules = LineRules(), known: DataFram
     shared = stage(shared.where("count > 1").select("key"), "line-halves")
     bitmap = stage(_bitmap(shared), "line-bitmap").scalar()
 
-    # the keys are filtered after explode, where the planner can't repeat their computation in the condition
-    cell, bit = _bit(F.col("key"))
-    held = F.call_function("shiftrightunsigned", F.get(bitmap, cell), bit).bitwiseAND(F.lit(1)) == 1
-    keyed = lines.where("halves is not null").select("h1", "h2", "at", "words", F.explode("halves").alias("key")).where(held)
-    paired = keyed.join(shared, "key", "left_semi")
-    lines = stage(paired.groupBy("h1", "h2").agg(F.min("at").alias("at"), F.first("words").alias("words")), "line-candidates")
-
-    each = lines.select("h1", "h2", "at", F.size("words").alias("n"), F.posexplode("words").alias("p", "w"))
-    each = each.select("h1", "h2", "at", "n", (F.col("p") + 1).alias("i"), F.xxhash64("w", F.col("p") + 1).alias("a"), F.xxhash64("w", "p").alias("b"))
-    line = Window.partitionBy("h1", "h2").orderBy("i")
+    def held(key: Column) -> Column:
+        cell, bit = _bit(key)
+        return F.call_function("shiftrightunsigned", F.get(bitmap, cell), bit).bitwiseAND(F.lit(1)) == 1
+
+    hopeful = lines.where("halves is not null").where(held(F.get("halves", 0)) | held(F.get("halves", 1)) | held(F.get("halves", 2)) | held(F.get("halves", 3)))
+    first = hopeful.groupBy("h1", "h2").agg(F.min("at").alias("at"), F.first("words").alias("words"), F.first("halves").alias("halves"))
+    first = stage(first, "line-hopeful")
+    paired = first.select("h1", "h2", F.explode("halves").alias("key")).join(shared, "key", "left_semi").select("h1", "h2").distinct()
+    # numbered in the order of their first places: a smaller id is an earlier line
+    ordered = first.drop("halves").join(paired, ["h1", "h2"], "left_semi").orderBy("at")
+    lines = stage(ordered.select(F.monotonically_increasing_id().alias("id"), "h1", "h2", "words"), "line-candidates")
+
+    # dealt by line, so neither the windows over its words nor their total moves a row
+    each = lines.select("id", "words").repartition("id").select("id", F.size("words").alias("n"), F.posexplode("words").alias("p", "w"))
+    each = each.select("id", "n", (F.col("p") + 1).alias("i"), F.xxhash64("w", F.col("p") + 1).alias("a"), F.xxhash64("w", "p").alias("b"))
+    line = Window.partitionBy("id").orderBy("i")
     left = F.coalesce(F.bit_xor("a").over(line.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    right = F.coalesce(F.bit_xor("b").over(Window.partitionBy("h1", "h2").orderBy(F.desc("i")).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    cut = each.select("h1", "h2", "at", "i", F.xxhash64(F.col("n") - 1, left.bitwiseXOR(right)).alias("v"))
-    whole = each.groupBy("h1", "h2").agg(F.bit_xor("a").alias("x"), F.first("n").alias("n"), F.first("at").alias("at"))
-    whole = whole.select("h1", "h2", "at", F.lit(0).alias("i"), F.xxhash64("n", "x").alias("v"))
+    right = F.coalesce(F.bit_xor("b").over(Window.partitionBy("id").orderBy(F.desc("i")).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    cut = each.select("id", "i", F.xxhash64(F.col("n") - 1, left.bitwiseXOR(right)).alias("v"))
+    whole = each.groupBy("id").agg(F.bit_xor("a").alias("x"), F.first("n").alias("n"))
+    whole = whole.select("id", F.lit(0).alias("i"), F.xxhash64("n", "x").alias("v"))
     variants = stage(cut.unionByName(whole), "line-variants")
-
-    who = F.struct("at", "h1", "h2", "i")
-    best = variants.groupBy("v", "i").agg(F.min(who).alias("low"), F.count("*").alias("copies"))
-    beside = best.groupBy("v").agg(F.min(F.when(F.col("i") > 0, F.col("low"))).alias("cut_low"), F.min(F.when(F.col("i") == 0, F.col("low"))).alias("whole_low"),
-                                   F.count("*").alias("places"))
-    same = variants.where("i > 0").join(best.where("copies > 1 and i > 0").select("v", "i", "low"), ["v", "i"])
+    # nearly all variants occur once; a bitmap leaves them out before the joins
+    common = stage(variants.groupBy(F.col("v").alias("key")).count().where("count > 1").select("key"), "line-common")
+    bitmap = stage(_bitmap(common), "line-bitmap").scalar()
+    variants = stage(variants.where(held(F.col("v"))), "line-variants")
+
+    best = variants.groupBy("v", "i").agg(F.min("id").alias("low"), F.count("*").alias("copies"))
+    beside = best.groupBy("v").agg(F.min(F.when(F.col("i") > 0, F.struct("low", "i"))).alias("cut_low"),
+                                   F.min(F.when(F.col("i") == 0, F.struct("low", "i"))).alias("whole_low"))
+    same = variants.where("i > 0").join(best.where("copies > 1 and i > 0").select("v", "i", F.struct("low", "i").alias("other")), ["v", "i"])
     other = variants.join(beside.where("whole_low is not null and cut_low is not null"), "v").withColumn(
-        "low", F.when(F.col("i") == 0, F.col("cut_low")).otherwise(F.col("whole_low")))
-    pairs = same.select("h1", "h2", "at", "i", "low").unionByName(other.select("h1", "h2", "at", "i", "low")).where("low.at < at")
-    pairs = pairs.groupBy("h1", "h2", "low.h1", "low.h2", "i", "low.i").agg(F.lit(1)).toDF("h1", "h2", "g1", "g2", "i", "j", "one")
-    words = lines.select("h1", "h2", "words")
-    checked = pairs.join(words, ["h1", "h2"]).join(words.select(F.col("h1").alias("g1"), F.col("h2").alias("g2"), F.col("words").alias("other")), ["g1", "g2"])
+        "other", F.when(F.col("i") == 0, F.col("cut_low")).otherwise(F.col("whole_low")))
+    pairs = same.select("id", "i", "other").unionByName(other.select("id", "i", "other")).where("other.low < id")
+    pairs = pairs.select("id", "i", F.col("other.low").alias("other"), F.col("other.i").alias("j")).distinct()
+    checked = pairs.join(lines, "id").join(lines.select(F.col("id").alias("other"), F.col("words").alias("other_words")), "other")
 
     def without(words: Column, i: Column) -> Column:
         return F.when(i == 0, words).otherwise(F.concat(F.slice(words, F.lit(1), F.greatest(i - 1, F.lit(0))), F.slice(words, i + 1, F.size(words))))
 
-    return checked.where(without(F.col("words"), F.col("i")) == without(F.col("other"), F.col("j"))).select("h1", "h2").distinct()
+    return checked.where(without(F.col("words"), F.col("i")) == without(F.col("other_words"), F.col("j"))).select("h1", "h2").distinct()
 
 
 def _known(lines: DataFrame) -> DataFrame:
