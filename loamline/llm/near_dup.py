@@ -11,8 +11,8 @@ A document's set holds its distinct 2-word shingles. Two small collections of ``
 3. Pairs are confirmed on full sets, in the order that saves most work: each class's most frequent partner first;
    then only pairs of classes not yet connected, and of those only such whose signatures agree enough (eight standard
    deviations below the limit).
-4. Large groups whose members are still in several components are compared in full, block against block, by signature and then
-   by set, so no link between classes that share a key is lost.
+4. Components that still meet in large groups form families, which are compared in full, block against block, by
+   signature and then by set, so no link between classes that share a key is lost.
 
 Defined cases: null, empty and blank texts have an empty set, no links and are kept; a text of one word has that word as
 its shingle; repeated rows are linked by their equal sets; rows that share a doc_id are one node; a null doc_id has a null
@@ -205,8 +205,16 @@ def candidates(classes: DataFrame, rules: NearDupRules) -> DataFrame:
     return met
 
 
-def _confirmed(pairs: DataFrame, docs: DataFrame, rules: NearDupRules) -> DataFrame:
-    """The pairs (a, b) whose full sets are similar enough."""
+def _linked(x: np.ndarray, y: np.ndarray, percent: int) -> bool:
+    if not len(x) or not len(y):
+        return False
+    at = np.searchsorted(y, x)
+    both = int((y[np.minimum(at, len(y) - 1)] == x).sum())
+    return 100 * both >= percent * (len(x) + len(y) - both)
+
+
+def _sets(docs: DataFrame, ids: DataFrame, rules: NearDupRules) -> DataFrame:
+    """(id, set) of the documents in ``ids``, as sorted hashes."""
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -214,18 +222,20 @@ def _confirmed(pairs: DataFrame, docs: DataFrame, rules: NearDupRules) -> DataFr
                 yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array([x.tobytes() for x in shingle_sets(part.column("text"), rules.shingle)], pa.binary())],
                                                  names=["id", "set"])
 
+    return docs_of(docs).join(ids, "doc_id", "left_semi").mapInArrow(sets, "id long, set binary")
+
+
+def _confirmed(pairs: DataFrame, docs: DataFrame, rules: NearDupRules) -> DataFrame:
+    """The pairs (a, b) whose full sets are similar enough."""
+
     def confirm(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            keep = []
-            for x, y in zip(batch.column("x").to_pylist(), batch.column("y").to_pylist()):
-                x, y = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
-                at = np.searchsorted(y, x)
-                both = int((y[np.minimum(at, len(y) - 1)] == x).sum()) if len(x) and len(y) else 0
-                keep.append(100 * both >= rules.percent * (len(x) + len(y) - both) and both > 0)
+            keep = [_linked(np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64), rules.percent)
+                    for x, y in zip(batch.column("x").to_pylist(), batch.column("y").to_pylist())]
             yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
     ends = pairs.select(F.col("a").alias("doc_id")).union(pairs.select("b")).distinct()
-    found = stage(docs_of(docs).join(ends, "doc_id", "left_semi").mapInArrow(sets, "id long, set binary"), "near-sets")
+    found = stage(_sets(docs, ends, rules), "near-sets")
     both = pairs.select("a", "b").join(found.toDF("a", "x"), "a").join(found.toDF("b", "y"), "b")
     return both.mapInArrow(confirm, "a long, b long").distinct()
 
@@ -253,13 +263,10 @@ def near_duplicates(docs: DataFrame, rules: NearDupRules = NearDupRules()) -> Da
     best = ends(pairs).groupBy("id").agg(F.max("x").alias("x"))
     best = best.select(F.least("id", "x.o").alias("a"), F.greatest("id", "x.o").alias("b")).distinct()
     links = stage(_confirmed(best, docs, rules), "near-links")
-    parts = connected_components(links, "near-1")
+    parts = connected_components(links, "near")
     rest = _labelled(pairs, parts).where("ca <> cb").select("a", "b")
-    links2 = stage(_confirmed(_similar(rest, classes, rules), docs, rules), "near-links")
-    links = links.union(links2)
-    parts = connected_components(links, "near-2")
-    links3 = stage(_confirmed(_across(classes, large, parts, rules), docs, rules), "near-links")
-    parts = connected_components(links.union(links3), "near-3")
+    parts = _joined(parts, stage(_confirmed(_similar(rest, classes, rules), docs, rules), "near-links"))
+    parts = _joined(parts, _across(docs, classes, large, parts, rules))
     named = classes.select("s1", "s2", "id").join(parts, "id", "left").select("s1", "s2", F.coalesce("component", "id").alias("component"))
     out = rows.select("doc_id", "n_shingles", "s1", "s2").join(named, ["s1", "s2"], "left")
     component = F.when(F.col("n_shingles") > 0, F.when(F.col("doc_id").isNotNull(), F.col("component"))).otherwise(F.col("doc_id"))
@@ -286,14 +293,29 @@ def _similar(pairs: DataFrame, classes: DataFrame, rules: NearDupRules) -> DataF
     return stage(sized.select("a", "b", "sig", "sig_b").mapInArrow(run, "a long, b long").distinct(), "near-similar")
 
 
-def _across(classes: DataFrame, large: DataFrame, parts: DataFrame, rules: NearDupRules) -> DataFrame:
-    """Similar pairs of different components inside the large groups, block against block."""
+def _joined(parts: DataFrame, links: DataFrame) -> DataFrame:
+    """The components after further links (few, or none)."""
+    between = stage(_labelled(links, parts).where("ca <> cb").select(F.col("ca").alias("a"), F.col("cb").alias("b")).distinct(), "near-between")
+    if between.isEmpty():
+        return parts
+    new = connected_components(between, "near-between")
+    moved = parts.join(new.toDF("component", "low"), "component", "left").select("id", F.coalesce("low", "component").alias("component"))
+    return stage(moved.unionByName(new.join(parts, "id", "left_anti")), "near-parts")
+
+
+def _across(docs: DataFrame, classes: DataFrame, large: DataFrame, parts: DataFrame, rules: NearDupRules) -> DataFrame:
+    """Links between components that meet in a large group.
+
+    Components that share large keys form a family. Its members are compared block against block, with their
+    signatures and full sets at hand; a task returns only links that join what it hasn't joined yet.
+    """
     bits = rules.bits
     cells = large.groupBy(F.shiftrightunsigned("key", 42).alias("bit")).agg(F.lit(1).alias("one"))
     words = cells.groupBy(F.shiftright("bit", 6).alias("cell")).agg(F.bit_or(F.expr("shiftleft(1L, cast(bit & 63 as int))")).alias("word"))
-    bitmap = np.zeros(bits // 64, np.uint64)
-    for r in words.collect():  # at most bits / 64 rows
-        bitmap[r["cell"]] = np.uint64(r["word"] & 0xFFFFFFFFFFFFFFFF)
+    cells = words.toArrow()  # at most bits / 64 rows
+    bitmap = np.zeros(bits // 64, np.int64)
+    bitmap[np.asarray(cells.column("cell"))] = np.asarray(cells.column("word"))
+    bitmap = bitmap.view(np.uint64)
 
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -302,29 +324,44 @@ def _across(classes: DataFrame, large: DataFrame, parts: DataFrame, rules: NearD
                 keys = table_keys(_sigs(part, "sig", rules.hashes), rules)
                 bit = keys >> np.uint64(42)
                 doc, col = np.nonzero(bitmap[(bit >> np.uint64(6)).astype(np.int64)] >> (bit & np.uint64(63)) & np.uint64(1))
-                yield pa.RecordBatch.from_arrays([_long(keys[doc, col]), part.column("id").take(pa.array(doc))], names=["key", "id"])
-
-    members = classes.select("id", "sig").mapInArrow(emit, "key long, id long").join(large, "key")
-    members = stage(members.join(parts, "id", "left").withColumn("component", F.coalesce("component", "id")), "near-members")
-    open_keys = members.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.count("*").alias("size")).where("lo < hi")
-    blocks = block_pairs(members.join(open_keys.select("key", "size"), "key"), "key", "id", 1024)
-    blocks = blocks.join(classes.select("id", "sig"), "id").select("key", "low", "high", "block", "id", "component", "sig")
+                met = np.unique(np.stack([keys[doc, col].view(np.int64), np.asarray(part.column("component"))[doc]]), axis=1)
+                yield pa.RecordBatch.from_arrays([pa.array(met[0]), pa.array(met[1])], names=["key", "component"])
+
+    labelled = classes.select("id", "sig").join(parts, "id", "left").withColumn("component", F.coalesce("component", "id"))
+    met = stage(labelled.select("sig", "component").mapInArrow(emit, "key long, component long").join(large, "key", "left_semi"), "near-met")
+    lows = met.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low < high")
+    edges = stage(met.join(lows.select("key", "low"), "key").where("component <> low").select(F.col("component").alias("a"), F.col("low").alias("b")).distinct(), "near-meeting")
+    none = docs.sparkSession.createDataFrame([], "a long, b long")
+    if edges.isEmpty():
+        return none
+    families = connected_components(edges, "near-families").toDF("component", "family")
+    members = stage(labelled.select("id", "component").join(families, "component"), "near-members")
+    found = stage(_sets(docs, members.select(F.col("id").alias("doc_id")), rules), "near-sets")
+    sized = members.join(members.groupBy("family").agg(F.count("*").alias("size")), "family")
+    blocks = block_pairs(sized, "family", "id", 512).join(classes.select("id", "sig"), "id").join(found, "id")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for group in groups_of(batches, ["key", "low", "high"], whole=False):
-            ids, component = np.asarray(group.column("id")), np.asarray(group.column("component"))
-            block, sig = np.asarray(group.column("block")), _sigs(group, "sig", rules.hashes)
+        for group in groups_of(batches, ["family", "low", "high"], whole=False):
+            ids, block, sig = np.asarray(group.column("id")), np.asarray(group.column("block")), _sigs(group, "sig", rules.hashes)
+            sets = [np.frombuffer(x, np.uint64) for x in group.column("set").to_pylist()]
+            sizes = np.array([len(x) for x in sets])
+            label = np.unique(np.asarray(group.column("component")), return_inverse=True)[1]
             mixed = group.column("low")[0].as_py() != group.column("high")[0].as_py()
             a, b = [], []
             for i in range(len(ids)):
-                other = np.flatnonzero((component != component[i]) & (ids > ids[i]) & ((block != block[i]) | (not mixed)))
-                hit = other[_agree(rules, sig[other], sig[i])]
-                a.append(np.full(len(hit), ids[i]))
-                b.append(ids[hit])
+                fits = rules.percent * np.maximum(sizes, sizes[i]) <= 100 * np.minimum(sizes, sizes[i])
+                other = np.flatnonzero((label != label[i]) & fits & ((block != block[i]) | (not mixed)))
+                share = (sig[other] == sig[i]).mean(axis=1)
+                for j in other[np.argsort(-share, kind="stable")[: int((share >= rules.floor).sum())]].tolist():
+                    if label[j] != label[i] and _linked(sets[i], sets[j], rules.percent):
+                        a.append(min(ids[i], ids[j]))
+                        b.append(max(ids[i], ids[j]))
+                        label[label == label[j]] = label[i]
             if a:
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(a), pa.int64()), pa.array(np.concatenate(b), pa.int64())], names=["a", "b"])
+                yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
 
-    dealt = blocks.repartition("key", "low", "high").sortWithinPartitions("key", "low", "high")
+    columns = ["family", "low", "high", "block", "id", "component", "sig", "set"]
+    dealt = blocks.select(*columns).repartition("family", "low", "high").sortWithinPartitions("family", "low", "high")
     return stage(dealt.mapInArrow(run, "a long, b long").distinct(), "near-across")
 
 
