@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from loamline.stage import stage
 
 #: Bytes of text that a Python task looks at together.
-SLICE_BYTES = 8 << 20
+SLICE_BYTES = 2 << 20
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

@@ -16,7 +16,6 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -100,21 +99,27 @@ def unpack_block(block: bytes) -> tuple[list[int | None], np.ndarray, np.ndarray
 def write_token_blocks(docs: DataFrame, folder: str, path: str, blanks: str = "dropped", end_id: int = 1, block_ids: int = 1 << 18) -> None:
     """Encode whole texts, and write their ids to ``folder`` in ascending doc_id order.
 
-    The coded documents, not the texts, are moved to their place: ranges of doc_id, so a part needs no more than one
-    block in memory. Defined cases: null text is empty and yields the end id alone; a repeated row is a document of
-    its own, ordered by its ids; rows with null doc_id come first; other columns are ignored.
+    The ids, not the texts, are moved to their place: ranges of doc_id, cut at its quantiles, so a range needs no more
+    than one block in memory and texts are encoded once. Defined cases: null text is empty and yields the end id alone; a
+    repeated row is a document of its own, ordered by its ids; rows with null doc_id come first; other columns are ignored.
     """
+    spark = docs.sparkSession
+    ranges = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    shares = [k / ranges for k in range(1, ranges)]
+    cuts = docs.agg(F.percentile_approx(F.col("doc_id").cast("long"), shares, 100 * ranges)).first()[0] if shares else None
+    cuts = np.unique(np.array(cuts or [], np.int64))
 
     def code(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc = encoder(path, blanks)
         end = np.array([end_id], "<u4").tobytes()
         for part, texts in texts_of(batches):
-            ids = [x + end for x in enc.encode(texts)]
-            coded = [encode(np.frombuffer(x, "<u4")).tobytes() for x in ids]
-            yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(coded, pa.binary())], names=["doc_id", "coded"])
+            doc = part.column("doc_id")
+            place = np.where(np.asarray(doc.is_null()), 0, np.searchsorted(cuts, np.asarray(doc.fill_null(0)), "right"))
+            yield pa.RecordBatch.from_arrays([pa.array(place, pa.int64()), doc, pa.array([_narrow(x + end) for x in enc.encode(texts)], pa.binary())],
+                                             names=["part", "doc_id", "coded"])
 
     def block(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        part, number, start, size = TaskContext.get().partitionId(), 0, 0, 0
+        part, number, start, size = None, 0, 0, 0
         docs, ids = [], []
 
         def row() -> pa.RecordBatch:
@@ -123,29 +128,41 @@ def write_token_blocks(docs: DataFrame, folder: str, path: str, blanks: str = "d
                 pa.array([pack_block(docs, ids)], pa.binary())], names=["part", "block", "part_start", "n_ids", "data"])
 
         for batch in batches:
-            for doc, coded in zip(batch.column("doc_id").to_pylist(), batch.column("coded").to_pylist()):
-                docs.append(doc)
-                ids.append(decode(np.frombuffer(coded, "<u8")).astype("<u4").tobytes())
-                size += len(ids[-1]) // 4
-                if size >= block_ids:
+            for mine, doc, coded in zip(*(batch.column(c).to_pylist() for c in ("part", "doc_id", "coded"))):
+                if docs and (mine != part or size >= block_ids):
                     yield row()
                     number, start, size = number + 1, start + size, 0
                     docs, ids = [], []
+                if mine != part:
+                    part, number, start = mine, 0, 0
+                docs.append(doc)
+                ids.append(_widen(coded))
+                size += len(ids[-1]) // 4
         if docs:
             yield row()
 
-    coded = docs_of(docs).mapInArrow(code, "doc_id long, coded binary")
-    dealt = coded.repartitionByRange(F.col("doc_id").asc_nulls_first()).sortWithinPartitions(F.col("doc_id").asc_nulls_first(), "coded")
+    coded = docs_of(docs).mapInArrow(code, "part long, doc_id long, coded binary")
+    dealt = coded.repartition("part").sortWithinPartitions("part", F.col("doc_id").asc_nulls_first(), "coded")
     dealt.mapInArrow(block, "part long, block long, part_start long, n_ids long, data binary").write.parquet(folder)
 
 
+def _narrow(ids: bytes) -> bytes:
+    """The ids as two bytes each where all fit, behind a byte that says so."""
+    x = np.frombuffer(ids, "<u4")
+    return b"\2" + x.astype("<u2").tobytes() if x.max(initial=0) < 1 << 16 else b"\4" + ids
+
+
+def _widen(coded: bytes) -> bytes:
+    return np.frombuffer(coded, "<u2", offset=1).astype("<u4").tobytes() if coded[0] == 2 else coded[1:]
+
+
 def offsets(blocks: DataFrame) -> DataFrame:
-    """The blocks with ``first``, the number of ids before each in the whole output. Parts are as many as write tasks,
-    so the one ordered sum runs over a few rows, and the frame with it is as small."""
+    """The blocks with ``first``, the number of ids before each in the whole output. Parts are at most as many as shuffle
+    partitions, so the one ordered sum runs over a few rows, and the frame that is broadcast is as small."""
     parts = blocks.groupBy("part").agg(F.max(F.col("part_start") + F.col("n_ids")).alias("total"))
     before = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
     parts = parts.select("part", F.coalesce(F.sum("total").over(before), F.lit(0)).alias("before"))
-    return blocks.join(parts, "part").withColumn("first", F.col("before") + F.col("part_start"))
+    return blocks.join(F.broadcast(parts), "part").withColumn("first", F.col("before") + F.col("part_start"))
 
 
 def read_token_blocks(spark: SparkSession, folder: str) -> DataFrame:

@@ -28,7 +28,7 @@ class Encoder:
     """``blanks`` says how the tokenizer treats blanks: "dropped" (they only separate words, and case is dropped too) or
     "joined" (a single space belongs to the word after it)."""
 
-    def __init__(self, path: str, blanks: str, held_words: int = 1_500_000):
+    def __init__(self, path: str, blanks: str, held_words: int = 1_000_000):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
 
