@@ -260,6 +260,37 @@ def test_disclosing_terms(spark):
     assert texts[200] is None and texts[5] == rows[5][1]
 
 
+def test_disclosing_terms_of_whole_documents(spark):
+    """Against brute force: far from the entity, on another line, without it, with other letters and repeated rows."""
+    rng = random.Random(4)
+    rows = [(i, _text(rng, 40)) for i in range(80)]
+    rows += [(100 + i, f"mail eve@corp.example.com {_text(rng, 30)} É한 éé Quixotry\n{_text(rng, 9)}\nÜber-Wombatine (x)") for i in range(4)]
+    rows += [(200, "nothing but Quixotry and WOMBATINE, quixotry@else.example.org"), (201, None), rows[80], rows[0], rows[0]]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    once = {r: r[1] or "" for r in rows}
+    words = {r: {w for w in re.findall(r"[^\x00-@\[-`{-\x7f]{3,}", "".join(c.lower() if c < "\x7f" else c for c in t))} for r, t in once.items()}
+    ents = {r: {(k, t[a:b].lower()) for a, k, b in pii.base_spans(t)} for r, t in once.items()}
+    told = set()
+    for e in set().union(*ents.values()):
+        holders = [r for r in once if e in ents[r]]
+        for t in set().union(*(words[r] for r in holders)):
+            n_te, n_t = sum(t in words[r] for r in holders), sum(t in w for w in words.values())
+            pmi = np.log2(n_te * len(once) / (n_t * len(holders)))
+            if n_te >= 2 and pmi >= 0.75 * np.log2(len(once) / len(holders)):
+                told.add(t)
+    assert {"quixotry", "wombatine"} <= told
+    got = pii.find(docs).collect()
+    assert len(got) == len(rows)
+    for r in got:
+        text = once[next(x for x in once if x[0] == r["doc_id"])]
+        base = pii.base_spans(text)
+        want = base + [(m.start(), 4, m.end()) for m in re.finditer(r"[^\x00-@\[-`{-\x7f]{3,}", text)
+                       if "".join(c.lower() if c < "\x7f" else c for c in m[0]) in told and not any(a < m.end() and m.start() < b for a, _, b in base)]
+        assert r["spans"] == pii.listed(sorted(want)) and r["n_term"] == len(want) - len(base)
+    clean = {r["doc_id"]: r["text"] for r in pii.sanitise(docs).collect()}
+    assert clean[200].startswith("nothing but [TERM] and [TERM], [EMAIL]") and "Quixotry" not in clean[101]
+
+
 def test_pack_fills_sequences():
     rng = random.Random(5)
     for sizes in ([], [1], [2048], [5000, 1, 1], [rng.randint(1, 6000) for _ in range(200)], [3] * 1000):
