@@ -33,8 +33,10 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self.library = Tokenizer.from_file(path)
-        bare = json.loads(self.library.to_str()) | {"normalizer": None, "added_tokens": []}
-        self.bare = Tokenizer.from_str(json.dumps(bare))
+        whole = json.loads(self.library.to_str())
+        #: Found in the raw text: a text that holds one in any case must keep its case.
+        self.special = [t["content"].lower() for t in whole["added_tokens"]]
+        self.bare = Tokenizer.from_str(json.dumps(whole | {"normalizer": None, "added_tokens": []}))
         self.blanks = blanks
         self.held_words = held_words
         self.held: dict[str, bytes] = {}
@@ -50,7 +52,10 @@ class Encoder:
         if self.blanks == "dropped":
             if _CONTROLS.search(text):
                 return None
-            return text.split() if _BEYOND_LATIN.search(text) else text.lower().split()
+            if _BEYOND_LATIN.search(text):
+                return text.split()
+            low = text.lower()
+            return text.split() if any(t in low for t in self.special) else low.split()
         if _UNUSUAL.search(text):
             return None
         first, *rest = text.split(" ")

@@ -92,6 +92,8 @@ def test_pieces_give_the_library_ids(name, blanks):
     public = pytest.importorskip("public_tokenizers")
     rng = random.Random(3)
     texts = ["", " ", "it's 'S don't 12345 __", "É́a İ ΣΑΣ σας <|endoftext|> x<|startoftext|>y", "a  b\t c", "한국어 中文", "\x1c a", "Ǆ ﬁ ẞ"]
+    texts += ["a <|ENDOFTEXT|> b", "<|EndOfText|>", "Mixed<|endOfText|>Case <|endoftext|>Word", "<|StartOfText|> A<B c<|STARTOFTEXT|>"]
+    texts += ["".join(rng.choice(["<|EndOfText|>", "<|endoftext|>", "<|STARTOFTEXT|>", "<|", "|>", " ", "Ab", "<"]) for _ in range(9)) for _ in range(300)]
     texts += ["".join(rng.choice("aB  \n\té́'s1.,<|ΣĿ\x1dÅ") for _ in range(rng.randint(1, 40))) for _ in range(2000)]
     e = tokens.Encoder(public.path(name), blanks, held_words=500)
     for k in range(0, len(texts), 100):
