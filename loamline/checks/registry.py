@@ -464,6 +464,20 @@ def decision_cycle(spark, d):
     return cycles.select("source_id", "step", "event_time", "quarantined", "confirmed", "classification")
 
 
+def decision_cycle_forecast(spark, d):
+    """The cycle with forecast risk."""
+    rows, lay = _readings(spark, d)
+    cycles, _ = operational.decision_cycle(rows, ORDER, T.site_parameters(spark, d), filters.FilterRules(), "persistence", lay, horizons=HORIZONS)
+    return cycles.select("source_id", "step", "event_time", "quarantined", "confirmed", "classification")
+
+
+def alerts_forecast(spark, d):
+    """Filtered alerts with forecast risk."""
+    rows, lay = _readings(spark, d)
+    _, alerts = operational.decision_cycle(rows, ORDER, T.site_parameters(spark, d), filters.FilterRules(), "persistence", lay, horizons=HORIZONS)
+    return alerts.select(*FILTERED, "horizon", "exceedance")
+
+
 def episodes_site(spark, d):
     c, lay = _candidates(spark, d)
     return r6(episodes.site_episodes(c, layout=lay))
@@ -579,6 +593,13 @@ def operations_counters(spark, d):
     return r6(flows.operations(events, _no_alerts(spark), _no_durations(spark)).select("ingested", "quarantined", "quarantined_pct"))
 
 
+def operations_alerts(spark, d):
+    """The counters with the filtered alerts, forecast risk included (the tables record no durations)."""
+    rows, lay = _readings(spark, d)
+    cycles, alerts = operational.decision_cycle(rows, ORDER, T.site_parameters(spark, d), filters.FilterRules(), "persistence", lay, horizons=HORIZONS)
+    return r6(flows.operations(cycles, alerts, _no_durations(spark)).drop("p50_ms", "p90_ms", "p95_ms", "p99_ms"))
+
+
 def _no_alerts(spark):
     return spark.createDataFrame([], "severity string")
 
@@ -656,7 +677,7 @@ def stream_late_split(spark, d):
 
 ROWS_ONLY = ["forecast_ridge", "model_ladder", "model_ladder_depletion", "model_ladder_topsoil",
              "forecast_hybrid", "oracle_ablation", "site_evaluation", "site_outcomes",
-             "cross_site_summary"]
+             "cross_site_summary", "decision_cycle_forecast", "alerts_forecast", "operations_alerts"]
 
 
 def _utc(fn):

@@ -15,8 +15,10 @@ from loamline.operators.filters import FilterRules, filter_alerts
 from loamline.operators.forecast import fan_out
 from loamline.operators.quantiles import exact_quantiles
 from loamline.operators.running import attach, block_of, index_rows, running
+from loamline.operators.series import chronological_split, with_targets
 from loamline.operators.state import build_states, widen_moisture
 from loamline.plans import models as M
+from loamline.schemas import HORIZONS
 from loamline.stage import stage
 
 
@@ -80,11 +82,44 @@ def decision_candidates(events: DataFrame, sites: DataFrame | None = None, prior
     return stage(from_quality.unionByName(from_states), "candidates")
 
 
+def early_risks(states: DataFrame, residuals: DataFrame, horizons: Sequence[int] = HORIZONS,
+                risk: D.RiskRules = D.RiskRules(), bounds: tuple[float, float] = (-0.5, 1.5),
+                layout: Layout = DEFAULT) -> DataFrame:
+    """Earliest risky horizon by source_id and step, of persistence forecasts of the depletion of accepted states.
+
+    ``residuals`` are depletion residuals (source_id, horizon, residual, weight); a station without any has no interval.
+    """
+    spread = exact_quantiles(residuals, U.KEY, "residual", {"q10": 0.1, "q90": 0.9}, layout, weight="weight")
+    origins = fan_out(states.select("source_id", "step", "event_time", "depletion_fraction"), horizons)
+    rows = origins.join(spread.select(*U.KEY, F.struct("q10", "q90").alias("spread")), U.KEY, "left")
+    low, high = D.interval_80(F.col("spread"), F.col("depletion_fraction"), bounds)
+    known = lambda c: F.when(F.col("spread").isNotNull(), c)
+    points = rows.withColumns({"point": F.col("depletion_fraction"), "low": known(low), "high": known(high)}).drop("spread")
+    return D.early_risk(U.exceedance(residuals, points, risk.mad, layout), ["source_id", "step"], risk)
+
+
+def learnt_early_risks(events: DataFrame, sites: DataFrame | None = None, horizons: Sequence[int] = HORIZONS,
+                       fraction: float = 0.5, risk: D.RiskRules = D.RiskRules(), layout: Layout = DEFAULT) -> DataFrame:
+    """``early_risks`` of each station's later accepted states, with the residuals of its first ``fraction``."""
+    states = accepted_states(events, sites).select(
+        "source_id", F.col("rn").alias("event_rn"), "event_time", "block", F.col("depletion_fraction").alias("y"))
+    numbered = index_rows(stage(states, "risk-states"), ["source_id"], ["event_rn"], layout, bucket="block").drop("block")
+    series = stage(with_targets(chronological_split(numbered, fraction), "y", horizons, layout=layout), "risk-series")
+    residuals = stage(U.residual_counts(series, horizons), "risk-residuals")
+    later = series.where(~F.col("is_train")).select(
+        "source_id", F.col("event_rn").alias("step"), "event_time", F.col("y").alias("depletion_fraction"))
+    return early_risks(later, residuals, horizons, risk, layout=layout)
+
+
 def decision_cycle(rows: DataFrame, order: Sequence[str], sites: DataFrame | None = None,
                    rules: FilterRules = FilterRules(count_mode="steps"), prior: str | None = None,
-                   layout: Layout = DEFAULT, early: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
-    """(cycles with their class, filtered alerts). ``early``: see ``decision_candidates``."""
+                   layout: Layout = DEFAULT, early: DataFrame | None = None,
+                   horizons: Sequence[int] | None = None) -> tuple[DataFrame, DataFrame]:
+    """(cycles with their class, filtered alerts). ``early``: see ``decision_candidates``; with ``horizons`` instead, the
+    forecast risk is learnt from the rows themselves (``learnt_early_risks``)."""
     events = checked_events(rows, order, layout)
+    if early is None and horizons:
+        early = learnt_early_risks(events, sites, horizons, layout=layout)
     alerts = filter_alerts(decision_candidates(events, sites, prior, layout=layout, early=early), rules, layout)
     cycles = events.select("source_id", "step", "event_time", "quarantined")
     return D.cycle_class(cycles, alerts.where("status = 'CONFIRMED'")), alerts
