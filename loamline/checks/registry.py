@@ -609,12 +609,16 @@ def _no_durations(spark):
 
 
 def _run_stream(spark: SparkSession, build: Callable[[DataFrame], DataFrame], source: DataFrame, mode: str = "append",
-                files: int | None = None) -> DataFrame:
-    """Replay a table as a stream until it is used up and read the sink back."""
+                files: int | None = None, watermark: str | None = None) -> DataFrame:
+    """Replay a table as a stream until it is used up and read the sink back. With ``watermark``, the rows behind it are
+    written to dead letters first."""
     flows.use_rocksdb(spark)
     base = f"{stage_folder(spark)}/stream-{uuid.uuid4().hex}"
     source.write.parquet(f"{base}/in")
     stream = flows.file_stream(spark, f"{base}/in", source.schema, files_per_batch=files)
+    if watermark:
+        flows.admit(stream, f"{base}/admitted", f"{base}/admit-state", watermark).awaitTermination()
+        stream = flows.file_stream(spark, f"{base}/admitted/on_time/*", source.schema)
     flows.write_available(build(stream), f"{base}/out", f"{base}/state", mode).awaitTermination()
     return spark.read.parquet(f"{base}/out")
 
@@ -633,25 +637,25 @@ def _with_end(df: DataFrame) -> DataFrame:
 def stream_dedup(spark, d):
     rows = _timed(spark, d).withColumn("hour", F.date_trunc("hour", "event_time"))
     keyed = rows.withColumn("ingress_key", ingress_key(F.col("source_id").cast("string"), F.col("sensor_id"), F.col("hour").cast("string")))
-    out = _run_stream(spark, lambda s: flows.drop_repeats(s, watermark="40 days"), keyed.drop("props"))
+    out = _run_stream(spark, lambda s: flows.drop_repeats(s, watermark="40 days"), keyed.drop("props"), watermark="40 days")
     return out.select("source_id", "sensor_id", F.col("hour").cast("timestamp_ntz").alias("hour"))
 
 
 def stream_hourly(spark, d):
     rows = _timed(spark, d).select(F.col("sensor_id").alias("source_id"), "event_time", "value")
-    out = _run_stream(spark, lambda s: flows.hourly(s, "40 days"), _with_end(rows))
+    out = _run_stream(spark, lambda s: flows.hourly(s, "40 days"), _with_end(rows), watermark="40 days")
     return r6(out.where("source_id <> 'end'").withColumn("hour", F.col("hour").cast("timestamp_ntz")))
 
 
 def stream_sessions(spark, d):
     rows = _timed(spark, d).select("source_id", "event_time")
-    out = _run_stream(spark, lambda s: flows.sessions(s, "6 hours", "40 days"), _with_end(rows)).where("source_id >= 0")
+    out = _run_stream(spark, lambda s: flows.sessions(s, "6 hours", "40 days"), _with_end(rows), watermark="40 days").where("source_id >= 0")
     return out.withColumns({c: F.col(c).cast("timestamp_ntz") for c in ("start_time", "end_time")})
 
 
 def stream_resequence(spark, d):
     rows = _timed(spark, d).select("source_id", "event_time", "event_id", "value")
-    out = _run_stream(spark, lambda s: stateful.resequence(s, "40 days"), _with_end(rows))
+    out = _run_stream(spark, lambda s: stateful.resequence(s, "40 days"), _with_end(rows), watermark="40 days")
     return out.where("source_id >= 0").select("source_id", "event_id", "position")
 
 
