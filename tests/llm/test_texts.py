@@ -397,6 +397,15 @@ def test_empty_tables(spark, none):
     assert packing.pack_documents(none, path).count() == 0
 
 
+@pytest.mark.parametrize("length,piece", [(100, 44), (40, 10), (41, 10), (39, 10), (12, 10), (10, 10)])
+def test_every_window_holds_a_part(length, piece):
+    rules = suffix_dedup.PassageRules(length=length, piece=piece)
+    hashes = suffix_dedup.Hashes(np.arange(length, dtype=np.uint8))
+    anchor = np.arange(length - piece + 1)  # the piece at every offset of one window
+    _, there = suffix_dedup._parts_keys(hashes, np.zeros_like(anchor), np.full_like(anchor, length), anchor, np.zeros(len(anchor), np.uint64), rules)
+    assert there.any(axis=1).all()
+
+
 def test_anchors_follow_content():
     rules = suffix_dedup.PassageRules(length=20, piece=8)
     text = bytes(random.Random(1).choices(b"abc ", k=300))
