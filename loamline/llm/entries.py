@@ -8,7 +8,9 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loamline.llm import chat, decontaminate, embedding_dup, line_dedup, near_dup, packing, pii, quality, simple8b, suffix_dedup
+from loamline.llm import (
+    chat, decontaminate, embedding_dup, filter_audit, line_dedup, merkle, near_dup, packing, pii, quality, sharding, simple8b, suffix_dedup,
+)
 from loamline.llm.common import table
 from loamline.stage import stage_folder
 
@@ -67,11 +69,25 @@ def op10_contamination(spark: SparkSession, d: str) -> DataFrame:
     return decontaminate.contamination(table(spark, d, "documents"), table(spark, d, "benchmark")).drop("passages", "items")
 
 
+def op11_merkle_manifest(spark: SparkSession, d: str) -> DataFrame:
+    return merkle.verified(table(spark, d, "documents"))
+
+
+def op12_filter_audit(spark: SparkSession, d: str) -> DataFrame:
+    return filter_audit.filter_audit(table(spark, d, "documents"), table(spark, d, "labels"))
+
+
+def op13_sharding(spark: SparkSession, d: str) -> DataFrame:
+    return sharding.assign(table(spark, d, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     import corpus_pipeline
 
-    return {"pipeline": corpus_pipeline.run} | {f.__name__: f for f in (op1_near_dup, op2_line_dedup, op3_embedding_dup, op4_token_blocks, op5_personal_data, op6_chat_format, op7_repeated_passages, op8_quality, op9_packing, op10_contamination)}
+    return {"pipeline": corpus_pipeline.run} | {f.__name__: f for f in (op1_near_dup, op2_line_dedup, op3_embedding_dup, op4_token_blocks, op5_personal_data, op6_chat_format, op7_repeated_passages, op8_quality, op9_packing, op10_contamination,
+                                                                   op11_merkle_manifest, op12_filter_audit, op13_sharding)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_near_dup": near_dup.near_dup_sql(), "op2_line_dedup": line_dedup.dedup_sql(), "op6_chat_format": chat.digest_sql(), "op10_contamination": decontaminate.contamination_sql()}
+    return {"op1_near_dup": near_dup.near_dup_sql(), "op2_line_dedup": line_dedup.dedup_sql(), "op6_chat_format": chat.digest_sql(), "op10_contamination": decontaminate.contamination_sql(),
+            "op11_merkle_manifest": merkle.merkle_sql(), "op12_filter_audit": filter_audit.audit_sql(), "op13_sharding": sharding.sharding_sql()}
