@@ -21,14 +21,16 @@ from loamline.operators.running import attach, index_rows
 from loamline.operators.series import KEYS
 from loamline.operators.state import build_states, check_sites, topsoil, water_state
 from loamline import sinks
-from loamline.plans import contracts, models, operational, robustness
+from loamline.operators.asof import asof_join
+from loamline.plans import contract_tree, contracts, models, operational, robustness
 from loamline.plans.walk_forward import persistence_walk_forward, split_states, valid_states
 from loamline.schemas import HORIZONS
 from loamline.sinks import first_by_key
 from loamline.sources import device_json
 from loamline.sources import tables as T
 from loamline.stage import stage, stage_folder
-from loamline.streaming import flows, stateful
+from loamline.streaming import decide, flows, stateful
+from loamline.streaming.worker import CarriedWorker
 
 ORDER = T.SERIES_ORDER
 
@@ -520,6 +522,53 @@ def alert_schema_pass(spark, d):
     return contracts.pass_rate(contracts.with_violations(alerts, contracts.alert_rules(alerts.columns)))
 
 
+def asof_weather(spark, d):
+    """Each reading with the station's last weather value of the day before it."""
+    rows, lay = _events(spark, d)
+    readings = rows.where("sensor_id <> 'view'").select("source_id", "event_time", "event_id")
+    weather = rows.where("sensor_id = 'view'").select("source_id", "event_time", F.col("value").alias("rain"), F.col("event_id").alias("weather_id"))
+    out = asof_join(readings, weather, ["source_id"], "event_time", ["rain", "weather_id"], ["weather_id"], tolerance_seconds=86_400, layout=lay)
+    return r6(out.withColumnRenamed("matched_time", "weather_time"))
+
+
+def asof_nearest_weather(spark, d):
+    """Each reading with the weather value nearest in time, on either side."""
+    rows, lay = _events(spark, d)
+    readings = rows.where("sensor_id <> 'view'").select("source_id", "event_time", "event_id")
+    weather = rows.where("sensor_id = 'view'").select("source_id", "event_time", F.col("value").alias("rain"))
+    out = asof_join(readings, weather, ["source_id"], "event_time", ["rain"], ["rain"], direction="nearest", layout=lay)
+    return r6(out.select("source_id", "event_id", "rain"))
+
+
+def forecast_contract(spark, d):
+    """Persistence forecasts of all test rows as JSON of the contract, every seventh origin without its site and every eleventh with
+    quantiles out of order, parsed and checked again: origins, violations and the forecast a day ahead."""
+    f, lay = _split(spark, d)
+    test = FC.fan_out(f.where(~F.col("is_train")).select("source_id", "event_time", "rn", F.col("y").alias("point")), HORIZONS)
+    spread = {"q10": -0.02, "q25": -0.01, "q50": 0.0, "q75": 0.01, "q90": 0.02}
+    upside_down = F.when(F.col("rn") % 11 == 0, -1.0).otherwise(1.0)
+    rows = test.withColumns({q: F.col("point") + F.lit(v) * upside_down for q, v in spread.items()})
+    rows = rows.withColumn("site_id", F.when(F.col("rn") % 7 != 0, F.concat(F.lit("FIELD_"), F.col("source_id").cast("string"))))
+    records = contract_tree.forecast_records(rows, "PERSISTENCE_BASELINE", "m3/m3", generated=F.col("event_time"))
+    report = contract_tree.report(contract_tree.as_json(records, contract_tree.FORECAST), contract_tree.FORECAST)
+    day = F.element_at(F.from_json(F.get_json_object("value", "$.predictions"), "array<struct<horizon_hours:int,point_forecast:double>>"), 4)
+    found = report.select("source_id", F.concat_ws("; ", "violations").alias("violations"), day["horizon_hours"].alias("horizon"), day["point_forecast"].alias("point"))
+    return r6(found.groupBy("source_id", "violations", "horizon").agg(F.count(F.lit(1)).alias("forecasts"), F.avg("point").alias("mean_point")), 5)
+
+
+def alert_json(spark, d):
+    """All candidates as JSON of the alert contract, parsed and checked again."""
+    c, _ = _candidates(spark, d)
+    report = contract_tree.report(contract_tree.as_json(contract_tree.alert_records(c), contract_tree.ALERT), contract_tree.ALERT)
+    at = lambda path: F.get_json_object("value", path)
+    return r6(report.groupBy(
+        at("$.source_id").alias("source_id"), at("$.category").alias("category"), at("$.trigger_condition.threshold_type").alias("threshold_type"),
+        at("$.context.current_depletion_fraction").isNotNull().alias("has_depletion"), at("$.trigger_condition.forecast_horizon_hours").cast("int").alias("horizon"),
+    ).agg(F.count(F.lit(1)).alias("alerts"), F.count_if("is_valid").alias("valid"),
+          F.sum(at("$.trigger_condition.predicted_value").cast("decimal(20,4)")).cast("double").alias("predicted"),
+          F.countDistinct(at("$.alert_id")).alias("ids")))
+
+
 def site_evaluation(spark, d):
     f, lay = _featured(spark, d)
     return r6(models.site_evaluation(f, layout=lay))
@@ -667,6 +716,45 @@ def stream_qc(spark, d):
     return out.groupBy("source_id", "sensor_id", "qc_flag").agg(F.count(F.lit(1)).alias("readings"))
 
 
+def _arriving(spark, d) -> DataFrame:
+    """The shipments as wide events with a key in their order; every fifth arrives 20 days late, in ``part`` 0 to 3."""
+    digits = lambda c, n: F.lpad((F.col(c) * 100).cast("decimal(38,0)").cast("string"), n, "0")
+    key = F.concat_ws("-", *[F.lpad(F.col(c).cast("string"), 14, "0") for c in ORDER[1:4]], *[digits(c, 14) for c in ORDER[4:8]], *ORDER[8:])
+    rows = T.supplier_readings(spark, d).withColumn("ingress_key", key).withColumn("event_time", F.col("event_time").cast("timestamp"))
+    late = F.when(F.crc32("ingress_key") % 5 == 0, F.expr("interval 20 days")).otherwise(F.expr("interval 0 days"))
+    arrival = F.unix_micros(F.col("event_time") + late)
+    ends = rows.agg(F.min(arrival).alias("a"), F.max(arrival).alias("b")).first()
+    if ends["a"] is None:
+        return rows.withColumn("part", F.lit(0))
+    return rows.withColumn("part", F.least(F.lit(3), ((arrival - F.lit(ends["a"])) * 4 / F.lit(max(1, ends["b"] - ends["a"]))).cast("int")))
+
+
+def _worked(spark, d) -> tuple[CarriedWorker, DataFrame]:
+    """The worker after the four parts of the arriving events."""
+    base = f"{stage_folder(spark)}/worker-{uuid.uuid4().hex}"
+    rows = stage(_arriving(spark, d).drop(*ORDER[1:]), "arriving")
+    worker = CarriedWorker(base, "40 days", T.site_parameters(spark, d), rules=decide.CycleRules(filters.FilterRules(), prior=True))
+    for k in range(4):
+        rows.where(F.col("part") == k).drop("part").write.parquet(f"{base}/in/{k}")
+        worker.run_events(flows.file_stream(spark, f"{base}/in/*", rows.drop("part").schema), f"{base}/state")
+    return worker, rows
+
+
+def stream_worker(spark, d):
+    """Alerts that stand after four micro-batches with late events."""
+    worker, _ = _worked(spark, d)
+    alerts = decide.standing_alerts(spark.read.parquet(worker.path("alerts") + "/*"))
+    return r6(alerts.select("source_id", F.col("event_time").cast("timestamp_ntz").alias("event_time"), F.substring("ingress_key", 1, 44).alias("shipment"),
+                            "ord", "category", "severity", "threshold_type", F.col("seen").cast("long").alias("seen"), "predicted_value"))
+
+
+def stream_worker_quality(spark, d):
+    """Events by their last version: quarantine and flags after late events."""
+    worker, _ = _worked(spark, d)
+    events = decide.latest(spark.read.parquet(worker.path("decided") + "/*"))
+    return events.groupBy("source_id", "quarantined", F.col("flag_soil_moisture_5cm").alias("qc_flag")).agg(F.count(F.lit(1)).alias("events"))
+
+
 def stream_late_split(spark, d):
     delay = F.when(F.col("event_id") % 5 == 0, F.expr("interval 3 hours")).otherwise(F.expr("interval 5 minutes"))
     rows = _timed(spark, d).withColumn("ingest_time", F.col("event_time") + delay)

@@ -411,6 +411,28 @@ def oracle_sql() -> dict[str, str]:
           s AS (SELECT *, sum(fresh) OVER (PARTITION BY source_id ORDER BY ts) AS k FROM f) SELECT source_id, min(ts) AS start_time, max(ts) + INTERVAL 6 HOUR AS end_time, count(*) AS alerts FROM s GROUP BY source_id, k""",
         "stream_resequence": "SELECT user_id AS source_id, event_id, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS position FROM events",
         "stream_qc": f"WITH {QC_LONG} SELECT source_id, sensor_id, qc_flag, count(*) AS readings FROM ql GROUP BY ALL",
+        "stream_worker": f"""WITH {RUNS}, k AS (SELECT source_id, step, concat_ws('-', lpad(l_orderkey::VARCHAR, 14, '0'), lpad(l_linenumber::VARCHAR, 14, '0'),
+            lpad(l_partkey::VARCHAR, 14, '0')) AS shipment FROM qc)
+          SELECT source_id, event_time, shipment, ord, category, severity, threshold_type, seen::BIGINT AS seen, round(predicted_value, 4) AS predicted_value
+          FROM cs JOIN k USING (source_id, step) WHERE severity = 'CRITICAL' OR seen >= 2""",
+        "stream_worker_quality": f"WITH {QC} SELECT source_id, quarantined, flag_soil_moisture_5cm AS qc_flag, count(*) AS events FROM qc GROUP BY ALL",
+        "asof_weather": """WITH s AS (SELECT user_id AS source_id, ts AS event_time, event_id FROM events WHERE event_type <> 'view'),
+          w AS (SELECT user_id AS source_id, ts, event_id AS weather_id, value AS rain FROM events WHERE event_type = 'view'),
+          j AS (SELECT s.*, w.ts AS t, w.weather_id AS i, w.rain AS v FROM s ASOF LEFT JOIN w ON s.source_id = w.source_id AND s.event_time >= w.ts)
+          SELECT source_id, event_time, event_id, CASE WHEN near THEN t END AS weather_time, round(CASE WHEN near THEN v END, 6) AS rain, CASE WHEN near THEN i END AS weather_id
+          FROM (SELECT *, event_time - t <= INTERVAL 1 DAY AS near FROM j)""",
+        "asof_nearest_weather": """WITH s AS (SELECT user_id AS source_id, ts AS event_time, event_id FROM events WHERE event_type <> 'view'),
+          w AS (SELECT user_id AS source_id, ts, value FROM events WHERE event_type = 'view'),
+          b AS (SELECT s.*, w.ts AS bt, w.value AS bv FROM s ASOF LEFT JOIN w ON s.source_id = w.source_id AND s.event_time >= w.ts),
+          a AS (SELECT b.*, w.ts AS nt, w.value AS nv FROM b ASOF LEFT JOIN w ON b.source_id = w.source_id AND b.event_time <= w.ts)
+          SELECT source_id, event_id, round(CASE WHEN bt IS NULL OR nt - event_time < event_time - bt THEN nv ELSE bv END, 6) AS rain FROM a""",
+        "forecast_contract": f"""WITH {SPLIT}, v AS (SELECT source_id, round(y::VARCHAR::DECIMAL(38,20), 4)::DOUBLE AS p, concat_ws('; ',
+            CASE WHEN rn % 11 = 0 THEN '[predictions.quantiles] quantiles are not ordered' END, CASE WHEN rn % 7 = 0 THEN '[root] ''site_id'' is required' END) AS violations
+            FROM se WHERE split = 'test')
+          SELECT source_id, violations, 24 AS horizon, count(*) AS forecasts, round(avg(p), 5) AS mean_point FROM v GROUP BY ALL""",
+        "alert_json": f"""WITH {DECISION} SELECT source_id::VARCHAR AS source_id, category, threshold_type, category = 'AGRONOMIC_RISK' AS has_depletion,
+          CASE WHEN ord = 1 THEN 1 END AS horizon, count(*) AS alerts, count(*) AS valid, sum(round(predicted_value::VARCHAR::DECIMAL(38,20), 4))::DOUBLE AS predicted, count(*) AS ids
+          FROM ca GROUP BY ALL""",
         "stream_late_split": "SELECT (event_id % 5 = 0) AS late, count(*) AS events FROM events GROUP BY ALL",
         "operations_counters": f"WITH {QC} SELECT count(*) AS ingested, count(*) FILTER (quarantined) AS quarantined, round(count(*) FILTER (quarantined) * 100.0::DOUBLE / count(*), 6) AS quarantined_pct FROM qc",
     }

@@ -5,12 +5,12 @@ from __future__ import annotations
 import math
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from loamline.functions.water import clip
 from loamline.layout import DEFAULT, Layout
-from loamline.operators.running import attach, block_window, core_rows, running, with_halo
+from loamline.operators.running import block_of, running, with_halo
 from loamline.operators.series import KEYS
 
 # Forecast targets with their column, bounds and unit.
@@ -62,26 +62,46 @@ def ewma_reach(alpha: float) -> int:
     return math.ceil(math.log(1e-17) / math.log(1.0 - alpha))
 
 
+def ewma_scan(alpha: float, digits: float = 200.0) -> int:
+    """Rows that are scanned together: few enough that the weights of the first and the last stay doubles."""
+    return int(min(4096, max(1, digits / -math.log10(1.0 - alpha))))
+
+
 def ewma(df: DataFrame, alpha: float, keys: Sequence[str] = KEYS, bounds: tuple[float, float] = (0.0, 0.6),
          seeds: DataFrame | None = None, layout: Layout = DEFAULT) -> DataFrame:
     """``point``: exponentially weighted level up to the origin, clipped; ``y`` must be non-null.
 
-    The level starts at the first value, or at the series' ``seed`` (one row per key with its ``n``). Older rows
-    than the reach do not count in a double, so a bounded frame is folded instead of the whole past.
+    The level starts at the first value, or at the series' ``seed`` (one row per key with its ``n``).
+
+    A row maps the level x to alpha * y + (1 - alpha) * x. Maps compose, so a stretch of rows is one map, and its level is a
+    sum of decayed values plus the decayed level before it. Rows are summed within stretches; of the stretches before only
+    those within the reach still count in a double, and their maps are added up. No list of values is kept.
     """
     if not 0 < alpha < 1:
         raise ValueError("alpha must be between 0 and 1")
-    reach = ewma_reach(alpha)
-    w = block_window(keys).rowsBetween(-reach, 0)
-    rows = core_rows(with_halo(df, before=reach, layout=layout).withColumn("_past", F.collect_list("y").over(w)))
+    decay, size = 1.0 - alpha, ewma_scan(alpha)
+    back = -(-ewma_reach(alpha) // size)
+    stretch = F.floor((F.col("rn") - 1) / F.lit(size)).cast("long")
+    # a value's weight in the frame of its stretch's first row
+    scaled = F.col("y") * F.lit(alpha) * F.pow(F.lit(decay), -F.col("_at"))
+    placed = df.withColumns({"block": block_of("rn", layout), "_stretch": stretch}).withColumn("_at", (F.col("rn") - 1) % size)
+    rows = placed.withColumn("_sum", F.sum(scaled).over(Window.partitionBy(*keys, "_stretch").orderBy("rn")))
+
+    totals = placed.groupBy(*keys, "_stretch").agg(F.sum(scaled).alias("_t"), F.max(F.when(F.col("rn") == 1, F.col("y"))).alias("_first"))
+    later = totals.select(*keys, "_t", "_stretch", F.explode(F.sequence(F.lit(1), F.lit(back))).alias("_ahead"))
+    # the level a full stretch leaves behind, seen from the start of a later one
+    later = later.select(*keys, (F.col("_stretch") + F.col("_ahead")).alias("_stretch"), (F.col("_t") * F.pow(F.lit(decay), F.col("_ahead") * size - 1)).alias("_c"))
+    start = totals.where("_stretch = 0").select(*keys, F.col("_first").alias("_seed"))
     if seeds is not None:
-        rows = attach(rows, seeds, keys, layout=layout)
-    seed = F.coalesce(F.col("seed"), F.col("_past")[0]) if seeds is not None else F.col("_past")[0]
-    start = F.when(F.col("rn") <= reach + 1, seed).otherwise(F.col("_past")[0])
-    # Folding the first value onto itself leaves it unchanged, so the whole list can be folded from the start value.
-    level = F.aggregate("_past", start, lambda a, x: x * F.lit(alpha) + a * F.lit(1.0 - alpha))
-    out = rows.withColumn("point", clip(level, *bounds)).drop("_past")
-    return out.drop("seed") if seeds is not None else out
+        start = start.join(seeds.select(*keys, "seed"), list(keys), "left").withColumn("_seed", F.coalesce("seed", "_seed")).drop("seed")
+    start = start.select(*keys, "_seed", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(back).cast("long"))).alias("_stretch"))
+    start = start.select(*keys, "_stretch", (F.col("_seed") * F.pow(F.lit(decay), F.col("_stretch") * size)).alias("_c"))
+    carry = later.unionByName(start).groupBy(*keys, "_stretch").agg(F.sum("_c").alias("_carry"))
+
+    at = F.col("_at")
+    level = F.col("_sum") * F.pow(F.lit(decay), at) + F.col("_carry") * F.pow(F.lit(decay), at + 1)
+    joined = rows.join(carry.hint("merge"), [*keys, "_stretch"])
+    return joined.withColumn("point", clip(level, *bounds)).drop("_stretch", "_at", "_sum", "_carry")
 
 
 def last_train_values(df: DataFrame) -> DataFrame:
