@@ -553,7 +553,8 @@ def forecast_contract(spark, d):
     report = contract_tree.report(contract_tree.as_json(records, contract_tree.FORECAST), contract_tree.FORECAST)
     day = F.element_at(F.from_json(F.get_json_object("value", "$.predictions"), "array<struct<horizon_hours:int,point_forecast:double>>"), 4)
     found = report.select("source_id", F.concat_ws("; ", "violations").alias("violations"), day["horizon_hours"].alias("horizon"), day["point_forecast"].alias("point"))
-    return r6(found.groupBy("source_id", "violations", "horizon").agg(F.count(F.lit(1)).alias("forecasts"), F.avg("point").alias("mean_point")), 5)
+    return found.groupBy("source_id", "violations", "horizon").agg(
+        F.count(F.lit(1)).alias("forecasts"), F.sum(F.col("point").cast("decimal(20,4)")).cast("double").alias("points"))
 
 
 def alert_json(spark, d):

@@ -426,10 +426,10 @@ def oracle_sql() -> dict[str, str]:
           b AS (SELECT s.*, w.ts AS bt, w.value AS bv FROM s ASOF LEFT JOIN w ON s.source_id = w.source_id AND s.event_time >= w.ts),
           a AS (SELECT b.*, w.ts AS nt, w.value AS nv FROM b ASOF LEFT JOIN w ON b.source_id = w.source_id AND b.event_time <= w.ts)
           SELECT source_id, event_id, round(CASE WHEN bt IS NULL OR nt - event_time < event_time - bt THEN nv ELSE bv END, 6) AS rain FROM a""",
-        "forecast_contract": f"""WITH {SPLIT}, v AS (SELECT source_id, round(y::VARCHAR::DECIMAL(38,20), 4)::DOUBLE AS p, concat_ws('; ',
+        "forecast_contract": f"""WITH {SPLIT}, v AS (SELECT source_id, round(y::VARCHAR::DECIMAL(38,20), 4) AS p, concat_ws('; ',
             CASE WHEN rn % 11 = 0 THEN '[predictions.quantiles] quantiles are not ordered' END, CASE WHEN rn % 7 = 0 THEN '[root] ''site_id'' is required' END) AS violations
             FROM se WHERE split = 'test')
-          SELECT source_id, violations, 24 AS horizon, count(*) AS forecasts, round(avg(p), 5) AS mean_point FROM v GROUP BY ALL""",
+          SELECT source_id, violations, 24 AS horizon, count(*) AS forecasts, sum(p)::DOUBLE AS points FROM v GROUP BY ALL""",
         "alert_json": f"""WITH {DECISION} SELECT source_id::VARCHAR AS source_id, category, threshold_type, category = 'AGRONOMIC_RISK' AS has_depletion,
           CASE WHEN ord = 1 THEN 1 END AS horizon, count(*) AS alerts, count(*) AS valid, sum(round(predicted_value::VARCHAR::DECIMAL(38,20), 4))::DOUBLE AS predicted, count(*) AS ids
           FROM ca GROUP BY ALL""",

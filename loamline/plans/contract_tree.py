@@ -58,94 +58,92 @@ class List:
     most: int | None = None
 
 
-def _kind(v: Column, path: str = "$") -> Column:
-    return F.regexp_extract(F.schema_of_variant(F.try_variant_get(v, path, "variant")), "^[A-Z]+", 0)
+def _child(x: Column, name: str) -> Column:
+    return F.try_variant_get(x, f"$.{name}", "variant")
 
 
-def _kinds(part: Leaf | Obj | List) -> tuple[str, ...]:
-    return ("OBJECT",) if isinstance(part, Obj) else ("ARRAY",) if isinstance(part, List) else KINDS[part.kind]
+def _is(part: Leaf | Obj | List, x: Column) -> Column:
+    """Whether a variant has the part's kind of value. Objects and lists are opened one level only."""
+    if isinstance(part, Obj):
+        return F.try_variant_get(x, "$", "map<string,variant>").isNotNull()
+    if isinstance(part, List):
+        return F.try_variant_get(x, "$", "array<variant>").isNotNull()
+    return F.coalesce(F.regexp_extract(F.schema_of_variant(x), "^[A-Z]+", 0).isin(*KINDS[part.kind]), F.lit(False))
 
 
-#: A rule: where, what, and when it is broken, as a function of the variant the tree starts at.
-Rule = tuple[str, str, Callable[[Column], Column]]
+def _none() -> Column:
+    return F.array().cast("array<string>")
 
 
-def _leaf_rules(path: str, part: Leaf, get: Callable[[Column], Column]) -> list[Rule]:
-    """Rules on the value of a leaf; ``get`` gives it as a variant."""
-    typed = lambda v: F.try_variant_get(get(v), "$", SQL_TYPES[part.kind])
-    right = lambda v: _kind(get(v)).isin(*KINDS[part.kind])
-    rules: list[Rule] = []
+def _texts(faults: Sequence[tuple[str, str, Column]]) -> Column:
+    if not faults:
+        return _none()
+    return F.array_compact(F.array(*[F.when(F.coalesce(bad, F.lit(False)), F.lit(f"[{where}] {text}")) for where, text, bad in faults]))
 
-    def rule(text: str, bad: Callable[[Column], Column]) -> None:
-        rules.append((path, text, lambda v: right(v) & bad(typed(v))))
 
+def _leaf_faults(path: str, part: Leaf, v: Column) -> Column:
+    x = F.try_variant_get(v, "$", SQL_TYPES[part.kind])
+    faults = []
     if part.min_length:
-        rule("is empty" if part.min_length == 1 else f"is shorter than {part.min_length}", lambda x: F.length(x) < part.min_length)
+        faults.append((path, "is empty" if part.min_length == 1 else f"is shorter than {part.min_length}", F.length(x) < part.min_length))
     if part.pattern:
-        rule(part.pattern[0], lambda x: ~x.rlike(part.pattern[1]))
+        faults.append((path, part.pattern[0], ~x.rlike(part.pattern[1])))
     if part.allowed is not None:
-        rule("is not allowed", lambda x: ~x.isin(*part.allowed))
+        faults.append((path, "is not allowed", ~x.isin(*part.allowed)))
     if part.kind == "time":
-        rule("is not a time", lambda x: parse_iso(x).isNull())
+        faults.append((path, "is not a time", parse_iso(x).isNull()))
     if part.kind == "integer":
-        rule("is not a whole number", lambda x: x != F.floor(x))
+        faults.append((path, "is not a whole number", x != F.floor(x)))
     if part.least is not None:
-        rule({0: "is negative", 1: "is below one"}.get(part.least, f"is below {part.least}"), lambda x: x < part.least)
+        faults.append((path, {0: "is negative", 1: "is below one"}.get(part.least, f"is below {part.least}"), x < part.least))
     if part.most is not None:
-        rule(f"is above {part.most:g}", lambda x: x > part.most)
+        faults.append((path, f"is above {part.most:g}", x > part.most))
     if part.must is not None:
-        rule(f"must be {str(part.must).lower()}", lambda x: x != F.lit(part.must))
-    return rules
+        faults.append((path, f"must be {str(part.must).lower()}", x != F.lit(part.must)))
+    return _texts(faults)
 
 
-def _object_rules(path: str, part: Obj, get: Callable[[Column], Column]) -> list[Rule]:
-    """Rules inside an object that is there; ``get`` gives it as a variant."""
+def _object_faults(path: str, part: Obj, v: Column) -> Column:
     here, dot = (path or "root"), (f"{path}." if path else "")
-    there = lambda v: _kind(get(v)) == "OBJECT"
-    rules: list[Rule] = []
+    names = F.map_keys(F.try_variant_get(v, "$", "map<string,variant>"))
+    faults, inside = [], []
     for name, child in part.fields.items():
-        child_get = lambda v, name=name: F.try_variant_get(get(v), f"$.{name}", "variant")
-        kind = lambda v, child_get=child_get: _kind(child_get(v))
+        x = _child(v, name)
+        null = F.is_variant_null(x)
         if child.required:
-            ok_null = F.lit(child.nullable)
-            rules.append((here, f"'{name}' is required", lambda v, kind=kind, ok=ok_null: there(v) & (kind(v).isNull() | ((kind(v) == "VOID") & ~ok))))
-        rules.append((f"{dot}{name}", "has the wrong type", lambda v, kind=kind, child=child: kind(v).isNotNull() & ~kind(v).isin(*_kinds(child), "VOID")))
-        if not child.required and not child.nullable:
-            rules.append((f"{dot}{name}", "is null", lambda v, kind=kind: kind(v) == "VOID"))
-        rules += _rules(f"{dot}{name}", child, child_get)
-    names = F.array(*[F.lit(f) for f in part.fields])
-    rules.append((here, "unknown field", lambda v: there(v) & (F.size(F.array_except(F.map_keys(F.try_variant_get(get(v), "$", "map<string,variant>")), names)) > 0)))
-    for text, bad in part.checks:
-        rules.append((here, text, lambda v, bad=bad: there(v) & bad(get(v))))
-    return rules
-
-
-def _list_rules(path: str, part: List, get: Callable[[Column], Column]) -> list[Rule]:
-    items = lambda v: F.try_variant_get(get(v), "$", "array<variant>")
-    there = lambda v: _kind(get(v)) == "ARRAY"
-    rules: list[Rule] = []
+            faults.append((here, f"'{name}' is required", x.isNull() | (null & F.lit(not child.nullable))))
+        elif not child.nullable:
+            faults.append((f"{dot}{name}", "is null", null))
+        # a value is looked into once it is known to be of its kind
+        wrong = F.array(F.lit(f"[{dot}{name}] has the wrong type"))
+        inside.append(F.when(x.isNull() | null, _none()).when(_is(child, x), _faults(f"{dot}{name}", child, x)).otherwise(wrong))
+    faults.append((here, "unknown field", F.size(F.array_except(names, F.array(*[F.lit(f) for f in part.fields]))) > 0))
+    faults += [(here, text, bad(v)) for text, bad in part.checks]
+    return F.concat(_texts(faults), *inside)
+
+
+def _list_faults(path: str, part: List, v: Column) -> Column:
+    items = F.try_variant_get(v, "$", "array<variant>")
+    faults = []
     if part.least:
-        text = "is empty" if part.least == 1 else f"has fewer than {part.least} items"
-        rules.append((path, text, lambda v: there(v) & (F.coalesce(F.size(items(v)), F.lit(0)) < part.least)))
+        faults.append((path, "is empty" if part.least == 1 else f"has fewer than {part.least} items", F.size(items) < part.least))
     if part.most is not None:
-        rules.append((path, f"has more than {part.most} items", lambda v: there(v) & (F.size(items(v)) > part.most)))
-    wrong = lambda x: F.coalesce(_kind(x), F.lit("")).isin(*_kinds(part.item))
-    rules.append((path, "has items of the wrong type", lambda v: F.exists(items(v), lambda x: ~wrong(x))))
-    for where, text, bad in _rules(path, part.item, lambda x: x):
-        rules.append((where, text, lambda v, bad=bad: F.exists(items(v), lambda x: F.coalesce(bad(x), F.lit(False)))))
-    return rules
+        faults.append((path, f"has more than {part.most} items", F.size(items) > part.most))
+    wrong = F.array(F.lit(f"[{path}] has items of the wrong type"))
+    # all rules of an item in one pass over the items
+    each = F.transform(items, lambda x: F.when(F.coalesce(_is(part.item, x), F.lit(False)), _faults(path, part.item, x)).otherwise(wrong))
+    return F.concat(_texts(faults), F.flatten(each))
 
 
-def _rules(path: str, part: Leaf | Obj | List, get: Callable[[Column], Column]) -> list[Rule]:
-    kind = _leaf_rules if isinstance(part, Leaf) else _object_rules if isinstance(part, Obj) else _list_rules
-    return kind(path, part, get)
+def _faults(path: str, part: Leaf | Obj | List, v: Column) -> Column:
+    kind = _leaf_faults if isinstance(part, Leaf) else _object_faults if isinstance(part, Obj) else _list_faults
+    return kind(path, part, v)
 
 
 def violations(contract: Obj, v: Column) -> Column:
     """Sorted faults of a record given as a variant."""
-    rules = [F.when(F.coalesce(bad(v), F.lit(False)), F.lit(f"[{where}] {text}")) for where, text, bad in _rules("", contract, lambda x: x)]
-    found = F.array_sort(F.array_distinct(F.array_compact(F.array(*rules))))
-    return F.when(F.coalesce(_kind(v), F.lit("")) != "OBJECT", F.array(F.lit("[root] is not a JSON object"))).otherwise(found)
+    broken = F.array(F.lit("[root] is not a JSON object"))
+    return F.when(F.coalesce(_is(contract, v), F.lit(False)), F.array_sort(F.array_distinct(_faults("", contract, v)))).otherwise(broken)
 
 
 def report(raw: DataFrame, contract: Obj, column: str = "value") -> DataFrame:
