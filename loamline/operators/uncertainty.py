@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from loamline.functions.water import clip
 from loamline.layout import DEFAULT, Layout
 from loamline.operators.quantiles import exact_quantiles
+from loamline.operators.ranks import ALL, Ranks, median_deviation, quantiles, ranks
 from loamline.operators.series import by_horizon
 
 # Two-sided normal critical values.
@@ -88,10 +89,31 @@ def fit_regimes(residuals: DataFrame, coverages: Sequence[float], layout: Layout
 
 def fit_power_law(residuals: DataFrame) -> DataFrame:
     """U3: sigma(h) = sigma_1 * h^nu by least squares on logs over horizons with more than 20 residuals."""
-    per_h = residuals.groupBy(*KEY).agg(weighted_std().alias("std"), F.sum("weight").alias("k"))
+    return power_law_of(residuals.groupBy(*KEY).agg(weighted_std().alias("std"), F.sum("weight").alias("samples")))
+
+
+def ranked(residuals: DataFrame, layout: Layout = DEFAULT) -> Ranks:
+    """The residuals (source_id, horizon, regime, residual, weight) in the order that all calibrators below share."""
+    return ranks(residuals, KEY, "residual", "weight", "regime", layout)
+
+
+def fit_all(r: Ranks, coverages: Sequence[float]) -> DataFrame:
+    """Quantiles per horizon and regime for U0 (group ALL) and U2 (regimes of enough rows, and ALL), with the median and deviation."""
+    q = quantiles(r, {**interval_probs(coverages), "bias": 0.5})
+    return q.where((F.col("group") == ALL) | (F.col("samples") >= MIN_REGIME_ROWS)).withColumnRenamed("group", "regime")
+
+
+def dispersion_of(r: Ranks, fitted: DataFrame) -> DataFrame:
+    """U1 from ``fit_all``: median ``bias`` and ``scale``, as ``fit_dispersion``."""
+    mad = median_deviation(r, fitted.where(F.col("regime") == ALL))
+    return mad.select(*KEY, "bias", F.greatest(F.lit(1e-5), F.lit(1.4826) * F.col("mad")).alias("scale"))
+
+
+def power_law_of(per_horizon: DataFrame) -> DataFrame:
+    """U3 from rows (source_id, horizon, std, samples)."""
     x, y = F.ln("horizon"), F.ln(F.greatest(F.lit(1e-5), F.col("std")))
-    used = F.col("k") > MIN_POWER_ROWS
-    fit = per_h.groupBy("source_id").agg(
+    used = F.col("samples") > MIN_POWER_ROWS
+    fit = per_horizon.groupBy("source_id").agg(
         F.count_if(used).alias("_h"),
         F.regr_slope(F.when(used, y), F.when(used, x)).alias("_nu"),
         F.regr_intercept(F.when(used, y), F.when(used, x)).alias("_a"),
@@ -132,40 +154,25 @@ def power_interval(point: Column, sigma_1: Column, nu: Column, horizon: Column,
     return clip(point - z * sigma, *bounds), clip(point + z * sigma, *bounds)
 
 
-def exceedance(residuals: DataFrame, queries: DataFrame, threshold: float, layout: Layout = DEFAULT) -> DataFrame:
+def exceedance(residuals: DataFrame, queries: DataFrame, threshold: float, layout: Layout = DEFAULT, digits: int | None = 12) -> DataFrame:
     """P(point + residual >= threshold) for each query row (source_id, horizon, point, ...), exactly.
 
-    Only distinct gaps threshold-point are ranked among the counted residuals, bucket by bucket; no residual meets
-    every query. Without residuals the answer is 1 or 0 by the point itself.
+    The gaps threshold - point and the counted residuals are merged bucket by bucket, each query carried along in its place, so
+    nothing is joined by value. Values are told apart to ``digits`` decimals (None: to the last bit). Without residuals, or
+    without a key or point, the answer is 1 or 0 by the point itself.
     """
-    keys = ["source_id", "horizon"]
-    gap = F.round(F.lit(threshold) - F.col("point"), 12)
-    asked = queries.withColumn("_v", gap)
-    marks = asked.groupBy(*keys, "_v").agg(F.lit(0).cast("long").alias("_c")).withColumn("_kind", F.lit(0))
-    known = (
-        residuals.withColumn("_v", F.round("residual", 12))
-        .groupBy(*keys, "_v")
-        .agg(F.sum("weight").alias("_c"))
-        .withColumn("_kind", F.lit(1))
-    )
-    line = marks.unionByName(known).withColumn("_b", F.floor(F.col("_v") / F.lit(layout.value_width)).cast("long"))
-    by_bucket = Window.partitionBy(*keys).orderBy("_b")
-    totals = line.groupBy(*keys, "_b").agg(F.sum("_c").alias("_bc")).select(
-        *keys,
-        "_b",
-        (F.sum("_bc").over(by_bucket) - F.col("_bc")).alias("_before"),
-        F.sum("_bc").over(Window.partitionBy(*keys)).alias("_all"),
-    )
+    exactly = lambda c: F.round(c, digits) if digits is not None else c
+    bucket = F.floor(F.col("_v") / F.lit(layout.value_width)).cast("long")
+    asked = queries.select(*KEY, F.struct(*queries.columns).alias("_row"), exactly(F.lit(threshold) - F.col("point")).alias("_v"), F.lit(0).cast("long").alias("_c"))
+    known = residuals.where(F.col("residual").isNotNull()).select(*KEY, exactly(F.col("residual")).alias("_v"), F.col("weight").cast("long").alias("_c"))
+    line = asked.unionByName(known, allowMissingColumns=True).withColumn("_b", bucket).withColumn("_kind", F.col("_row").isNull().cast("int"))
+    by_bucket = Window.partitionBy(*KEY).orderBy("_b")
+    totals = line.groupBy(*KEY, "_b").agg(F.sum("_c").alias("_bc")).select(
+        *KEY, "_b", (F.sum("_bc").over(by_bucket) - F.col("_bc")).alias("_before"), F.sum("_bc").over(Window.partitionBy(*KEY)).alias("_all"))
     # A gap sorts before equal residuals, so the count before it is of strictly smaller residuals.
-    inside = Window.partitionBy(*keys, "_b").orderBy("_v", "_kind")
-    smaller = (
-        line.withColumn("_run", F.sum("_c").over(inside))
-        .join(totals.hint("merge"), [*keys, "_b"])
-        .where("_kind = 0")
-        .select(*keys, "_v", (F.col("_before") + F.col("_run")).alias("_below"), "_all")
-    )
-    p = F.when(F.col("_all") > 0, (F.col("_all") - F.col("_below")) / F.nullif(F.col("_all"), F.lit(0)))
-    plain = F.when(F.col("point") >= threshold, 1.0).otherwise(0.0)
-    return asked.join(smaller, [*keys, "_v"], "left").withColumn(
-        "exceedance", F.coalesce(p, plain)
-    ).drop("_v", "_below", "_all")
+    inside = Window.partitionBy(*KEY, "_b").orderBy("_v", "_kind")
+    merged = line.withColumn("_run", F.sum("_c").over(inside)).join(totals.hint("merge"), [*KEY, "_b"], "left").where("_kind = 0")
+    below = F.col("_before") + F.col("_run")
+    p = F.when(F.col("_all") > 0, (F.col("_all") - below) / F.nullif(F.col("_all"), F.lit(0)))
+    plain = lambda point: F.when(point >= threshold, 1.0).otherwise(0.0)
+    return merged.select("_row.*", F.coalesce(p, plain(F.col("_row")["point"])).alias("exceedance"))

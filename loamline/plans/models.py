@@ -195,21 +195,22 @@ METHODS = ["U0_STATIC_QUANTILES", "U1_HORIZON_DISPERSION_MAD", "U2_REGIME_CONDIT
 def interval_params(featured: DataFrame, horizons: Sequence[int], coverages: Sequence[float], fraction: float,
                     layout: Layout = DEFAULT, methods: Sequence[str] = METHODS) -> DataFrame:
     """Parameters of the wanted calibrators, one row per station keyed to its test series."""
-    residuals = stage(U.residual_counts(featured, horizons, ["regime"]), "residuals")
+    r = U.ranked(U.residual_counts(featured, horizons, ["regime"]), layout)
+    fitted = stage(U.fit_all(r, coverages), "fitted")
+    whole = fitted.where(F.col("regime") == U.ALL)
     names = list(U.interval_probs(coverages))
     out = None
     parts = []
     if METHODS[0] in methods:
-        parts.append(map_of(U.fit_static(residuals, coverages, layout), F.col("horizon"), names, "u0"))
+        parts.append(map_of(whole, F.col("horizon"), names, "u0"))
     if METHODS[1] in methods:
-        parts.append(map_of(U.fit_dispersion(residuals, layout), F.col("horizon"), ["bias", "scale"], "u1"))
+        parts.append(map_of(U.dispersion_of(r, fitted), F.col("horizon"), ["bias", "scale"], "u1"))
     if METHODS[2] in methods:
         entry = F.struct("regime", F.struct(*names))
-        regimes = U.fit_regimes(residuals, coverages, layout).groupBy("source_id", "horizon").agg(
-            F.map_from_entries(F.collect_list(entry)).alias("by_regime"))
+        regimes = fitted.groupBy("source_id", "horizon").agg(F.map_from_entries(F.collect_list(entry)).alias("by_regime"))
         parts.append(map_of(regimes, F.col("horizon"), ["by_regime"], "u2"))
     if METHODS[3] in methods:
-        parts.append(U.fit_power_law(residuals))
+        parts.append(U.power_law_of(whole))
     for part in parts:
         out = part if out is None else out.join(part, "source_id", "full")
     return for_test_rows(out, train_summary(featured), fraction)
