@@ -329,20 +329,46 @@ def find(docs: DataFrame, rules: PiiRules = PiiRules()) -> DataFrame:
     return found.drop("entities").join(terms, "row_key", "left").mapInArrow(run, REPORT + ", row_key long")
 
 
+def merged(spans: list[tuple[int, int, int]]) -> list[tuple[int, int, int]]:
+    """Stretches apart from each other that cover the spans (start, kind, end), each with the kind of its longest span
+    (of equally long ones the first)."""
+    out: list[list[int]] = []
+    for a, k, b in sorted(spans):
+        if out and a < out[-1][2]:
+            last = out[-1]
+            if b - a > last[3]:
+                last[1], last[3] = k, b - a
+            last[2] = max(last[2], b)
+        else:
+            out.append([a, k, b, b - a])
+    return [(a, k, b) for a, k, b, _ in out]
+
+
+def replaced(text: str, spans: list[tuple[int, int, int]]) -> str:
+    """The text with each stretch of spans replaced by its kind in capitals; what no span covers stays."""
+    parts, at = [], 0
+    for a, k, b in merged(spans):
+        parts += [text[at:a], f"[{KINDS[k].upper()}]"]
+        at = b
+    return "".join([*parts, text[at:]])
+
+
 def sanitise(docs: DataFrame, rules: PiiRules = PiiRules()) -> DataFrame:
-    """``docs`` with entities replaced by their kind in capitals, and disclosing terms by [TERM]."""
-    key, listing = free(docs, "_pii_row_key"), free(docs, "_pii_spans")
-    spans = find(docs, rules).where("spans <> ''").select(F.col("row_key").alias(key), F.col("spans").alias(listing)).distinct()
+    """``docs`` with entities replaced by their kind in capitals, and disclosing terms by [TERM].
+
+    Spans that overlap are replaced together, by the kind of the longest.
+    """
+    key, column = free(docs, "_pii_row_key"), free(docs, "_pii_spans")
+    spans = find(docs, rules).where("spans <> ''").select(F.col("row_key").alias(key), F.col("spans").alias(column)).distinct()
     keyed = docs.withColumn(key, F.xxhash64(F.col("doc_id").cast("long"), F.col("text").cast("string")))
     schema = docs.schema
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             texts = []
-            for text, spans in zip(batch.column("text").to_pylist(), batch.column(listing).to_pylist()):
-                for k, a, b in reversed([x.split(":") for x in spans.split(",")] if spans else []):
-                    text = text[: int(a)] + f"[{k.upper()}]" + text[max(int(a), int(b)):]
-                texts.append(text)
+            for text, spans in zip(batch.column("text").to_pylist(), batch.column(column).to_pylist()):
+                listing = [x.split(":") for x in spans.split(",")] if spans else []
+                texts.append(replaced(text, [(int(a), KINDS.index(k), int(b)) for k, a, b in listing]) if listing else text)
             columns = [pa.array(texts, batch.column(c).type) if c == "text" else batch.column(c) for c in schema.names]
             yield pa.RecordBatch.from_arrays(columns, names=schema.names)
 

@@ -260,6 +260,31 @@ def test_disclosing_terms(spark):
     assert texts[200] is None and texts[5] == rows[5][1]
 
 
+def test_overlapping_spans_are_replaced_together(spark):
+    """Nested, crossing, touching and equal spans of all kinds: what no span covers stays, what one covers goes."""
+    assert pii.replaced("write bob@10.1.2.3 KEEP THIS TEXT", pii.base_spans("write bob@10.1.2.3 KEEP THIS TEXT")) == "write [EMAIL] KEEP THIS TEXT"
+    rng = random.Random(6)
+    for _ in range(3000):
+        n = rng.randint(0, 30)
+        text = "".join(rng.choice("abcdefgh") for _ in range(n))
+        spans = []
+        for _ in range(rng.randint(0, 5)):
+            a = rng.randint(0, max(0, n - 1))
+            spans.append((a, rng.randint(0, 4), rng.randint(a, n)))
+        spans = [s for s in spans if s[2] > s[0]]
+        covered = {i for a, _, b in spans for i in range(a, b)}
+        got = pii.replaced(text, spans)
+        assert re.sub(r"\[[A-Z]+\]", "", got) == "".join(c for i, c in enumerate(text) if i not in covered)
+        runs = sum(1 for i in covered if i - 1 not in covered)
+        assert runs <= got.count("[") <= len(spans) and bool(runs) == ("[" in got)
+    texts = ["write bob@10.1.2.3 KEEP THIS TEXT", "call +4111 1111 1111 1111 now", "a@b.co,10.0.0.1 +1 (212) 555-0100 10.0.0.256 stays", None, ""]
+    df = spark.createDataFrame([(i, t, "x") for i, t in enumerate(texts)], "doc_id long, text string, _pii_spans string")
+    clean = {r["doc_id"]: r["text"] for r in pii.sanitise(df).collect()}
+    assert clean == {i: pii.replaced(t, pii.base_spans(t)) if t is not None else None for i, t in enumerate(texts)}
+    assert "KEEP THIS TEXT" in clean[0] and "4111" not in clean[1] and clean[1].endswith(" now") and "10.0.0.256 stays" in clean[2]
+    assert pii.sanitise(df.limit(0)).collect() == []
+
+
 def test_disclosing_terms_of_whole_documents(spark):
     """Against brute force: far from the entity, on another line, without it, with other letters and repeated rows."""
     rng = random.Random(4)
