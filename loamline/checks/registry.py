@@ -14,6 +14,7 @@ from loamline.layout import Layout
 from loamline.operators import audit, episodes, faults, filters, qc, ridge, series
 from loamline.operators import decision as D
 from loamline.operators import forecast as FC
+from loamline.operators import sketch as sketches
 from loamline.operators import uncertainty as U
 from loamline.operators.evaluate import QUANTILES
 from loamline.operators.features import AR_FEATURES, ARX_FEATURES, align_weather
@@ -425,6 +426,11 @@ def baseline_risk(spark, d):
     return r6(D.baseline_risk(_risk(spark, d), ["source_id", "rn"]).select("source_id", "rn", "horizon", "exceedance"))
 
 
+def early_risk_baseline(spark, d):
+    """The first risk form at a lower probability, which some origins reach."""
+    return r6(D.baseline_risk(_risk(spark, d), ["source_id", "rn"], D.RiskRules(tau=0.2)).select("source_id", "rn", "horizon", "exceedance"))
+
+
 def _candidates(spark, d):
     rows, lay = _readings(spark, d)
     events = operational.checked_events(rows, ORDER, lay)
@@ -756,6 +762,42 @@ def stream_worker_quality(spark, d):
     return events.groupBy("source_id", "quarantined", F.col("flag_soil_moisture_5cm").alias("qc_flag")).agg(F.count(F.lit(1)).alias("events"))
 
 
+def stream_operations(spark, d):
+    """Metrics of the worker's tables: counts, alerts by category and severity, latest depletion per station (its durations differ by run)."""
+    worker, _ = _worked(spark, d)
+    events = stage(decide.latest(spark.read.parquet(worker.path("decided") + "/*")), "operated")
+    alerts = decide.standing_alerts(spark.read.parquet(worker.path("alerts") + "/*"))
+    states = decide.states(events).withColumn("event_time", F.struct("event_time", "ingress_key"))
+    metrics = flows.operations_metrics(events, states, alerts, spark.read.parquet(worker.path("durations") + "/*"))
+    return r6(metrics.where("metric NOT LIKE 'latency%'"))
+
+
+def latency_sketch(spark, d):
+    """Percentiles of the readings from sketches of five parts, merged."""
+    rows = T.event_readings(spark, d)
+    parts = sketches.sketch(rows.withColumn("part", F.col("event_id") % 5), ["sensor_id", "part"], "value")
+    one = sketches.merged(parts, ["sensor_id"])
+    return r6(sketches.sketch_quantiles(one, ["sensor_id"], {"p50": 0.5, "p90": 0.9, "p95": 0.95, "p99": 0.99}))
+
+
+def station_status(spark, d):
+    """Last state, recent mean, latest forecasts and top alert of every station."""
+    rows, lay = _readings(spark, d)
+    events = operational.checked_events(rows, ORDER, lay)
+    sites = T.site_parameters(spark, d)
+    states = operational.accepted_states(events, sites)
+    candidates = operational.decision_candidates(events, sites, "persistence", layout=lay)
+    alerts = filters.filter_alerts(candidates, filters.FilterRules(), lay).where("status = 'CONFIRMED'")
+    # the position tells rows of one time apart, here and in the forecasts' origin
+    placed = states.select("source_id", "event_time", F.col("rn").alias("position"), "theta_rz", "depletion_fraction")
+    last = audit.newest_rows(placed, ["source_id"], ["event_time", "position"], 1, lay)
+    forecasts = FC.fan_out(last, HORIZONS).select("source_id", "event_time", "horizon", F.col("theta_rz").alias("point"))
+    out = audit.station_status(placed, forecasts, alerts, ["event_time", "position"], layout=lay)
+    return r6(out.select("source_id", "event_time", "theta_rz", "depletion_fraction", "recent_states", "recent_theta", "forecast_origin",
+                         F.col("forecast")[168].alias("point_168"), F.size("forecast").alias("horizons"), "alerts",
+                         F.col("top_alert.severity").alias("top_severity"), F.col("top_alert.threshold_type").alias("top_type"), F.col("top_alert.time").alias("top_time")))
+
+
 def stream_late_split(spark, d):
     delay = F.when(F.col("event_id") % 5 == 0, F.expr("interval 3 hours")).otherwise(F.expr("interval 5 minutes"))
     rows = _timed(spark, d).withColumn("ingest_time", F.col("event_time") + delay)
@@ -770,7 +812,7 @@ def stream_late_split(spark, d):
 
 ROWS_ONLY = ["forecast_ridge", "model_ladder", "model_ladder_depletion", "model_ladder_topsoil",
              "forecast_hybrid", "oracle_ablation", "site_evaluation", "site_outcomes",
-             "cross_site_summary", "decision_cycle_forecast", "alerts_forecast", "operations_alerts"]
+             "cross_site_summary"]
 
 
 def _utc(fn):

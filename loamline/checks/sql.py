@@ -236,6 +236,24 @@ RUNS = DECISION + """, ts AS (SELECT DISTINCT source_id, category, threshold_typ
   cs AS (SELECT ca.*, sum((severity <> 'CRITICAL')::INT) OVER (PARTITION BY source_id, category, threshold_type, grp ORDER BY step, ord) AS seen
     FROM ca JOIN il USING (source_id, category, threshold_type, step))"""
 
+EARLY = DECISION + ", rx AS (SELECT source_id, step, event_time, dr AS y, row_number() OVER w AS i, count(*) OVER (PARTITION BY source_id) AS n FROM dv WINDOW w AS (PARTITION BY source_id ORDER BY step))" + """,
+  rs AS (SELECT *, CASE WHEN i <= floor(n * 0.5) THEN 'train' ELSE 'test' END AS split, (CASE WHEN i <= floor(n * 0.5) THEN i ELSE i - floor(n * 0.5) END)::BIGINT AS rn FROM rx), """ + pairs("rs") + f""",
+  un AS (SELECT source_id, horizon, round(e, 12) AS v, 1 AS known, NULL AS step, NULL AS y FROM pr WHERE split = 'train'
+    UNION ALL SELECT source_id, h.horizon, round(0.5::DOUBLE - y, 12), 0, step, y FROM rs CROSS JOIN {H_LIST} h WHERE split = 'test'),
+  ex AS (SELECT source_id, step, horizon, y, CASE WHEN total > 0 THEN above / total::DOUBLE WHEN y >= 0.5 THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END AS p FROM (SELECT *,
+    sum(known) OVER (PARTITION BY source_id, horizon ORDER BY v DESC RANGE BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS above, sum(known) OVER (PARTITION BY source_id, horizon) AS total FROM un) WHERE known = 0),
+  qq AS (SELECT source_id, horizon, quantile_cont(e, 0.1) AS q10, quantile_cont(e, 0.9) AS q90 FROM pr WHERE split = 'train' GROUP BY ALL),
+  iv AS (SELECT ex.*, CASE WHEN q10 IS NOT NULL THEN greatest(-0.5::DOUBLE, least(1.5::DOUBLE, y + q10)) END AS lo, CASE WHEN q90 IS NOT NULL THEN greatest(-0.5::DOUBLE, least(1.5::DOUBLE, y + q90)) END AS hi
+    FROM ex LEFT JOIN qq USING (source_id, horizon)),
+  ce AS (SELECT *, CASE WHEN lo IS NULL THEN (CASE WHEN p < 0.2 THEN 'DEFINITELY_NOT_REACHED' WHEN p < 0.7 THEN 'PLAUSIBLY_REACHED' ELSE 'LIKELY_REACHED' END)
+    WHEN horizon > 48 AND ((lo <= 0.5 AND 0.5 <= hi) OR y >= 0.5) THEN 'HIGHLY_UNCERTAIN' WHEN hi < 0.5 THEN 'DEFINITELY_NOT_REACHED'
+    WHEN y < 0.5 AND 0.5 <= hi THEN 'PLAUSIBLY_REACHED' ELSE 'LIKELY_REACHED' END AS certainty FROM iv),
+  er AS (SELECT source_id, step, min(horizon) AS horizon, arg_min(p, horizon) AS p FROM ce WHERE y < 0.5 AND (p >= 0.7::DOUBLE OR (certainty IN ('LIKELY_REACHED', 'PLAUSIBLY_REACHED') AND y >= 0.5::DOUBLE * 0.95::DOUBLE)) GROUP BY ALL),
+  cb AS (SELECT *, CASE WHEN ord = 1 THEN 1 END AS horizon, NULL::DOUBLE AS exceedance FROM ca
+    UNION ALL SELECT source_id, step, event_time, 10, 'AGRONOMIC_RISK', 'WARNING', 'MANAGEMENT_ALLOWABLE_DEPLETION', dr, er.horizon, round(er.p, 4) FROM dd JOIN er USING (source_id, step) WHERE dr < 0.5)"""
+
+EARLY_RUNS = EARLY + RUNS[len(DECISION):].replace(" FROM ca)", " FROM cb)").replace("SELECT ca.*", "SELECT cb.*").replace("FROM ca JOIN", "FROM cb JOIN")
+
 N_OF_M = DECISION + """, ts AS (SELECT DISTINCT source_id, category, threshold_type, step FROM ca),
   sp AS (SELECT source_id, category, threshold_type, min(step) AS a, max(step) AS b FROM ts GROUP BY ALL),
   gr AS (SELECT source_id, category, threshold_type, unnest(generate_series(a, b)) AS step FROM sp),
@@ -378,6 +396,14 @@ def oracle_sql() -> dict[str, str]:
         "decision_cycle": f"""WITH {RUNS}, cf AS (SELECT source_id, step, bool_or(category = 'AGRONOMIC_RISK') AS risk, bool_or(category = 'PHYSICAL_DEVIATION') AS dev, count(*) AS confirmed FROM cs WHERE severity = 'CRITICAL' OR seen >= 2 GROUP BY ALL)
           SELECT source_id, step, event_time, quarantined, coalesce(confirmed, 0) AS confirmed, CASE WHEN quarantined THEN 'DATA_QUALITY_ANOMALY' WHEN risk THEN 'OPERATIONAL_WATER_RISK' WHEN dev THEN 'PHYSICAL_DEVIATION' ELSE 'NORMAL_OPERATION' END AS classification
           FROM qc LEFT JOIN cf USING (source_id, step)""",
+        "decision_cycle_forecast": f"""WITH {EARLY_RUNS}, cf AS (SELECT source_id, step, bool_or(category = 'AGRONOMIC_RISK') AS risk, bool_or(category = 'PHYSICAL_DEVIATION') AS dev, count(*) AS confirmed FROM cs WHERE severity = 'CRITICAL' OR seen >= 2 GROUP BY ALL)
+          SELECT source_id, step, event_time, quarantined, coalesce(confirmed, 0) AS confirmed, CASE WHEN quarantined THEN 'DATA_QUALITY_ANOMALY' WHEN risk THEN 'OPERATIONAL_WATER_RISK' WHEN dev THEN 'PHYSICAL_DEVIATION' ELSE 'NORMAL_OPERATION' END AS classification
+          FROM qc LEFT JOIN cf USING (source_id, step)""",
+        "alerts_forecast": f"WITH {EARLY_RUNS} SELECT {KEYS}, step, ord, severity, seen::BIGINT AS seen, {STATUS.format(2)}, horizon, exceedance FROM cs",
+        "operations_alerts": f"""WITH {EARLY_RUNS} SELECT count(*) AS ingested, count(*) FILTER (quarantined) AS quarantined, round(count(*) FILTER (quarantined) * 100.0::DOUBLE / count(*), 6) AS quarantined_pct,
+          (SELECT count(*) FROM cs) AS alerts, (SELECT count(*) FROM cs WHERE severity = 'INFO') AS alerts_info, (SELECT count(*) FROM cs WHERE severity = 'WARNING') AS alerts_warning,
+          (SELECT count(*) FROM cs WHERE severity = 'CRITICAL') AS alerts_critical FROM qc""",
+        "early_risk_baseline": f"WITH {EXCEED} SELECT source_id, rn, min(horizon) AS horizon, round(arg_min(p, horizon), 6) AS exceedance FROM ex WHERE y < 0.5 AND p >= 0.2::DOUBLE GROUP BY ALL",
         "episodes_site": f"""WITH {DECISION}, hr AS (SELECT source_id, event_time, count(*) AS k FROM ca GROUP BY ALL),
           fr AS (SELECT *, CASE WHEN epoch(event_time) - lag(epoch(event_time)) OVER (PARTITION BY source_id ORDER BY event_time) <= 21600 THEN 0 ELSE 1 END AS fresh FROM hr)
           SELECT source_id, sum(k)::BIGINT AS raw_alerts, count(*) AS alert_hours, sum(fresh)::BIGINT AS episodes, round((1 - sum(fresh) / sum(k)::DOUBLE) * 100, 6) AS compression_pct FROM fr GROUP BY source_id""",
@@ -433,6 +459,22 @@ def oracle_sql() -> dict[str, str]:
         "alert_json": f"""WITH {DECISION} SELECT source_id::VARCHAR AS source_id, category, threshold_type, category = 'AGRONOMIC_RISK' AS has_depletion,
           CASE WHEN ord = 1 THEN 1 END AS horizon, count(*) AS alerts, count(*) AS valid, sum(round(predicted_value::VARCHAR::DECIMAL(38,20), 4))::DOUBLE AS predicted, count(*) AS ids
           FROM ca GROUP BY ALL""",
+        "stream_operations": f"""WITH {RUNS}, n AS (SELECT count(*) AS n, count(*) FILTER (quarantined) AS q FROM qc), f AS (SELECT * FROM cs WHERE severity = 'CRITICAL' OR seen >= 2)
+          SELECT 'ingested' AS metric, NULL AS label, n::DOUBLE AS value FROM n UNION ALL SELECT 'quarantined', NULL, q::DOUBLE FROM n
+          UNION ALL SELECT 'quarantined_pct', NULL, round(CASE WHEN n > 0 THEN q * 100.0::DOUBLE / n ELSE 0 END, 6) FROM n
+          UNION ALL SELECT 'alerts_by_category', category, count(*)::DOUBLE FROM f GROUP BY category UNION ALL SELECT 'alerts_by_severity', severity, count(*)::DOUBLE FROM f GROUP BY severity
+          UNION ALL SELECT 'latest_depletion', source_id::VARCHAR, {r('arg_max(dr, step)', 'value')} FROM dv GROUP BY source_id""",
+        "latency_sketch": """WITH g AS (SELECT ln(1.01::DOUBLE / 0.99::DOUBLE) AS lg, 1.01::DOUBLE / 0.99::DOUBLE AS g),
+          q AS (SELECT event_type AS sensor_id, count(*) AS samples, quantile_disc(value, [0.5, 0.9, 0.95, 0.99]) AS v FROM events WHERE value IS NOT NULL GROUP BY event_type)
+          SELECT sensor_id, samples, """ + ", ".join(
+            r(f"CASE WHEN v[{i}] <= 0 THEN 0 ELSE 2.0::DOUBLE / (g + 1.0::DOUBLE) * pow(g, ceil(ln(v[{i}]) / lg)) END", n) for i, n in enumerate(("p50", "p90", "p95", "p99"), 1)) + " FROM q, g",
+        "station_status": f"""WITH {RUNS}, ix AS (SELECT *, row_number() OVER (PARTITION BY source_id ORDER BY step DESC) AS back FROM dv),
+          w AS (SELECT source_id, count(*) AS recent_states, avg(theta) AS rt FROM ix WHERE back <= 48 GROUP BY ALL), l AS (SELECT * FROM ix WHERE back = 1),
+          f AS (SELECT *, CASE severity WHEN 'CRITICAL' THEN 3 WHEN 'WARNING' THEN 2 ELSE 1 END AS k FROM cs WHERE severity = 'CRITICAL' OR seen >= 2),
+          t AS (SELECT source_id, count(*) AS alerts, arg_max({{'s': severity, 't': threshold_type, 'e': event_time}}, (k, event_time, -ord)) AS top FROM f GROUP BY ALL)
+          SELECT l.source_id, l.event_time, {r('l.theta', 'theta_rz')}, {r('l.dr', 'depletion_fraction')}, recent_states, {r('rt', 'recent_theta')}, l.event_time AS forecast_origin,
+            {r('l.theta', 'point_168')}, 7 AS horizons, coalesce(alerts, 0) AS alerts, top.s AS top_severity, top.t AS top_type, top.e AS top_time
+          FROM l JOIN w USING (source_id) LEFT JOIN t USING (source_id)""",
         "stream_late_split": "SELECT (event_id % 5 = 0) AS late, count(*) AS events FROM events GROUP BY ALL",
         "operations_counters": f"WITH {QC} SELECT count(*) AS ingested, count(*) FILTER (quarantined) AS quarantined, round(count(*) FILTER (quarantined) * 100.0::DOUBLE / count(*), 6) AS quarantined_pct FROM qc",
     }

@@ -4,9 +4,12 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from loamline.layout import DEFAULT, Layout
+from loamline.operators.running import time_bucket
+
 
 def coverage(df: DataFrame, time: str = "event_time", key: str = "source_id") -> DataFrame:
     """First and last time, records, expected hourly steps, missing steps and repeated timestamps per station.
@@ -129,3 +132,45 @@ def site_status(states: DataFrame, counters: DataFrame, recent: int = 48, key: s
         F.count(F.lit(1)).alias("recent_states"), F.avg("theta_rz").alias("recent_theta")
     )
     return newest.join(window, key).join(counters, key, "left")
+
+
+def newest_rows(df: DataFrame, keys: Sequence[str], order: Sequence[str], k: int, layout: Layout = DEFAULT) -> DataFrame:
+    """The last ``k`` rows of each key by ``order`` (first a time), with ``back``, 1 for the last.
+
+    Counts of periods of time tell which periods hold them; only the rows of those are ordered, so neither the age of a key
+    nor its size matters. Rows without a key or time have no place and are left out.
+    """
+    placed = df
+    for c in [*keys, order[0]]:
+        placed = placed.where(F.col(c).isNotNull())
+    placed = placed.withColumn("_bucket", time_bucket(order[0], layout))
+    counts = placed.groupBy(*keys, "_bucket").agg(F.count(F.lit(1)).alias("_n"))
+    later = F.sum("_n").over(Window.partitionBy(*keys).orderBy(F.desc("_bucket"))) - F.col("_n")
+    held = counts.withColumn("_later", later).where(F.col("_later") < k).select(*keys, "_bucket", "_later")
+    near = placed.join(held, [*keys, "_bucket"])
+    newest = Window.partitionBy(*keys, "_bucket").orderBy(*[F.desc(c) for c in order])
+    return near.withColumn("back", F.col("_later") + F.row_number().over(newest)).where(F.col("back") <= k).drop("_bucket", "_later")
+
+
+SEVERITY_RANK = {"INFO": 1, "WARNING": 2, "CRITICAL": 3}
+
+
+def station_status(states: DataFrame, forecasts: DataFrame, alerts: DataFrame, order: Sequence[str], recent: int = 48,
+                   layout: Layout = DEFAULT) -> DataFrame:
+    """Every station that has states: the last one, the mean of the recent ones, its latest forecast and its top alert.
+
+    ``forecasts`` are long rows (source_id, event_time, horizon, point); those of the station's latest origin become a map by horizon.
+    ``alerts`` (source_id, event_time, ord, severity, category, threshold_type): the most severe one, of those the latest.
+    """
+    last = newest_rows(states, ["source_id"], order, recent, layout).groupBy("source_id").agg(
+        F.max_by(F.struct("event_time", "theta_rz", "depletion_fraction"), -F.col("back")).alias("_s"), F.count(F.lit(1)).alias("recent_states"),
+        F.avg("theta_rz").alias("recent_theta")).select("source_id", "_s.*", "recent_states", "recent_theta")
+    origin = forecasts.groupBy("source_id").agg(F.max("event_time").alias("forecast_origin"))
+    latest = forecasts.join(origin, "source_id").where(F.col("event_time") == F.col("forecast_origin")).groupBy("source_id", "forecast_origin").agg(
+        F.map_from_entries(F.array_sort(F.collect_set(F.struct("horizon", "point")))).alias("forecast"))  # one origin's horizons
+    weight = F.coalesce(*[F.when(F.col("severity") == s, r) for s, r in SEVERITY_RANK.items()], F.lit(0))
+    top = alerts.groupBy("source_id").agg(
+        F.max_by(F.struct("severity", "category", "threshold_type", F.col("event_time").alias("time")), F.struct(weight, "event_time", -F.col("ord"))).alias("top_alert"),
+        F.count(F.lit(1)).alias("alerts"))
+    out = last.join(latest, "source_id", "left").join(top, "source_id", "left")
+    return out.withColumn("alerts", F.coalesce("alerts", F.lit(0)))
