@@ -798,6 +798,18 @@ def station_status(spark, d):
                          F.col("top_alert.severity").alias("top_severity"), F.col("top_alert.threshold_type").alias("top_type"), F.col("top_alert.time").alias("top_time")))
 
 
+def stream_replay(spark, d):
+    """Second and third of four batches, read again from the ledger after all of them."""
+    base = f"{stage_folder(spark)}/replay-{uuid.uuid4().hex}"
+    rows = stage(_timed(spark, d).select("event_id", "source_id", "sensor_id", "value"), "to-replay")
+    for k in range(4):
+        rows.where(F.col("event_id") % 4 == k).write.parquet(f"{base}/in/{k}")
+        stream = flows.with_file(flows.file_stream(spark, f"{base}/in/*", rows.schema))
+        flows.ledgered(stream, base, f"{base}/state").awaitTermination()
+    again = flows.replay(spark, base, rows.schema, 1, 2)
+    return r6(again.groupBy("batch", "sensor_id").agg(F.count(F.lit(1)).alias("events"), F.sum(F.col("value").cast("decimal(20,6)")).cast("double").alias("total")))
+
+
 def stream_late_split(spark, d):
     delay = F.when(F.col("event_id") % 5 == 0, F.expr("interval 3 hours")).otherwise(F.expr("interval 5 minutes"))
     rows = _timed(spark, d).withColumn("ingest_time", F.col("event_time") + delay)

@@ -475,6 +475,7 @@ def oracle_sql() -> dict[str, str]:
           SELECT l.source_id, l.event_time, {r('l.theta', 'theta_rz')}, {r('l.dr', 'depletion_fraction')}, recent_states, {r('rt', 'recent_theta')}, l.event_time AS forecast_origin,
             {r('l.theta', 'point_168')}, 7 AS horizons, coalesce(alerts, 0) AS alerts, top.s AS top_severity, top.t AS top_type, top.e AS top_time
           FROM l JOIN w USING (source_id) LEFT JOIN t USING (source_id)""",
+        "stream_replay": "SELECT event_id % 4 AS batch, event_type AS sensor_id, count(*) AS events, round(sum(value::DECIMAL(20,6))::DOUBLE, 6) AS total FROM events WHERE event_id % 4 IN (1, 2) GROUP BY ALL",
         "stream_late_split": "SELECT (event_id % 5 = 0) AS late, count(*) AS events FROM events GROUP BY ALL",
         "operations_counters": f"WITH {QC} SELECT count(*) AS ingested, count(*) FILTER (quarantined) AS quarantined, round(count(*) FILTER (quarantined) * 100.0::DOUBLE / count(*), 6) AS quarantined_pct FROM qc",
     }
