@@ -16,7 +16,7 @@ from loamline.operators import decision as D
 from loamline.operators import forecast as FC
 from loamline.operators import sketch as sketches
 from loamline.operators import uncertainty as U
-from loamline.operators.evaluate import QUANTILES
+from loamline.operators.evaluate import QUANTILES, comparison_table
 from loamline.operators.features import AR_FEATURES, ARX_FEATURES, align_weather
 from loamline.operators.running import attach, index_rows
 from loamline.operators.series import KEYS
@@ -810,6 +810,95 @@ def stream_replay(spark, d):
     return r6(again.groupBy("batch", "sensor_id").agg(F.count(F.lit(1)).alias("events"), F.sum(F.col("value").cast("decimal(20,6)")).cast("double").alias("total")))
 
 
+def stream_rain_24h(spark, d):
+    """Values of the day up to every hour, per event type."""
+    rows = _timed(spark, d).select(F.col("sensor_id").alias("source_id"), "event_time", "value")
+    out = _run_stream(spark, lambda s: flows.rain_24h(s, "40 days"), _with_end(rows), watermark="40 days")
+    return r6(out.where("source_id <> 'end'").withColumn("until", F.col("until").cast("timestamp_ntz")))
+
+
+def _filtered(spark, d):
+    c, lay = _candidates(spark, d)
+    return filters.filter_alerts(c, filters.FilterRules(), lay)
+
+
+def alert_key_status(spark, d):
+    """Latest status of each alert key; a confirmed one is resolved once its station's last step is quiet."""
+    filtered = stage(_filtered(spark, d), "key-status")
+    rows, lay = _readings(spark, d)
+    last = index_rows(rows, ["source_id"], ORDER, lay).groupBy("source_id").agg(F.max("rn").alias("last_step"))
+    return filters.key_status(filtered, last)
+
+
+def alert_filter_stats(spark, d):
+    return filters.filter_stats(_filtered(spark, d))
+
+
+def assessment_classes(spark, d):
+    c, _ = _candidates(spark, d)
+    found = D.assessments(c)
+    return found.groupBy("classification", "is_quarantined", "requires_operator_review").agg(
+        F.count(F.lit(1)).alias("assessments"), F.count_if(F.length("primary_reason") > 0).alias("with_reason"))
+
+
+def alert_cross_table(spark, d):
+    c, _ = _candidates(spark, d)
+    return episodes.cross_table(c, "threshold_type", "severity", ["INFO", "WARNING", "CRITICAL"])
+
+
+def targets_by_time(spark, d):
+    """Hourly values with those exactly h hours later."""
+    hourly = T.event_hourly(spark, d)
+    return r6(series.with_targets_by_time(hourly, "value", HORIZONS, ["source_id"]).drop("readings"))
+
+
+def forecast_targets(spark, d):
+    """The four forecast targets of all states, with their units."""
+    states = build_states(T.supplier_series(spark, d), T.site_parameters(spark, d)).where("is_valid")
+    out = None
+    for name in FC.TARGET_SPECS:
+        part = FC.target(states, name).select("source_id", F.lit(name).alias("target"), "unit", "y")
+        out = part if out is None else out.unionByName(part)
+    return r6(out.groupBy("source_id", "target", "unit").agg(F.count(F.lit(1)).alias("rows"), F.avg("y").alias("mean_y"), F.min("y").alias("least"), F.max("y").alias("most")))
+
+
+def latest_reading(spark, d):
+    """Newest reading per station and sensor."""
+    return r6(audit.latest(T.event_readings(spark, d).withColumn("station", F.concat_ws("/", "source_id", "sensor_id")),
+                           ["event_time", "event_id", "value"], key="station"))
+
+
+def experiment_manifest(spark, d):
+    """Manifest of the persistence run: windows and metrics of every station."""
+    f, lay = _split(spark, d)
+    rows, _ = _series(spark, d)
+    scores = persistence_walk_forward(rows, ORDER, by=("source_id", "horizon"), layout=lay)
+    out = sinks.experiment_manifest(f, scores, "RUN-CHECK", "supplier_series", "1.0.0", "PERSISTENCE_BASELINE", {"fraction": "0.5"}, ["lag_0"], ["scores.parquet"])
+    return r6(out.select("manifest_id", "source_id", F.col("train_window.rows").alias("train_rows"), F.col("train_window.end_time").alias("train_end"),
+                         F.col("test_window.rows").alias("test_rows"), F.col("test_window.start_time").alias("test_start"), F.size("metrics").alias("horizons"),
+                         *[F.col("metrics")[24][m].alias(f"{m}_24") for m in ("mae", "rmse", "coverage")], F.size("artifacts").alias("artifacts"),
+                         F.col("params")["fraction"].alias("fraction")))
+
+
+def interval_ranking(spark, d):
+    """Interval methods by how far their coverage is from the nominal one, at each horizon."""
+    f, lay = _featured(spark, d)
+    scores = models.interval_benchmark(f, layout=lay).where("regime IS NULL").withColumn("miss", F.round(F.abs(F.round("coverage", 6) - F.col("nominal")), 6))
+    return r6(comparison_table(scores, "miss", ["nominal", "horizon"], "method").select("nominal", "horizon", "method", "rank", "best", "miss", "gap"))
+
+
+def model_comparison(spark, d):
+    """The ladder's models ranked by error at each horizon."""
+    return r6(comparison_table(model_ladder(spark, d), "mae").select("horizon", "model", "rank", "best", "mae", "rmse", "gap"))
+
+
+def seasonal_model_scores(spark, d):
+    """Errors of the fitted regression against persistence in each season."""
+    f, lay = _featured(spark, d)
+    points = models.ladder_points(f.withColumn("season", robustness.season_of()), HORIZONS, (0.0, 0.6), intervals=False, layout=lay, also=["season"])
+    return r6(robustness.seasonal_scores(points.where("season IS NOT NULL")))
+
+
 def stream_late_split(spark, d):
     delay = F.when(F.col("event_id") % 5 == 0, F.expr("interval 3 hours")).otherwise(F.expr("interval 5 minutes"))
     rows = _timed(spark, d).withColumn("ingest_time", F.col("event_time") + delay)
@@ -824,7 +913,7 @@ def stream_late_split(spark, d):
 
 ROWS_ONLY = ["forecast_ridge", "model_ladder", "model_ladder_depletion", "model_ladder_topsoil",
              "forecast_hybrid", "oracle_ablation", "site_evaluation", "site_outcomes",
-             "cross_site_summary"]
+             "cross_site_summary", "model_comparison", "seasonal_model_scores"]
 
 
 def _utc(fn):

@@ -476,6 +476,32 @@ def oracle_sql() -> dict[str, str]:
             {r('l.theta', 'point_168')}, 7 AS horizons, coalesce(alerts, 0) AS alerts, top.s AS top_severity, top.t AS top_type, top.e AS top_time
           FROM l JOIN w USING (source_id) LEFT JOIN t USING (source_id)""",
         "stream_replay": "SELECT event_id % 4 AS batch, event_type AS sensor_id, count(*) AS events, round(sum(value::DECIMAL(20,6))::DOUBLE, 6) AS total FROM events WHERE event_id % 4 IN (1, 2) GROUP BY ALL",
+        "stream_rain_24h": """SELECT source_id, until, round(sum(value), 6) AS rain_mm FROM (SELECT event_type AS source_id, value,
+            unnest(generate_series(date_trunc('hour', ts)::TIMESTAMP + INTERVAL 1 HOUR, date_trunc('hour', ts)::TIMESTAMP + INTERVAL 24 HOUR, INTERVAL 1 HOUR)) AS until FROM events) GROUP BY ALL""",
+        "alert_key_status": f"""WITH {RUNS}, st AS (SELECT *, {STATUS.format(2)} FROM cs), k AS (SELECT {KEYS}, arg_max(status, (step, ord)) AS s, max(step) AS last_alert_step FROM st GROUP BY ALL),
+          l AS (SELECT source_id, max(step) AS last_step FROM qc GROUP BY ALL)
+          SELECT {KEYS}, last_alert_step, CASE WHEN s = 'CONFIRMED' AND last_alert_step < last_step THEN 'RESOLVED' ELSE s END AS status FROM k JOIN l USING (source_id)""",
+        "alert_filter_stats": f"WITH {RUNS}, st AS (SELECT {STATUS.format(2)} FROM cs) SELECT count(*) AS candidates, count(*) FILTER (status <> 'CONFIRMED') AS suppressed, count(*) FILTER (status = 'CONFIRMED') AS emitted FROM st",
+        "assessment_classes": f"""WITH {DECISION} SELECT CASE category WHEN 'DATA_QUALITY_ALERT' THEN 'DATA_QUALITY_ANOMALY' WHEN 'AGRONOMIC_RISK' THEN 'OPERATIONAL_WATER_RISK' ELSE category END AS classification,
+          category = 'DATA_QUALITY_ALERT' AS is_quarantined, true AS requires_operator_review, count(*) AS assessments, count(*) AS with_reason FROM ca GROUP BY ALL""",
+        "alert_cross_table": f"""WITH {DECISION} SELECT threshold_type, """ + ", ".join(
+            f"""nullif(count(*) FILTER (severity = '{x}'), 0) AS "{x}" """ for x in ("INFO", "WARNING", "CRITICAL")) + " FROM ca GROUP BY threshold_type",
+        "targets_by_time": f"WITH {HOURLY} SELECT e.source_id, e.event_time, round(e.value, 6) AS value, " + ", ".join(f"round(t{h}.value, 6) AS y_{h}" for h in HORIZONS) + " FROM eh e " + " ".join(
+            f"LEFT JOIN eh t{h} ON t{h}.source_id = e.source_id AND t{h}.event_time = e.event_time + to_hours({h})" for h in HORIZONS),
+        "forecast_targets": f"""WITH {STATES}, {SITES}, v AS (SELECT source_id, theta, (fc - theta) / (fc - wp) AS dr FROM st JOIN sites USING (source_id) WHERE is_valid),
+          u AS (SELECT source_id, unnest(['volumetric_water_content', 'root_zone_depletion_fraction', 'root_zone_storage_mm', 'fraction_of_available_water']) AS target,
+            unnest(['m3/m3', 'fraction', 'mm', 'fraction']) AS unit, unnest([theta, dr, 10.0::DOUBLE * 100.0::DOUBLE * theta, 1.0::DOUBLE - dr]) AS y FROM v)
+          SELECT source_id, target, unit, count(*) AS rows, {r('avg(y)', 'mean_y')}, {r('min(y)', 'least')}, {r('max(y)', 'most')} FROM u GROUP BY ALL""",
+        "latest_reading": """SELECT user_id::VARCHAR || '/' || event_type AS station, max(ts) AS event_time, arg_max(event_id, (ts, event_id, value)) AS event_id, round(arg_max(value, (ts, event_id, value)), 6) AS value
+          FROM events GROUP BY ALL""",
+        "experiment_manifest": f"""WITH {SPLIT}, s AS ({walk_forward('source_id, horizon').replace('SELECT s.source_id, s.horizon', 'SELECT s.source_id AS source_id, s.horizon AS horizon')}),
+          w AS (SELECT source_id, count(*) FILTER (split = 'train') AS train_rows, max(event_time) FILTER (split = 'train') AS train_end, count(*) FILTER (split = 'test') AS test_rows,
+            min(event_time) FILTER (split = 'test') AS test_start FROM se GROUP BY ALL)
+          SELECT sha256(concat_ws('|', 'RUN-CHECK', w.source_id::VARCHAR)) AS manifest_id, w.source_id, train_rows, train_end, test_rows, test_start, 7 AS horizons, mae AS mae_24, rmse AS rmse_24, coverage AS coverage_24,
+            1 AS artifacts, '0.5' AS fraction FROM w JOIN s ON s.source_id = w.source_id AND s.horizon = 24""",
+        "interval_ranking": f"""WITH b AS ({_bench()}), m AS (SELECT nominal, horizon, method, round(abs(coverage - nominal), 6) AS miss FROM b WHERE regime IS NULL)
+          SELECT nominal, horizon, method, rank() OVER (PARTITION BY nominal, horizon ORDER BY miss) AS rank, miss = min(miss) OVER (PARTITION BY nominal, horizon) AS best, miss,
+            round(abs(miss - min(miss) OVER (PARTITION BY nominal, horizon)), 6) AS gap FROM m""",
         "stream_late_split": "SELECT (event_id % 5 = 0) AS late, count(*) AS events FROM events GROUP BY ALL",
         "operations_counters": f"WITH {QC} SELECT count(*) AS ingested, count(*) FILTER (quarantined) AS quarantined, round(count(*) FILTER (quarantined) * 100.0::DOUBLE / count(*), 6) AS quarantined_pct FROM qc",
     }

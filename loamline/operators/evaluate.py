@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from loamline.functions.water import clip
@@ -103,3 +103,14 @@ def score_persistence(
         F.avg(F.col("mean_error") * F.col("mean_error")).alias("mean_mse"),
     )
     return out.withColumn("skill_vs_mean", skill(F.col("mse"), F.col("mean_mse"))).drop("mean_mse")
+
+
+def comparison_table(scores: DataFrame, metric: str, by: Sequence[str] = ("horizon",), model: str = "model", ascending: bool = True) -> DataFrame:
+    """Scores with each model's ``rank`` by ``metric`` in its group, whether it is the ``best``, and its ``gap`` to the best.
+
+    A group has one row per model, so its window is a handful of rows. Equal scores share a rank; a model without a score comes last.
+    """
+    order = F.asc_nulls_last(metric) if ascending else F.desc_nulls_last(metric)
+    over = Window.partitionBy(*by)
+    best = (F.min if ascending else F.max)(metric).over(over)
+    return scores.withColumns({"rank": F.rank().over(over.orderBy(order)), "best": F.coalesce(F.col(metric) == best, F.lit(False)), "gap": F.abs(F.col(metric) - best)})

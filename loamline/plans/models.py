@@ -92,8 +92,8 @@ def in_sample_spread(featured: DataFrame, weights: DataFrame, horizons: Sequence
 
 
 def ladder_points(featured: DataFrame, horizons: Sequence[int], bounds, fraction: float = 0.5, level: float = 0.25,
-                  intervals: bool = True, layout: Layout = DEFAULT) -> DataFrame:
-    """Test rows per horizon with the point of every model (and its 80 % interval)."""
+                  intervals: bool = True, layout: Layout = DEFAULT, also: Sequence[str] = ()) -> DataFrame:
+    """Test rows per horizon with the point of every model (and its 80 % interval); ``also`` names further columns to keep."""
     weights = stage(ridge.fit(featured, horizons, level), "weights")
     learnt = per_model(weights, [AR, ARX], ["bias", "weights"], "w")
     if intervals:
@@ -108,7 +108,7 @@ def ladder_points(featured: DataFrame, horizons: Sequence[int], bounds, fraction
     params = for_test_rows(learnt, train_summary(featured), fraction)
     level_rows = ewma(featured, 0.15, bounds=bounds, seeds=last_train_values(featured), layout=layout)
     test = attach(level_rows.where(~F.col("is_train")).withColumnRenamed("point", "ewma"), params, KEYS, layout=layout)
-    keep = ["source_id", "y", "ewma", "train_mean", "regime", *ARX_FEATURES]
+    keep = ["source_id", "y", "ewma", "train_mean", "regime", *ARX_FEATURES, *also]
     pairs = by_horizon(test, horizons, keep, maps=["w", *(["spread"] if intervals else [])])
     at = lambda model: F.col("w")[model]
     return pairs.withColumns({

@@ -94,6 +94,49 @@ def run_manifest(summary: DataFrame, params: dict[str, str], model: str, seed: i
     )
 
 
+METRICS = ["samples", "mae", "mse", "rmse", "mbe", "coverage", "width", "skill_vs_mean"]
+
+
+def experiment_manifest(series: DataFrame, scores: DataFrame, run_id: str, dataset: str, version: str, model: str, params: dict[str, str] | None = None,
+                        features: Sequence[str] = (), artifacts: Sequence[str] = (), target: str = "volumetric_water_content", seed: int = 42,
+                        split: str = "chronological") -> DataFrame:
+    """What a run was and gave, one row per station: dataset, split with its windows, model, all metrics by horizon, artifacts.
+
+    ``series`` (source_id, event_time, is_train) gives the windows, ``scores`` (source_id, horizon and some of METRICS) the metrics. A station
+    without scores keeps its row, with no metrics. ``manifest_id`` is fixed by run and station, so that a repeated run is found as such.
+    """
+    window = lambda train: F.struct(
+        F.min(F.when(F.col("is_train") == train, F.col("event_time"))).alias("start_time"), F.max(F.when(F.col("is_train") == train, F.col("event_time"))).alias("end_time"),
+        F.count_if(F.col("is_train") == train).alias("rows"))
+    windows = series.groupBy("source_id").agg(window(True).alias("train_window"), window(False).alias("test_window"))
+    known = [m for m in METRICS if m in scores.columns]
+    entry = F.struct(F.col("horizon").cast("int"), F.struct(*[F.col(m).cast("double").alias(m) for m in known]))
+    metrics = scores.groupBy("source_id").agg(F.map_from_entries(F.array_sort(F.collect_list(entry))).alias("metrics"))  # a handful of horizons
+    pairs = [F.lit(x) for kv in sorted((params or {}).items()) for x in kv]
+    texts = lambda xs: F.array(*[F.lit(x) for x in xs]).cast("array<string>")
+    return windows.join(metrics, "source_id", "left").select(
+        F.sha2(F.concat_ws("|", F.lit(run_id), F.col("source_id").cast("string")), 256).alias("manifest_id"), F.lit(run_id).alias("run_id"),
+        F.current_timestamp().alias("created_at"), "source_id", F.lit(dataset).alias("dataset"), F.lit(version).alias("dataset_version"),
+        F.lit(target).alias("target_variable"), F.lit(model).alias("model_name"),
+        (F.create_map(*pairs) if pairs else F.create_map().cast("map<string,string>")).alias("params"), texts(features).alias("features"),
+        F.lit(split).alias("split_strategy"), "train_window", "test_window", F.lit(seed).alias("random_seed"), "metrics", texts(artifacts).alias("artifacts"),
+        F.lit("FINISHED").alias("status"))
+
+
+def write_manifests(manifests: DataFrame, path: str) -> dict[str, int]:
+    """Append the manifests that aren't stored yet."""
+    spark = manifests.sparkSession
+    new = manifests
+    stored = read_if_exists(spark, path, ["manifest_id"])
+    if stored is not None:
+        new = new.join(stored, "manifest_id", "left_anti")
+    new = stage(first_by_key(new, "manifest_id", ["created_at"]), "new-manifests")
+    offered, inserted = manifests.count(), new.count()
+    if inserted:
+        new.write.mode("append").parquet(path)
+    return {"inserted": inserted, "duplicates": offered - inserted}
+
+
 def ledger_markdown(summary: DataFrame) -> str:
     """A Markdown table of one run (one row with at most seven horizons reaches the driver)."""
     row = summary.first().asDict()
