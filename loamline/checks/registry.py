@@ -17,8 +17,8 @@ from loamline.operators import forecast as FC
 from loamline.operators import sketch as sketches
 from loamline.operators import uncertainty as U
 from loamline.operators.evaluate import QUANTILES, comparison_table
-from loamline.operators.features import AR_FEATURES, ARX_FEATURES, align_weather
-from loamline.operators.running import attach, index_rows
+from loamline.operators.features import AR_FEATURES, ARX_FEATURES, Feature, align_weather, compiled
+from loamline.operators.running import attach, index_rows, placeable
 from loamline.operators.series import KEYS
 from loamline.operators.state import build_states, check_sites, topsoil, water_state
 from loamline import sinks
@@ -899,6 +899,28 @@ def seasonal_model_scores(spark, d):
     return r6(robustness.seasonal_scores(points.where("season IS NOT NULL")))
 
 
+EXTRA_FEATURES = [Feature("theta_3", "y", 3), Feature("change_12", "y", 12, "change"), Feature("least_7", "y", 6, "min"), Feature("most_7", "y", 6, "max"),
+                  Feature("rain_max_10", "precip_mm", 9, "max", 0.0), Feature("air_mean_5", "air_temp_c", 4, "avg"), Feature("sun", "solar_rad_wm2", 0, "value", 0.0)]
+
+
+def features_compiled(spark, d):
+    """Windows that a feature list of its own generates."""
+    rows, lay = _series(spark, d)
+    series_rows = split_states(rows, ORDER, ["event_time", "theta_rz", "precip_mm", "air_temp_c", "solar_rad_wm2"], layout=lay).withColumn("y", F.col("theta_rz"))
+    return r6(compiled(series_rows, EXTRA_FEATURES, layout=lay).select("source_id", "split", "rn", *[f.name for f in EXTRA_FEATURES]))
+
+
+def unplaced_rows(spark, d):
+    """Readings without a station or time, split off with a reason before the others are numbered."""
+    rows, lay = _events(spark, d)
+    n = F.col("event_id")
+    damaged = rows.withColumns({"source_id": F.when(n % 17 != 0, F.col("source_id")), "event_time": F.when(n % 19 != 0, F.col("event_time"))})
+    good, bad = placeable(damaged, ["source_id"], ["event_time"])
+    placed = index_rows(good, ["source_id"], ["event_time", "event_id"], lay).agg(
+        F.lit("placed").alias("outcome"), F.count(F.lit(1)).alias("readings"), F.sum("rn").alias("positions"))
+    return placed.unionByName(bad.groupBy(F.col("failure_reason").alias("outcome")).agg(F.count(F.lit(1)).alias("readings"), F.lit(None).cast("long").alias("positions")))
+
+
 def stream_late_split(spark, d):
     delay = F.when(F.col("event_id") % 5 == 0, F.expr("interval 3 hours")).otherwise(F.expr("interval 5 minutes"))
     rows = _timed(spark, d).withColumn("ingest_time", F.col("event_time") + delay)

@@ -502,6 +502,13 @@ def oracle_sql() -> dict[str, str]:
         "interval_ranking": f"""WITH b AS ({_bench()}), m AS (SELECT nominal, horizon, method, round(abs(coverage - nominal), 6) AS miss FROM b WHERE regime IS NULL)
           SELECT nominal, horizon, method, rank() OVER (PARTITION BY nominal, horizon ORDER BY miss) AS rank, miss = min(miss) OVER (PARTITION BY nominal, horizon) AS best, miss,
             round(abs(miss - min(miss) OVER (PARTITION BY nominal, horizon)), 6) AS gap FROM m""",
+        "features_compiled": f"""WITH {SPLIT} SELECT source_id, split, rn, round(coalesce(lag(y, 3) OVER w, first_value(y) OVER w), 6) AS theta_3, round(CASE WHEN rn <= 12 THEN 0 ELSE y - lag(y, 12) OVER w END, 6) AS change_12,
+          round(min(y) OVER (w ROWS 6 PRECEDING), 6) AS least_7, round(max(y) OVER (w ROWS 6 PRECEDING), 6) AS most_7, round(max(coalesce(rain, 0)) OVER (w ROWS 9 PRECEDING), 6) AS rain_max_10,
+          round(avg(air) OVER (w ROWS 4 PRECEDING), 6) AS air_mean_5, round(coalesce(solar, 0), 6) AS sun FROM se WINDOW w AS (PARTITION BY source_id, split ORDER BY rn)""",
+        "unplaced_rows": """WITH d AS (SELECT CASE WHEN event_id % 17 <> 0 THEN user_id END AS s, CASE WHEN event_id % 19 <> 0 THEN ts END AS t, event_id FROM events),
+          p AS (SELECT row_number() OVER (PARTITION BY s ORDER BY t, event_id) AS rn FROM d WHERE s IS NOT NULL AND t IS NOT NULL)
+          SELECT 'placed' AS outcome, count(*) AS readings, sum(rn)::BIGINT AS positions FROM p
+          UNION ALL SELECT CASE WHEN s IS NULL THEN 'source_id is missing' ELSE 'event_time is missing' END, count(*), NULL FROM d WHERE s IS NULL OR t IS NULL GROUP BY 1""",
         "stream_late_split": "SELECT (event_id % 5 = 0) AS late, count(*) AS events FROM events GROUP BY ALL",
         "operations_counters": f"WITH {QC} SELECT count(*) AS ingested, count(*) FILTER (quarantined) AS quarantined, round(count(*) FILTER (quarantined) * 100.0::DOUBLE / count(*), 6) AS quarantined_pct FROM qc",
     }

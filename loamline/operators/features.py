@@ -23,32 +23,50 @@ DAY = 24
 NO_WEATHER = {"air_temp_c": 15.0, "precip_mm": 0.0, "solar_rad_wm2": 0.0}
 
 
+AGGREGATES = ("lag", "change", "value", "sum", "avg", "min", "max", "hour_sin", "hour_cos")
+
+
 @dataclass(frozen=True)
 class Feature:
-    """One feature: its source column, how many rows back it looks, and the column it becomes."""
+    """One feature: its column, its source, how many rows back it looks, and what it makes of them.
+
+    ``lag`` is the value so many rows ago (the first one before the series start), ``change`` the difference to it (0 there), ``value`` the present one;
+    the others take all rows from there to here. ``missing`` stands for null sources.
+    """
 
     name: str
     source: str
     lookback: int
+    aggregate: str = "lag"
+    missing: float | None = None
 
     def __post_init__(self):
         if self.lookback < 0:
             raise ValueError(f"{self.name} would look ahead")
+        if self.aggregate not in AGGREGATES:
+            raise ValueError(f"{self.name}: unknown aggregate {self.aggregate}")
+        if self.lookback and self.aggregate in ("value", "hour_sin", "hour_cos"):
+            raise ValueError(f"{self.name} looks at the present row only")
 
 
 def feature_list(weather: bool = True) -> list[Feature]:
-    out = [Feature(f"lag_{k}", "y", k) for k in LAGS] + [Feature("delta_24", "y", DAY)]
+    out = [Feature(f"lag_{k}", "y", k) for k in LAGS] + [Feature("delta_24", "y", DAY, "change")]
     if weather:
-        out += [Feature(f"rain_{w}", "precip_mm", w - 1) for w in RAIN_WINDOWS]
-        out += [Feature("temp_now", "air_temp_c", 0), Feature("temp_mean_24", "air_temp_c", DAY - 1)]
-        out += [Feature("solar_now", "solar_rad_wm2", 0), Feature("solar_sum_24", "solar_rad_wm2", DAY - 1)]
-        out += [Feature("hour_sin", "event_time", 0), Feature("hour_cos", "event_time", 0)]
+        out += [Feature(f"rain_{w}", "precip_mm", w - 1, "sum", 0.0) for w in RAIN_WINDOWS]
+        out += [Feature("temp_now", "air_temp_c", 0, "value"), Feature("temp_mean_24", "air_temp_c", DAY - 1, "avg")]
+        out += [Feature("solar_now", "solar_rad_wm2", 0, "value", 0.0), Feature("solar_sum_24", "solar_rad_wm2", DAY - 1, "sum", 0.0)]
+        out += [Feature("hour_sin", "event_time", 0, "hour_sin"), Feature("hour_cos", "event_time", 0, "hour_cos")]
     return out
 
 
+def reach(features: Sequence[Feature]) -> int:
+    """Rows before a block that its windows need."""
+    return max((f.lookback for f in features), default=0)
+
+
 AR_FEATURES = [f.name for f in feature_list(weather=False)]
 ARX_FEATURES = [f.name for f in feature_list()]
-LOOKBACK = max(f.lookback for f in feature_list())
+LOOKBACK = reach(feature_list())
 
 
 def fill_both_ways(df: DataFrame, columns: Sequence[str], keys: Sequence[str] = KEYS,
@@ -63,35 +81,39 @@ def fill_both_ways(df: DataFrame, columns: Sequence[str], keys: Sequence[str] =
     return filled.withColumns(fill).drop(*values, "block")
 
 
-def rain_sum(rows: int, w, column: str = "precip_mm") -> Column:
-    return F.sum(F.coalesce(F.col(column), F.lit(0.0))).over(w.rowsBetween(-(rows - 1), 0))
+def window_columns(features: Sequence[Feature], w) -> dict[str, Column]:
+    """The columns of a feature list over the block window ``w``; every frame ends at the current row.
 
-
-def causal_columns(w, weather: bool = True) -> dict[str, Column]:
-    """Feature columns over the block window ``w``. Before the series start a lag takes the first value."""
-    rn, y = F.col("rn"), F.col("y")
-    # Rows with rn <= 48 are in the first block, whose first row is the series start.
-    first = F.first("y").over(w.rowsBetween(-max(LAGS), 0))
-    out = {}
-    for k in LAGS:
-        out[f"lag_{k}"] = y if k == 0 else F.when(rn <= k, first).otherwise(F.lag("y", k).over(w))
-    out["delta_24"] = F.when(rn <= DAY, F.lit(0.0)).otherwise(y - F.lag("y", DAY).over(w))
-    if weather:
-        sun = F.coalesce(F.col("solar_rad_wm2"), F.lit(0.0))
-        day = w.rowsBetween(-(DAY - 1), 0)
-        hour = F.hour("event_time") * F.lit(2.0) * F.pi() / F.lit(24.0)
-        out |= {f"rain_{n}": rain_sum(n, w) for n in RAIN_WINDOWS}
-        out |= {
-            "temp_now": F.col("air_temp_c"),
-            "temp_mean_24": F.avg("air_temp_c").over(day),
-            "solar_now": sun,
-            "solar_sum_24": F.sum(sun).over(day),
-            "hour_sin": F.sin(hour),
-            "hour_cos": F.cos(hour),
-        }
+    Blocks must carry ``reach(features)`` rows before them, and the first one starts with the series.
+    """
+    rn, out = F.col("rn"), {}
+    # rows nearer to the start than a lag are in the first block, whose first row is the series start
+    start = {s: F.first(s).over(w.rowsBetween(-max(f.lookback for f in features if f.source == s), 0)) for s in {f.source for f in features}}
+    over = {"sum": F.sum, "avg": F.avg, "min": F.min, "max": F.max}
+    for f in features:
+        x = F.col(f.source) if f.missing is None else F.coalesce(F.col(f.source), F.lit(f.missing))
+        if f.aggregate in over:
+            out[f.name] = over[f.aggregate](x).over(w.rowsBetween(-f.lookback, 0))
+        elif f.aggregate in ("hour_sin", "hour_cos"):
+            turn = F.hour(f.source) * F.lit(2.0) * F.pi() / F.lit(24.0)
+            out[f.name] = F.sin(turn) if f.aggregate == "hour_sin" else F.cos(turn)
+        elif f.aggregate == "change":
+            out[f.name] = F.when(rn <= f.lookback, F.lit(0.0)).otherwise(x - F.lag(x, f.lookback).over(w)) if f.lookback else F.lit(0.0)
+        else:
+            first = start[f.source] if f.missing is None else F.coalesce(start[f.source], F.lit(f.missing))
+            out[f.name] = x if f.lookback == 0 else F.when(rn <= f.lookback, first).otherwise(F.lag(x, f.lookback).over(w))
     return out
 
 
+def compiled(df: DataFrame, features: Sequence[Feature], keys: Sequence[str] = KEYS, layout: Layout = DEFAULT) -> DataFrame:
+    """A series (keys, rn of n) with the columns of any feature list, from one window; the list gives the halo, too."""
+    names = [f.name for f in features]
+    if len(set(names)) < len(names) or set(names) & set(df.columns):
+        raise ValueError("feature names must be new and different")
+    rows = with_halo(df, before=reach(features), layout=layout)
+    return core_rows(rows.withColumns(window_columns(features, block_window(keys))))
+
+
 def regime(rain_24: Column, solar: Column) -> Column:
     return (
         F.when(rain_24 > 1.0, F.lit("WET_ANTECEDENT"))
@@ -112,7 +134,7 @@ def with_features(df: DataFrame, horizons: Sequence[int] = (), weather: bool = T
     ahead = max(horizons, default=0)
     rows = with_halo(df, before=LOOKBACK, after=ahead, layout=layout)
     w = block_window(KEYS)
-    columns = causal_columns(w, weather)
+    columns = window_columns(feature_list(weather), w)
     columns |= {f"y_{h}": F.lead("y", h).over(w) for h in horizons}
     if oracle:
         rain = F.coalesce(F.col("precip_mm"), F.lit(0.0))

@@ -56,6 +56,19 @@ def index_rows(
     )
 
 
+def placeable(df: DataFrame, keys: Sequence[str], order: Sequence[str]) -> tuple[DataFrame, DataFrame]:
+    """(rows that have a place in their series, the others with ``failure_reason``).
+
+    A row without a key, or without the time that ``order`` starts with, belongs to no series: the functions here leave it out, so
+    it is to be split off and kept before. The other columns of ``order`` may be null.
+    """
+    reason = F.lit(None).cast("string")
+    for c in reversed([*keys, order[0]]):
+        reason = F.when(F.col(c).isNull(), F.lit(f"{c} is missing")).otherwise(reason)
+    marked = df.withColumn("failure_reason", reason)
+    return marked.where("failure_reason IS NULL").drop("failure_reason"), marked.where("failure_reason IS NOT NULL")
+
+
 def block_of(rn: str = "rn", layout: Layout = DEFAULT) -> Column:
     return F.floor((F.col(rn) - 1) / F.lit(layout.block_rows)).cast("long")
 

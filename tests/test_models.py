@@ -13,7 +13,7 @@ from loamline.layout import Layout
 from loamline.operators import forecast as FC
 from loamline.operators import ridge
 from loamline.operators import uncertainty as U
-from loamline.operators.features import AR_FEATURES, ARX_FEATURES, Feature, feature_list, with_features
+from loamline.operators.features import AR_FEATURES, ARX_FEATURES, Feature, compiled, feature_list, reach, with_features
 from loamline.operators.running import index_rows
 from loamline.operators.series import chronological_split, with_targets, with_targets_by_time
 from loamline.stage import stage
@@ -178,3 +178,30 @@ def test_station_without_temperature_keeps_the_autoregressive_model(spark, rows,
     # no weather column at all: fixed values stand in
     plain = with_features(numbered.drop("precip_mm", "solar_rad_wm2", "air_temp_c"), HORIZONS, layout=TINY)
     assert plain.select("temp_now", "temp_mean_24", "rain_72", "solar_sum_24").distinct().collect() == [(15.0, 15.0, 0.0, 0.0)]
+
+
+def test_feature_lists_compile_to_causal_windows(spark):
+    """Any list against a plain loop, over small blocks; names must be new, and nothing may look ahead."""
+    rng = random.Random(3)
+    rows = [("a", "test", i + 1, 97, rng.random(), None if rng.random() < 0.2 else rng.random()) for i in range(97)] + [("b", "test", 1, 1, 0.5, None)]
+    df = spark.createDataFrame(rows, "source_id string, split string, rn long, n long, y double, rain double")
+    features = [Feature("l5", "y", 5), Feature("l0", "y", 0), Feature("c3", "y", 3, "change"), Feature("s4", "rain", 3, "sum", 0.0), Feature("a4", "rain", 3, "avg"),
+                Feature("lo", "rain", 7, "min", 1.0), Feature("hi", "y", 7, "max"), Feature("now", "rain", 0, "value", -1.0), Feature("lr", "rain", 2, "lag", 9.0)]
+    assert reach(features) == 7
+    got = {(r["source_id"], r["rn"]): r for r in compiled(df, features, layout=Layout(block_rows=10)).collect()}
+    assert len(got) == 98
+    for s in "ab":
+        mine = [r for r in rows if r[0] == s]
+        y, rain = [r[4] for r in mine], [r[5] for r in mine]
+        fill = lambda v, x: x if v is None else v
+        for i in range(len(mine)):
+            r, last = got[s, i + 1], slice(max(0, i - 3), i + 1)
+            known = [v for v in rain[last] if v is not None]
+            want = {"l5": y[max(0, i - 5)], "l0": y[i], "c3": y[i] - y[i - 3] if i >= 3 else 0.0, "s4": sum(fill(v, 0.0) for v in rain[last]),
+                    "a4": sum(known) / len(known) if known else None, "lo": min(fill(v, 1.0) for v in rain[max(0, i - 7): i + 1]), "hi": max(y[max(0, i - 7): i + 1]),
+                    "now": fill(rain[i], -1.0), "lr": fill(rain[max(0, i - 2)], 9.0)}
+            assert all(r[k] == v or abs(r[k] - v) < 1e-12 for k, v in want.items()), (i, want, r)
+    for bad in (lambda: Feature("x", "y", -1), lambda: Feature("x", "y", 1, "median"), lambda: Feature("x", "y", 2, "value"),
+                lambda: compiled(df, [Feature("y", "rain", 1)]), lambda: compiled(df, [Feature("x", "y", 1), Feature("x", "y", 2)])):
+        with pytest.raises(ValueError):
+            bad()
