@@ -27,7 +27,7 @@ from loamline.plans import contract_tree, contracts, models, operational, robust
 from loamline.plans.walk_forward import persistence_walk_forward, split_states, valid_states
 from loamline.schemas import HORIZONS
 from loamline.sinks import first_by_key
-from loamline.sources import device_json
+from loamline.sources import device_json, event_json
 from loamline.sources import tables as T
 from loamline.stage import stage, stage_folder
 from loamline.streaming import decide, flows, stateful
@@ -231,12 +231,13 @@ def device_packets(spark, d):
         F.sum(F.when(ok, total)).alias("total_vwc")))
 
 
-def contract_report(spark, d):
+def _event_lines(spark, d):
+    """The events as JSON lines of the contract, many of them with a fault."""
     kind, time = F.col("sensor_id"), iso_utc(F.col("event_time"))
     reading = F.struct(kind.alias("sensor_id"), F.lit("air_temperature").alias("variable_name"),
                        F.when(F.col("value") > 100, -5.0).otherwise(0.0).alias("depth_cm"), F.col("value"),
                        F.lit("degC").alias("unit"), F.lit("VALID").alias("qc_flag"))
-    raw = T.event_readings(spark, d).select(F.to_json(F.struct(
+    return T.event_readings(spark, d).select(F.to_json(F.struct(
         F.when(F.col("event_id") % 7 == 0, "1.0").otherwise("1.0.0").alias("schema_version"),
         F.lit("00000000-0000-4000-8000-000000000000").alias("event_id"),
         F.col("source_id").cast("string").alias("source_id"),
@@ -248,7 +249,10 @@ def contract_report(spark, d):
         F.array(reading).alias("measurements"),
         F.when(kind == "error", 1).alias("extra"),
     )).alias("value"))
-    report = contracts.event_report(raw)
+
+
+def contract_report(spark, d):
+    report = contracts.event_report(_event_lines(spark, d))
     return report.select(F.explode("violations").alias("violation")).groupBy("violation").agg(F.count(F.lit(1)).alias("events"))
 
 
@@ -921,6 +925,17 @@ def unplaced_rows(spark, d):
     return placed.unionByName(bad.groupBy(F.col("failure_reason").alias("outcome")).agg(F.count(F.lit(1)).alias("readings"), F.lit(None).cast("long").alias("positions")))
 
 
+def event_json_read(spark, d):
+    """Stored event lines read back: readings per station of the good ones, and the rejected ones."""
+    events, rejected = event_json.split_events(_event_lines(spark, d))
+    good = event_json.readings(events).groupBy("source_id").agg(
+        F.lit("read").alias("outcome"), F.count(F.lit(1)).alias("rows"), F.sum(F.col("value").cast("decimal(20,6)")).cast("double").alias("total"),
+        F.max("event_time").cast("timestamp_ntz").alias("latest"))
+    bad = rejected.groupBy(F.get_json_object("value", "$.source_id").alias("source_id")).agg(
+        F.lit("rejected").alias("outcome"), F.count(F.lit(1)).alias("rows"), F.lit(None).cast("double").alias("total"), F.lit(None).cast("timestamp_ntz").alias("latest"))
+    return r6(good.unionByName(bad))
+
+
 def stream_late_split(spark, d):
     delay = F.when(F.col("event_id") % 5 == 0, F.expr("interval 3 hours")).otherwise(F.expr("interval 5 minutes"))
     rows = _timed(spark, d).withColumn("ingest_time", F.col("event_time") + delay)

@@ -509,6 +509,10 @@ def oracle_sql() -> dict[str, str]:
           p AS (SELECT row_number() OVER (PARTITION BY s ORDER BY t, event_id) AS rn FROM d WHERE s IS NOT NULL AND t IS NOT NULL)
           SELECT 'placed' AS outcome, count(*) AS readings, sum(rn)::BIGINT AS positions FROM p
           UNION ALL SELECT CASE WHEN s IS NULL THEN 'source_id is missing' ELSE 'event_time is missing' END, count(*), NULL FROM d WHERE s IS NULL OR t IS NULL GROUP BY 1""",
+        "event_json_read": """WITH f AS (SELECT user_id::VARCHAR AS source_id, value, date_trunc('second', ts)::TIMESTAMP AS t, event_type IN ('signup', 'error', 'click') OR event_id % 7 = 0 OR event_id % 5 = 0 OR event_id % 13 = 0
+            OR value > 100 AS bad FROM events)
+          SELECT source_id, 'read' AS outcome, count(*) AS rows, round(sum(value::DECIMAL(20,6))::DOUBLE, 6) AS total, max(t) AS latest FROM f WHERE NOT coalesce(bad, false) GROUP BY source_id
+          UNION ALL SELECT source_id, 'rejected', count(*), NULL, NULL FROM f WHERE coalesce(bad, false) GROUP BY source_id""",
         "stream_late_split": "SELECT (event_id % 5 = 0) AS late, count(*) AS events FROM events GROUP BY ALL",
         "operations_counters": f"WITH {QC} SELECT count(*) AS ingested, count(*) FILTER (quarantined) AS quarantined, round(count(*) FILTER (quarantined) * 100.0::DOUBLE / count(*), 6) AS quarantined_pct FROM qc",
     }

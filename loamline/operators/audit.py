@@ -84,13 +84,6 @@ def completeness(df: DataFrame, variables: Sequence[str], key: str = "source_id"
     )
 
 
-def rounded(report: DataFrame, digits: int = 4) -> DataFrame:
-    """Report rows with doubles rounded for display."""
-    return report.select(*[
-        F.round(c, digits).alias(c) if t == "double" else F.col(c) for c, t in report.dtypes
-    ])
-
-
 def store_counts(tables: dict[str, DataFrame]) -> DataFrame:
     """Rows and quarantined rows per stored table; tables without the flag count none."""
     out = None

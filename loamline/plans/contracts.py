@@ -22,8 +22,6 @@ RAW_EVENT = (
 ALERT_REQUIRED = ["schema_version", "alert_id", "category", "severity", "source_id", "site_id", "trigger_time",
                   "threshold_type", "threshold_value", "threshold_unit", "actionable_guidance",
                   "is_autonomous_actuation"]
-FORECAST_REQUIRED = ["schema_version", "forecast_id", "source_id", "site_id", "origin_time", "target_variable",
-                     "model", "predictions"]
 
 
 def violation(bad: Column, path: str, text: str) -> Column:
@@ -136,19 +134,6 @@ def alert_rules(columns: list[str]) -> list[Column]:
     ]
 
 
-def forecast_rules() -> list[Column]:
-    p = F.col("predictions")
-    rules = [violation(F.col(f).isNull(), f, "is required") for f in FORECAST_REQUIRED]
-    return rules + [
-        violation(~F.col("schema_version").rlike(VERSION_PATTERN), "schema_version", "is not a version"),
-        violation(~F.col("target_variable").isin(S.TARGETS), "target_variable", "is not allowed"),
-        violation(F.size(p) < 1, "predictions", "is empty"),
-        violation(F.exists(p, lambda x: x["horizon_hours"] < 1), "predictions.horizon_hours", "is below one"),
-        violation(F.exists(p, lambda x: (x["q10"] > x["q50"]) | (x["q50"] > x["q90"])), "predictions.quantiles",
-                  "are not ordered"),
-    ]
-
-
 def alert_events(candidates: DataFrame, site: Column | None = None) -> DataFrame:
     """Candidate rows -> alert contract rows with a deterministic id and no actuation."""
     key = F.concat_ws("|", F.col("source_id").cast("string"), F.col("event_time").cast("string"),

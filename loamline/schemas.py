@@ -94,38 +94,6 @@ TELEMETRY_EVENT = _fields(
     ("measurements", T.ArrayType(MEASUREMENT, False), False),
     ("qc_summary", QC_SUMMARY, True),
 )
-FORECAST_EVENT = _fields(
-    ("schema_version", _s, False),
-    ("forecast_id", _s, False),
-    ("source_id", _s, False),
-    ("site_id", _s, False),
-    ("origin_time", T.TimestampType(), False),
-    ("target_variable", _s, False),
-    ("depth_range_cm", T.ArrayType(_d, False), False),
-    ("model", _fields(("model_name", _s, False), ("model_version", _s, False),
-                      ("training_cutoff", T.TimestampType(), True), ("random_seed", T.IntegerType(), True)), False),
-    ("predictions", T.ArrayType(_fields(
-        ("horizon_hours", T.IntegerType(), False), ("valid_time", T.TimestampType(), False),
-        ("point_forecast", _d, False), ("q10", _d, True), ("q25", _d, True), ("q50", _d, True), ("q75", _d, True),
-        ("q90", _d, True), ("lower_80", _d, True), ("upper_80", _d, True), ("unit", _s, False)), False), False),
-)
-ALERT_EVENT = _fields(
-    ("schema_version", _s, False),
-    ("alert_id", _s, False),
-    ("category", _s, False),
-    ("severity", _s, False),
-    ("source_id", _s, False),
-    ("site_id", _s, False),
-    ("trigger_time", T.TimestampType(), False),
-    ("threshold_type", _s, False),
-    ("threshold_value", _d, False),
-    ("threshold_unit", _s, False),
-    ("forecast_horizon_hours", T.IntegerType(), True),
-    ("exceedance_probability", _d, True),
-    ("predicted_value", _d, True),
-    ("actionable_guidance", _s, False),
-    ("is_autonomous_actuation", T.BooleanType(), False),
-)
 DEAD_LETTER = _fields(
     ("dlq_id", _s, False),
     ("failed_at", T.TimestampType(), False),

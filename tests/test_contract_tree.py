@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from loamline.operators.forecast import fan_out
 from loamline.plans import contract_tree as C
 from loamline.plans import contracts
+from loamline.sources import event_json
 
 T0 = dt.datetime(2024, 5, 1, 12)
 
@@ -116,3 +117,21 @@ def test_own_alerts_conform_and_prune(spark):
     quality, risk, dry = (json.loads(out[k]["value"]) for k in (0, 10, 2))
     assert quality["context"] == {"qc_failure_reason": 'bad \\ "reading"'} and "context" not in dry and risk["context"] == {"current_depletion_fraction": 0.6}
     assert risk["trigger_condition"]["forecast_horizon_hours"] == 24 and "forecast_horizon_hours" not in dry["trigger_condition"]
+
+
+def test_event_lines_are_read_or_rejected(spark, tmp_path):
+    good = {"schema_version": "1.0.0", "event_id": "0f8fad5b-d9cb-469f-a165-70867728950e", "source_id": "s", "site_id": "f", "event_time": "2024-05-01T12:00:00+02:00",
+            "ingest_time": "2024-05-01T12:00:00Z", "provenance": {"data_class": "OBSERVED", "network": "n"},
+            "measurements": [{"sensor_id": "a", "variable_name": "precipitation", "depth_cm": 0, "value": None, "unit": "mm", "qc_flag": "MISSING"},
+                             {"sensor_id": "b", "variable_name": "air_temperature", "depth_cm": 0, "value": 1.5, "unit": "degC", "qc_flag": "VALID"}]}
+    lines = [json.dumps(good), json.dumps(changed(good, ["site_id"])), "no json", ""]
+    (tmp_path / "e.jsonl").write_text("\n".join(lines) + "\n")
+    events, rejected = event_json.read_event_files(spark, str(tmp_path))
+    one = events.collect()
+    assert len(one) == 1 and one[0]["event_time"] == dt.datetime(2024, 5, 1, 10) and one[0]["qc_summary"] is None
+    assert [(r["ord"], r["sensor_id"], r["value"], r["data_class"]) for r in event_json.readings(events).orderBy("ord").collect()] == [(0, "a", None, "OBSERVED"), (1, "b", 1.5, "OBSERVED")]
+    assert sorted((r["value"] == "", r["violations"]) for r in rejected.collect()) == [
+        (False, ["[root] 'site_id' is required"]), (False, ["[root] is not a JSON object"]), (True, ["[root] is not a JSON object"])]
+    clash = spark.createDataFrame([(lines[0], 7, "x"), (None, 8, "y")], "value string, file int, source_id string")
+    events, rejected = event_json.split_events(clash)
+    assert [(r["file"], r["source_id"]) for r in events.collect()] == [(7, "s")] and [r["file"] for r in rejected.collect()] == [8]
