@@ -5,7 +5,6 @@ import math
 import random
 
 import pytest
-from pyspark.sql import functions as F
 
 from loamline.layout import Layout
 from loamline.operators import audit, sketch
