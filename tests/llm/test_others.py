@@ -95,7 +95,9 @@ def test_pieces_give_the_library_ids(name, blanks):
     texts += ["a <|ENDOFTEXT|> b", "<|EndOfText|>", "Mixed<|endOfText|>Case <|endoftext|>Word", "<|StartOfText|> A<B c<|STARTOFTEXT|>"]
     texts += ["".join(rng.choice(["<|EndOfText|>", "<|endoftext|>", "<|STARTOFTEXT|>", "<|", "|>", " ", "Ab", "<"]) for _ in range(9)) for _ in range(300)]
     texts += ["".join(rng.choice("aB  \n\té́'s1.,<|ΣĿ\x1dÅ") for _ in range(rng.randint(1, 40))) for _ in range(2000)]
-    e = tokens.Encoder(public.path(name), blanks, held_words=500)
+    parts = ["a", "Word", "wörd.", "it's", " ", " ", " ", "\n", "\n", "\n\n", "\t", "\r\n", ".", ",", "...", "!?", "'s", "12", "²", "ß,", "\0", "\xa0", "\xad", "ж", "你", "_", "İ."]
+    texts += ["".join(rng.choice(parts) for _ in range(rng.randint(0, 14))) for _ in range(4000)]
+    e = tokens.Encoder(public.path(name), blanks, held_bytes=100_000)
     for k in range(0, len(texts), 100):
         part = texts[k: k + 100]
         assert e.encode(part) == [array("I", x.ids).tobytes() for x in e.library.encode_batch(part, add_special_tokens=False)]
