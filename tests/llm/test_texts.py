@@ -195,7 +195,7 @@ def test_decontamination(spark, docs):
     rows = corpus()
     w = rows[10][1].split()
     items = [(1, " ".join(w[4:20])), (2, "two words"), (3, ""), (4, None), (5, "no such thing as this"), (6, "one"), (6, "a" * 700), (None, w[0]),
-             (7, ("x " * 30).strip())]
+             (7, ("x " * 30).strip()), (8, " ".join(w[10:25] + ["apart"] + w[30:])), (8, " ".join(w[2:22]))]
     bench = spark.createDataFrame(items, "item_id long, text string")
     pattern = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
     words = lambda t: pattern.findall(re.sub("[A-Z]", lambda m: m[0].lower(), t or ""))
@@ -217,11 +217,35 @@ def test_decontamination(spark, docs):
                         found |= windows[tuple(x[p: p + size])]
             names = ",".join(sorted(str(i) for i in found if i is not None))
             assert (r["n_words"], r["n_hit"], r["contaminated"], r["items_sha256"]) == (len(x), len(hit), bool(hit), hashlib.sha256(names.encode()).hexdigest())
+            best = {}
+            for i, t in items:
+                y = words(t)
+                table = {}
+                for q in range(len(y)) if i in found and i is not None else ():
+                    for p in range(len(x)):
+                        if x[p] == y[q]:
+                            k = table[p, q] = table.get((p - 1, q - 1), 0) + 1
+                            if k >= min(10, len(y)):
+                                best[str(i)] = min(best.get(str(i), (0, 0, 0)), (-k, p - k + 1, q - k + 1))
+            assert {m["item"]: (-m["words"], m["start"], m["item_start"]) for m in r["matches"]} == best
         clean = decontaminate.decontaminate(docs, bench, block_bytes=block)
         assert clean.columns == docs.columns and 10 not in {r["doc_id"] for r in clean.collect()}
     assert decontaminate.decontaminate(docs, bench.limit(0)).count() == len(rows)
 
 
+def test_longest_match_over_chunks(monkeypatch):
+    """Matches that go on over the borders of what is looked at together."""
+    rng = random.Random(5)
+    items = [(str(k), " ".join(rng.choice("ab") for _ in range(40))) for k in range(6)]
+    texts = [" ".join(rng.choice("ab") for _ in range(60)) + " " + t + " c " + t[:30] for _, t in items]
+    windows = decontaminate.Windows(items, 4)
+    want = list(decontaminate._hits(windows, texts))
+    for pairs in (1, 7, 50):
+        monkeypatch.setattr(decontaminate, "PAIRS", pairs)
+        assert list(decontaminate._hits(windows, texts)) == want
+    assert all(want[k][2][str(k)][0] >= 40 for k in range(6))
+
+
 def test_personal_data_patterns():
     text = "mail a.b+c@x-y.example.org, @no @a.b c@d.e@f.g 1.2.3.4 999.1.1.1 1.2.3.4.5.6.7.8 4111 1111 1111 1111 4111-1111-1111-1112 +1 (212) 555-0123 +12 é x@é.com"
     plain = {
