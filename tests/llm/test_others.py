@@ -117,7 +117,7 @@ def test_components(spark):
 
 def test_names():
     names = entries.queries()
-    assert {int(re.match(r"op(\d+)_", n)[1]) for n in names if n.startswith("op")} == set(range(1, 11)) and "pipeline" in names
+    assert {int(re.match(r"op(\d+)_", n)[1]) for n in names if n.startswith("op")} == set(range(1, 14)) and "pipeline" in names
     assert set(entries.oracle_sql()) <= set(names)
 
 
