@@ -58,31 +58,31 @@ class List:
     most: int | None = None
 
 
-def _child(x: Column, name: str) -> Column:
-    return F.try_variant_get(x, f"$.{name}", "variant")
+def let(x: Column, body: Callable[[Column], Column]) -> Column:
+    """``body`` of a value that is computed once, however often ``body`` names it."""
+    return F.transform(F.array(x), body)[0]
 
 
-def _is(part: Leaf | Obj | List, x: Column) -> Column:
-    """Whether a variant has the part's kind of value. Objects and lists are opened one level only."""
-    if isinstance(part, Obj):
-        return F.try_variant_get(x, "$", "map<string,variant>").isNotNull()
-    if isinstance(part, List):
-        return F.try_variant_get(x, "$", "array<variant>").isNotNull()
-    return F.coalesce(F.regexp_extract(F.schema_of_variant(x), "^[A-Z]+", 0).isin(*KINDS[part.kind]), F.lit(False))
+def _is(part: Leaf, x: Column) -> Column:
+    """Whether a variant has the leaf's kind of value."""
+    return F.coalesce(F.substring_index(F.schema_of_variant(x), "(", 1).isin(*KINDS[part.kind]), F.lit(False))
 
 
-def _none() -> Column:
-    return F.array().cast("array<string>")
+def _joined(texts: Sequence[Column]) -> Column:
+    """Faults, one a line; null where there are none. ``texts`` are strings or arrays of them, null for none."""
+    return F.nullif(F.concat_ws("\n", *texts), F.lit("")) if texts else F.lit(None).cast("string")
 
 
 def _texts(faults: Sequence[tuple[str, str, Column]]) -> Column:
-    if not faults:
-        return _none()
-    return F.array_compact(F.array(*[F.when(F.coalesce(bad, F.lit(False)), F.lit(f"[{where}] {text}")) for where, text, bad in faults]))
+    found = [F.when(F.coalesce(bad, F.lit(False)), F.lit(f"[{where}] {text}")) for where, text, bad in faults]
+    return found[0] if len(found) == 1 else _joined(found)
 
 
 def _leaf_faults(path: str, part: Leaf, v: Column) -> Column:
-    x = F.try_variant_get(v, "$", SQL_TYPES[part.kind])
+    return let(F.try_variant_get(v, "$", SQL_TYPES[part.kind]), lambda x: _value_faults(path, part, x))
+
+
+def _value_faults(path: str, part: Leaf, x: Column) -> Column:
     faults = []
     if part.min_length:
         faults.append((path, "is empty" if part.min_length == 1 else f"is shorter than {part.min_length}", F.length(x) < part.min_length))
@@ -103,53 +103,65 @@ def _leaf_faults(path: str, part: Leaf, v: Column) -> Column:
     return _texts(faults)
 
 
-def _object_faults(path: str, part: Obj, v: Column) -> Column:
+def _child_faults(here: str, path: str, child: Leaf | Obj | List, name: str, x: Column) -> Column:
+    """Faults of an object's field; ``x`` is null where the field is missing."""
+    null = F.is_variant_null(x)
+    if child.required:
+        absent = [(here, f"'{name}' is required", x.isNull() | (null & F.lit(not child.nullable)))]
+    else:
+        absent = [] if child.nullable else [(path, "is null", null)]
+    return F.when(x.isNull() | null, _texts(absent)).otherwise(_faults(path, child, x, f"[{path}] has the wrong type"))
+
+
+def _object_faults(path: str, part: Obj, v: Column, fields: Column) -> Column:
     here, dot = (path or "root"), (f"{path}." if path else "")
-    names = F.map_keys(F.try_variant_get(v, "$", "map<string,variant>"))
-    faults, inside = [], []
-    for name, child in part.fields.items():
-        x = _child(v, name)
-        null = F.is_variant_null(x)
-        if child.required:
-            faults.append((here, f"'{name}' is required", x.isNull() | (null & F.lit(not child.nullable))))
-        elif not child.nullable:
-            faults.append((f"{dot}{name}", "is null", null))
-        # a value is looked into once it is known to be of its kind
-        wrong = F.array(F.lit(f"[{dot}{name}] has the wrong type"))
-        inside.append(F.when(x.isNull() | null, _none()).when(_is(child, x), _faults(f"{dot}{name}", child, x)).otherwise(wrong))
-    faults.append((here, "unknown field", F.size(F.array_except(names, F.array(*[F.lit(f) for f in part.fields]))) > 0))
+
+    def field(name: str, child: Leaf | Obj | List) -> Column:
+        return let(F.try_element_at(fields, F.lit(name)), lambda x: _child_faults(here, f"{dot}{name}", child, name, x))
+
+    inside = [field(name, child) for name, child in part.fields.items()]
+    faults = [(here, "unknown field", F.size(F.array_except(F.map_keys(fields), F.array(*[F.lit(f) for f in part.fields]))) > 0)]
     faults += [(here, text, bad(v)) for text, bad in part.checks]
-    return F.concat(_texts(faults), *inside)
+    return _joined([_texts(faults), *inside])
 
 
-def _list_faults(path: str, part: List, v: Column) -> Column:
-    items = F.try_variant_get(v, "$", "array<variant>")
+def _list_faults(path: str, part: List, items: Column) -> Column:
     faults = []
     if part.least:
         faults.append((path, "is empty" if part.least == 1 else f"has fewer than {part.least} items", F.size(items) < part.least))
     if part.most is not None:
         faults.append((path, f"has more than {part.most} items", F.size(items) > part.most))
-    wrong = F.array(F.lit(f"[{path}] has items of the wrong type"))
     # all rules of an item in one pass over the items
-    each = F.transform(items, lambda x: F.when(F.coalesce(_is(part.item, x), F.lit(False)), _faults(path, part.item, x)).otherwise(wrong))
-    return F.concat(_texts(faults), F.flatten(each))
+    each = F.transform(items, lambda x: _faults(path, part.item, x, f"[{path}] has items of the wrong type"))
+    return _joined([_texts(faults), each])
 
 
-def _faults(path: str, part: Leaf | Obj | List, v: Column) -> Column:
-    kind = _leaf_faults if isinstance(part, Leaf) else _object_faults if isinstance(part, Obj) else _list_faults
-    return kind(path, part, v)
+def _faults(path: str, part: Leaf | Obj | List, v: Column, wrong: str) -> Column:
+    """Faults of a variant; ``wrong`` alone if it isn't of the part's kind. It is opened once, one level."""
+    other = F.lit(wrong)
+    if isinstance(part, Obj):
+        return let(F.try_variant_get(v, "$", "map<string,variant>"), lambda m: F.when(m.isNull(), other).otherwise(_object_faults(path, part, v, m)))
+    if isinstance(part, List):
+        return let(F.try_variant_get(v, "$", "array<variant>"), lambda a: F.when(a.isNull(), other).otherwise(_list_faults(path, part, a)))
+    return F.when(_is(part, v), _leaf_faults(path, part, v)).otherwise(other)
 
 
 def violations(contract: Obj, v: Column) -> Column:
     """Sorted faults of a record given as a variant."""
-    broken = F.array(F.lit("[root] is not a JSON object"))
-    return F.when(F.coalesce(_is(contract, v), F.lit(False)), F.array_sort(F.array_distinct(_faults("", contract, v)))).otherwise(broken)
+    found = let(v, lambda x: _faults("", contract, x, "[root] is not a JSON object"))
+    return let(found, lambda t: F.when(t.isNull(), F.array().cast("array<string>")).otherwise(F.array_sort(F.array_distinct(F.split(t, "\n")))))
+
+
+def with_once(df: DataFrame, name: str, value: Column) -> DataFrame:
+    """Add a costly column that later filters and projections read but never compute again: the optimizer moves neither
+    through a generator."""
+    return df.select("*", F.inline(F.array(F.struct(value.alias(name)))))
 
 
 def report(raw: DataFrame, contract: Obj, column: str = "value") -> DataFrame:
     """The rows with their ``violations`` and ``is_valid``; each text is parsed once."""
-    parsed = raw.withColumn("_variant", F.try_parse_json(column))
-    return parsed.withColumn("violations", violations(contract, F.col("_variant"))).withColumn("is_valid", F.size("violations") == 0).drop("_variant")
+    checked = with_once(raw.drop("violations", "is_valid"), "violations", violations(contract, F.try_parse_json(column)))
+    return checked.withColumn("is_valid", F.size("violations") == 0)
 
 
 def _written(part: Leaf | Obj | List, x: Column) -> Column:
@@ -160,15 +172,15 @@ def _written(part: Leaf | Obj | List, x: Column) -> Column:
             text = _written(child, x[name])
             nothing = F.lit(f'"{name}":null') if getattr(child, "keep_null", False) else F.lit(None).cast("string")
             inside.append(F.coalesce(F.concat(F.lit(f'"{name}":'), text), nothing))
-        kept = F.array_compact(F.array(*inside))
-        return F.when(x.isNotNull() & (F.size(kept) > 0), F.concat(F.lit("{"), F.array_join(kept, ","), F.lit("}")))
+        return F.when(x.isNotNull(), let(F.array_compact(F.array(*inside)), lambda kept: F.when(
+            F.size(kept) > 0, F.concat(F.lit("{"), F.array_join(kept, ","), F.lit("}")))))
     if isinstance(part, List):
         items = F.transform(x, lambda y: F.coalesce(_written(part.item, y), F.lit("null")))
         return F.when(x.isNotNull(), F.concat(F.lit("["), F.array_join(items, ","), F.lit("]")))
     if part.kind in ("integer", "flag"):
         return x.cast("bigint" if part.kind == "integer" else "boolean").cast("string")
-    alone = F.to_json(F.struct(x.alias("x")))  # quotes and escapes as Spark's writer does: {"x":...}
-    return F.when(x.isNotNull(), F.substr(alone, F.lit(6), F.length(alone) - 6))
+    # quotes and escapes as Spark's writer does: {"x":...}
+    return F.when(x.isNotNull(), let(F.to_json(F.struct(x.alias("x"))), lambda alone: F.substr(alone, F.lit(6), F.length(alone) - 6)))
 
 
 def json_of(contract: Obj, record: Column) -> Column:
@@ -279,4 +291,4 @@ def alert_records(candidates: DataFrame, key: Sequence[str] = ("source_id", "eve
 
 def as_json(records: DataFrame, contract: Obj) -> DataFrame:
     """The records with ``value``, the JSON of their ``event``."""
-    return records.withColumn("value", json_of(contract, F.col("event"))).drop("event")
+    return with_once(records.drop("value"), "value", json_of(contract, F.col("event"))).drop("event")

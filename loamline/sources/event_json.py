@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from loamline.functions.keys import parse_iso
-from loamline.plans.contract_tree import TELEMETRY, report
+from loamline.plans.contract_tree import TELEMETRY, report, with_once
 from loamline.plans.contracts import RAW_EVENT
 
 
@@ -18,7 +18,7 @@ def split_events(lines: DataFrame, column: str = "value") -> tuple[DataFrame, Da
     its ``violations``. Other columns of ``lines`` are kept, unless an event field has their name."""
     checked = report(lines, TELEMETRY, column)
     rejected = checked.where("NOT is_valid").drop("is_valid")
-    parsed = checked.where("is_valid").drop("is_valid", "violations").withColumn("_event", F.from_json(column, RAW_EVENT))
+    parsed = with_once(checked.where("is_valid").drop("is_valid", "violations"), "_event", F.from_json(column, RAW_EVENT))
     time = lambda c: parse_iso(F.col(f"_event.{c}"))
     fields: dict[str, Column] = {c: F.col(f"_event.{c}") for c in ("schema_version", "event_id", "source_id", "site_id", "provenance", "measurements", "qc_summary")}
     fields |= {"event_time": time("event_time"), "ingest_time": time("ingest_time")}
