@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from loamline import schemas as S
 from loamline.functions.keys import VERSION_PATTERN, is_uuid, parse_iso
+from loamline.plans.contract_tree import let, with_once
 
 EVENT_FIELDS = ["schema_version", "event_id", "source_id", "site_id", "event_time", "ingest_time", "provenance",
                 "measurements", "qc_summary"]
@@ -52,42 +53,38 @@ def _kind(v: Column, path: str) -> Column:
     return F.regexp_extract(F.schema_of_variant(F.try_variant_get(v, path, "variant")), "^[A-Z]+", 0)
 
 
-def _object_faults(v: Column, fields: dict[str, tuple[str, ...]], required: Sequence[str]) -> tuple[dict[str, Column], dict[str, Column], Column]:
-    """Of a JSON object: which required fields are missing or null, which fields have a wrong kind, and whether it has others."""
-    missing, wrong = {}, {}
-    for f, kinds in fields.items():
-        kind = _kind(v, f"$.{f}")
-        if f in required:
-            missing[f] = kind.isNull() | ((kind == "VOID") & F.lit("VOID" not in kinds))
-        wrong[f] = kind.isNotNull() & ~kind.isin(*kinds, *([] if f not in required else ["VOID"]))
-    names = F.map_keys(F.try_variant_get(v, "$", "map<string,variant>"))
-    return missing, wrong, F.size(F.array_except(names, F.array(*[F.lit(f) for f in fields]))) > 0
+def _field_rules(path: str, fields: Column, name: str, kinds: tuple[str, ...], required: bool) -> Column:
+    """Rules of an object's field, its kind read once: missing or null though required, or of a wrong kind."""
+    where = name if path == "root" else f"{path}.{name}"
+    absent = lambda kind: kind.isNull() | ((kind == "VOID") & F.lit("VOID" not in kinds)) if required else F.lit(False)
+    wrong = lambda kind: kind.isNotNull() & ~kind.isin(*kinds, *(["VOID"] if required else []))
+    return let(_kind(F.try_element_at(fields, F.lit(name)), "$"), lambda kind: F.array(
+        violation(absent(kind), path, f"'{name}' is required"), violation(wrong(kind), where, "has the wrong type")))
 
 
-def event_rules(e: Column, v: Column) -> list[Column]:
-    """Rules of a telemetry event: ``e`` is its struct, ``v`` the raw object as a variant."""
-    m = e["measurements"]
+def _object_rules(path: str, v: Column, fields: dict[str, tuple[str, ...]], required: Sequence[str]) -> Column:
+    """Rules of a JSON object and of its fields, opened once; none if it isn't an object."""
 
-    def level(path: str, x: Column, fields: dict[str, tuple[str, ...]], required: Sequence[str], there: Column) -> list[Column]:
-        missing, wrong, unknown = _object_faults(x, fields, required)
-        dot = "" if path == "root" else f"{path}."
-        return [violation(there & bad, path, f"'{f}' is required") for f, bad in missing.items()] + [
-            violation(there & bad, dot + f, "has the wrong type") for f, bad in wrong.items()] + [violation(there & unknown, path, "unknown field")]
+    def rules(m: Column) -> Column:
+        unknown = F.size(F.array_except(F.map_keys(m), F.array(*[F.lit(f) for f in fields]))) > 0
+        own = [_field_rules(path, m, f, kinds, f in required) for f, kinds in fields.items()]
+        return F.when(m.isNotNull(), F.concat(*own, F.array(violation(unknown, path, "unknown field")))).otherwise(F.array().cast("array<string>"))
 
-    rules = level("root", v, EVENT, EVENT_REQUIRED, F.lit(True))
-    rules += level("provenance", F.try_variant_get(v, "$.provenance", "variant"), PROVENANCE, ("data_class", "network"), _kind(v, "$.provenance") == "OBJECT")
-    rules += level("qc_summary", F.try_variant_get(v, "$.qc_summary", "variant"), SUMMARY, (), _kind(v, "$.qc_summary") == "OBJECT")
-    items = F.try_variant_get(v, "$.measurements", "array<variant>")
+    return let(F.try_variant_get(v, "$", "map<string,variant>"), rules)
 
-    def any_item(rule) -> Column:
-        return F.exists(items, lambda x: F.coalesce(rule(x), F.lit(False)))
 
-    rules.append(violation(any_item(lambda x: F.coalesce(_kind(x, "$"), F.lit("")) != "OBJECT"), "measurements", "is not a list of objects"))
-    for f in MEASUREMENT:
-        rules.append(violation(any_item(lambda x, f=f: (_kind(x, "$") == "OBJECT") & _object_faults(x, {f: MEASUREMENT[f]}, (f,))[0][f]), "measurements", f"'{f}' is required"))
-        rules.append(violation(any_item(lambda x, f=f: _object_faults(x, {f: MEASUREMENT[f]}, (f,))[1][f]), f"measurements.{f}", "has the wrong type"))
-    rules.append(violation(any_item(lambda x: _object_faults(x, MEASUREMENT, ())[2]), "measurements", "unknown field"))
-    rules += [
+def event_violations(e: Column, v: Column) -> Column:
+    """Sorted violations of a telemetry event: ``e`` is its struct, ``v`` the raw object as a variant."""
+    m = e["measurements"]
+    levels = [_object_rules("root", v, EVENT, EVENT_REQUIRED),
+              _object_rules("provenance", F.try_variant_get(v, "$.provenance", "variant"), PROVENANCE, ("data_class", "network")),
+              _object_rules("qc_summary", F.try_variant_get(v, "$.qc_summary", "variant"), SUMMARY, ())]
+    # a fault that several items have is told once
+    items = F.try_variant_get(v, "$.measurements", "array<variant>")
+    each = F.transform(items, lambda x: F.when(F.coalesce(_kind(x, "$"), F.lit("")) != "OBJECT", F.array(F.lit("[measurements] is not a list of objects")))
+                       .otherwise(_object_rules("measurements", x, MEASUREMENT, tuple(MEASUREMENT))))
+    levels.append(F.when(items.isNotNull(), F.array_distinct(F.flatten(each))).otherwise(F.array().cast("array<string>")))
+    rules = [
         violation(~e["schema_version"].rlike(VERSION_PATTERN), "schema_version", "is not a version"),
         violation(e["event_id"].isNotNull() & ~is_uuid(e["event_id"]), "event_id", "is not a UUID"),
         violation(_short(e["source_id"]), "source_id", "is empty"),
@@ -97,7 +94,7 @@ def event_rules(e: Column, v: Column) -> list[Column]:
         violation(~e["provenance"]["data_class"].isin(S.DATA_CLASSES), "provenance.data_class", "is not allowed"),
         violation(~e["provenance"]["synthetic_fault_type"].isin(S.FAULT_TYPES), "provenance.synthetic_fault_type",
                   "is not allowed"),
-        violation((_kind(v, "$.measurements") == "ARRAY") & (F.coalesce(F.size(items), F.lit(0)) < 1), "measurements", "is empty"),
+        violation(F.size(items) == 0, "measurements", "is empty"),
         violation(F.exists(m, lambda x: ~x["variable_name"].isin(S.VARIABLES)), "measurements.variable_name",
                   "is not allowed"),
         violation(F.exists(m, lambda x: ~x["unit"].isin(S.UNITS)), "measurements.unit", "is not allowed"),
@@ -106,15 +103,15 @@ def event_rules(e: Column, v: Column) -> list[Column]:
         violation(F.exists(m, lambda x: F.length(x["sensor_id"]) < 1), "measurements.sensor_id", "is empty"),
         violation(e["qc_summary"]["flag_count"] < 0, "qc_summary.flag_count", "is negative"),
     ]
-    return rules
+    return F.array_sort(F.array_compact(F.concat(F.array(*rules), *levels)))
 
 
 def event_report(raw: DataFrame, column: str = "value") -> DataFrame:
     """Raw JSON lines -> parsed event, sorted violations and validity. Broken JSON is one violation."""
     parsed = raw.withColumns({"event": F.from_json(column, RAW_EVENT), "_raw": F.try_parse_json(column)})
-    rules = collect_violations(event_rules(F.col("event"), F.col("_raw")))
     broken = F.coalesce(_kind(F.col("_raw"), "$"), F.lit("")) != "OBJECT"
-    out = parsed.withColumn("violations", F.when(broken, F.array(F.lit("[root] is not a JSON object"))).otherwise(rules))
+    found = F.when(broken, F.array(F.lit("[root] is not a JSON object"))).otherwise(event_violations(F.col("event"), F.col("_raw")))
+    out = with_once(parsed, "violations", found)
     return out.withColumn("is_valid", F.size("violations") == 0).drop("_raw")
 
 

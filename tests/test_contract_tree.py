@@ -135,3 +135,24 @@ def test_event_lines_are_read_or_rejected(spark, tmp_path):
     clash = spark.createDataFrame([(lines[0], 7, "x"), (None, 8, "y")], "value string, file int, source_id string")
     events, rejected = event_json.split_events(clash)
     assert [(r["file"], r["source_id"]) for r in events.collect()] == [(7, "s")] and [r["file"] for r in rejected.collect()] == [8]
+
+
+def test_checks_are_not_repeated_by_filters(spark):
+    """A filter on the outcome must not compute the rules, nor what the text is made of, a second time."""
+
+    lines = spark.range(3).select(F.to_json(F.struct(F.col("id").alias("source_id"))).alias("value"))
+    plan = lambda df: df._jdf.queryExecution().optimizedPlan().toString()
+    found = contracts.event_report(lines).select(F.explode("violations").alias("v")).groupBy("v").count()
+    assert plan(found).count("parseJson") == 1
+    good, bad = event_json.split_events(lines)
+    for df in (good, event_json.readings(good), bad):
+        assert plan(df).count("parseJson") == 1
+        assert plan(df).count("evaluate(struct(source_id") == 1
+
+
+def test_several_faults_of_one_value_are_all_told(spark):
+    part = C.Obj({"x": C.Leaf("integer", least=1), "y": C.Leaf(pattern=("is odd", "^a"), min_length=3)})
+    out = C.report(spark.createDataFrame([('{"x": 0.5, "y": "b"}',), ('{"x": 2, "y": "abc"}',), (None,)], "value string"), part).collect()
+    assert out[0].violations == ["[x] is below one", "[x] is not a whole number", "[y] is odd", "[y] is shorter than 3"]
+    assert out[1].violations == [] and out[1].is_valid
+    assert out[2].violations == ["[root] is not a JSON object"]
