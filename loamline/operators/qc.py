@@ -9,7 +9,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from loamline.layout import DEFAULT, Layout
@@ -132,30 +132,44 @@ def to_readings(df: DataFrame, keep: Sequence[str], flagged: bool = False) -> Da
 
 
 def check_long(readings: DataFrame, order: Sequence[str], layout: Layout = DEFAULT, key: str = "source_id",
-               steps: int = STUCK_STEPS) -> DataFrame:
+               steps: int = STUCK_STEPS, position: str | None = None, dealt: DataFrame | None = None) -> DataFrame:
     """Flag readings (source, time order, ord, sensor, variable, depth, value, unit, qc_flag).
 
     Readings already SYNTHETIC_CORRUPTED keep their flag and are left out of their sensor's history, but an
     injected rain value still counts as the last known rain. Adds the event's position ``event_rn`` unless the
-    readings have one.
+    readings have one. ``position`` names a column that numbers a station's events from 1, so that they aren't numbered again.
+
+    All windows of a reading are inside (key, block of events): readings are moved once. ``dealt`` may give the same readings
+    dealt by key and ``event_block``, from rows that were dealt before they were exploded; it keeps that column.
     """
-    position = "_event_rn" if "event_rn" in readings.columns else "event_rn"
-    rain = F.when(F.col("variable_name") == "precipitation", F.col("value"))
-    events = readings.groupBy(key, *order).agg(F.max_by(rain, F.when(rain.isNotNull(), F.col("ord"))).alias("_rain"))
-    numbered = index_rows(events, [key], order, layout, rn=position, n="_n").drop("_n")
-    blocks = numbered.withColumn("block", block_of(position, layout))
-    known = running(blocks, [key], {"rain_last": ("last", "_rain")}, rn=position)
-    known = known.withColumn("rain_last", F.coalesce(F.col("rain_last"), F.lit(0.0))).drop("_rain")
-    rows = readings.join(known.withColumnRenamed("block", "event_block"), [key, *order])
-    fixed = rows.where(F.col("qc_flag") == "SYNTHETIC_CORRUPTED")
-    live = rows.where(F.col("qc_flag") != "SYNTHETIC_CORRUPTED")
-    sensor = [key, "sensor_id"]
-    history = with_halo(
-        index_rows(live, sensor, [position, "ord"], layout, bucket="event_block"), before=steps - 1, layout=layout
-    )
-    w = block_window(sensor)
+    at = "_event_rn" if "event_rn" in readings.columns else "event_rn"
+    whole = [key, *order]
+    placed = lambda df: df.where(" AND ".join(f"`{c}` IS NOT NULL" for c in whole)).withColumn(at, F.col(position).cast("long"))
+    if position:
+        rows = placed(readings).withColumn("event_block", block_of(at, layout))
+    else:
+        events = index_rows(readings.select(*whole).distinct(), [key], order, layout, rn=at, n="_n").drop("_n")
+        rows = readings.join(events, whole).withColumn("event_block", block_of(at, layout))
+    main = rows if dealt is None else placed(dealt)
+    by_block = [key, "event_block"]
+    rain = F.when((F.col("variable_name") == "precipitation") & F.col("value").isNotNull(), F.struct(at, "ord", "value"))
+    totals = rows.groupBy(*by_block).agg(F.max(rain).alias("_rain"), F.count(F.lit(1)).alias("_rows"))
+    of_key = Window.partitionBy(key)
+    blocks = totals.withColumns({
+        "_carry": F.max("_rain").over(of_key.orderBy("event_block").rowsBetween(Window.unboundedPreceding, -1)),
+        "_blocks": F.count(F.lit(1)).over(of_key)}).where("_blocks > 1")
+    so_far = Window.partitionBy(*by_block).orderBy(at).rangeBetween(Window.unboundedPreceding, Window.currentRow)
+    known = main.withColumn("_rain", F.max(rain).over(so_far)).join(blocks.select(*by_block, "_carry").hint("merge"), by_block, "left")
+    known = known.withColumn("rain_last", F.coalesce("_rain.value", "_carry.value", F.lit(0.0))).drop("_rain", "_carry")
+
+    # Whatever was injected stands in windows of its own.
+    marked = lambda df: df.withColumn("_fixed", F.col("qc_flag") == "SYNTHETIC_CORRUPTED").where(
+        F.col("_fixed") | (~F.col("_fixed") & F.col("sensor_id").isNotNull()))
+    live = marked(known).withColumn("core", F.lit(True))
+    before = _before_blocks(marked(rows).where("NOT _fixed"), blocks, key, at, steps - 1)
+    w = Window.partitionBy(*by_block, "sensor_id", "_fixed").orderBy(at, "ord")
     frame = w.rowsBetween(-(steps - 1), 0)
-    seen = history.withColumns({
+    seen = live.unionByName(before.repartition(*by_block), allowMissingColumns=True).withColumns({
         "_prev": F.lag("value", 1).over(w),
         "_cnt": F.count("value").over(frame),
         "_lo": F.min("value").over(frame),
@@ -169,8 +183,23 @@ def check_long(readings: DataFrame, order: Sequence[str], layout: Layout = DEFAU
         spike(F.col("value"), F.col("_prev"), F.col("rain_last")),
         stuck(F.col("_cnt"), F.col("_lo"), F.col("_hi"), F.col("_old"), variable, F.col("depth_cm"), steps),
     )
-    checked = core_rows(seen.withColumn("qc_flag", flag)).select(*rows.columns)
-    return checked.unionByName(fixed).drop("event_block", "_event_rn")
+    checked = core_rows(seen.withColumn("qc_flag", F.when(F.col("_fixed"), F.col("qc_flag")).otherwise(flag)))
+    return checked.select(*readings.columns, *([at] if at == "event_rn" else []), "rain_last",
+                          *(["event_block"] if dealt is not None else []))
+
+
+def _before_blocks(live: DataFrame, blocks: DataFrame, key: str, at: str, reach: int) -> DataFrame:
+    """The last ``reach`` readings of each sensor before each block of events, with that block as ``event_block`` and not ``core``.
+
+    ``blocks`` has the blocks of the keys with several, at most the events over the block size. A sensor may be absent for blocks.
+    """
+    backwards = Window.partitionBy(key, "event_block", "sensor_id").orderBy(F.desc(at), F.desc("ord"))
+    near = live.join(F.broadcast(blocks.select(key, "event_block")), [key, "event_block"])
+    near = near.withColumn("_back", F.row_number().over(backwards)).where(F.col("_back") <= reach)
+    after = Window.partitionBy(key, "sensor_id").orderBy(at, "ord").rowsBetween(1, reach)
+    later = F.array_except(F.collect_set("event_block").over(after), F.array("event_block"))
+    near = near.withColumn("_later", later).withColumn("event_block", F.explode("_later"))
+    return near.drop("_back", "_later").withColumn("core", F.lit(False))
 
 
 def reason_text(steps: int = STUCK_STEPS) -> Column:

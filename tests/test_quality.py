@@ -1,6 +1,8 @@
 """Quality rules, water state, decision rules and the eight scenarios."""
 
 import datetime as dt
+import random
+import re
 
 import pytest
 from pyspark.sql import functions as F
@@ -163,3 +165,46 @@ def test_skipped_series_are_reported(spark):
 
     rows = spark.range(30).select((F.col("id") % 3 == 0).cast("int").alias("source_id"))
     assert [(r.source_id, r.readings, r.reason) for r in skipped_series(rows, [5], 10).collect()] == [(1, 10, "fewer than 15 readings")]
+
+
+def test_long_check_in_blocks_moves_readings_once(spark):
+    """Sensors absent for whole blocks of events, injected values and rain of earlier blocks, next to a plain scan."""
+    rnd, rows, want = random.Random(5), [], {}
+    for source in "ab":
+        rain, past = 0.0, {}
+        for step in range(70):
+            # the third sensor is away for blocks at a time, the rain gauge reports once in a while
+            there = ["x", "y"] + (["z"] if step < 9 or step > 50 else []) + (["r"] if step % 17 == 3 else [])
+            now = []
+            for i, sensor in enumerate(there):
+                if sensor == "r":
+                    value = rnd.choice([0.0, 5.0])
+                    rain, flag = value, None
+                else:
+                    value = {"x": 0.3 if step > 20 else rnd.random() / 2, "y": rnd.random() / 2, "z": 0.21}[sensor]
+                    flag = "SYNTHETIC_CORRUPTED" if rnd.random() < 0.1 else None
+                now.append((sensor, value, flag))
+                rows.append(reading(step, value, "precipitation" if sensor == "r" else VWC, 5.0, source, sensor, flag, i))
+            for sensor, value, flag in now:
+                if flag is None:
+                    seen = past.setdefault(sensor, [])
+                    jump = bool(seen) and abs(value - seen[-1]) > 0.15 and not rain > 0.2
+                    seen.append(value)
+                    last = seen[-12:]
+                    flat = len(last) == 12 and max(last) - last[0] <= 1e-5 and last[0] - min(last) <= 1e-5
+                    flat = flat and not (sensor == "r" and last[0] == 0.0)
+                    flag = "SUSPECT_SPIKE" if jump and sensor != "r" else "SUSPECT_STUCK" if flat else "VALID"
+                want[source, step + 1, sensor] = flag
+    readings = spark.createDataFrame(rows, READING)
+    got = lambda df: {(r.source_id, r.event_rn, r.sensor_id): r.qc_flag for r in df.collect()}
+    assert got(qc.check_long(readings, ["event_time"], TINY)) == want
+    numbered = readings.withColumn("number", (F.unix_timestamp("event_time") - F.lit(int(T0.replace(tzinfo=dt.timezone.utc).timestamp()))) / 3600 + 1)
+    numbered = numbered.withColumn("number", F.col("number").cast("long"))
+    dealt = numbered.withColumn("event_block", F.floor((F.col("number") - 1) / 12).cast("long")).repartition("source_id", "event_block")
+    checked = qc.check_long(numbered, ["number"], TINY, position="number", dealt=dealt)
+    assert got(checked) == want
+    summary = qc.summarise_events(checked, ["source_id", "event_block", "event_rn"])
+    # the readings are not dealt by sensor (but for the few before a block), nor again by event
+    dealings = re.findall(r"Exchange hashpartitioning\(([^)]*)\)", summary._jdf.queryExecution().executedPlan().toString())
+    assert not [d for d in dealings if "event_rn" in d]
+    assert len([d for d in dealings if "sensor_id" in d]) == 2
