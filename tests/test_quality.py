@@ -12,7 +12,7 @@ from loamline.operators import decision as D
 from loamline.operators import qc
 from loamline.operators.filters import FilterRules, filter_alerts
 from loamline.operators.state import build_states, check_sites
-from loamline.plans import operational
+from loamline.plans import operational, robustness
 
 TINY = Layout(bucket_seconds=6 * 3600, block_rows=12)
 T0 = dt.datetime(2023, 6, 1)
@@ -208,3 +208,25 @@ def test_long_check_in_blocks_moves_readings_once(spark):
     dealings = re.findall(r"Exchange hashpartitioning\(([^)]*)\)", summary._jdf.queryExecution().executedPlan().toString())
     assert not [d for d in dealings if "event_rn" in d]
     assert len([d for d in dealings if "sensor_id" in d]) == 2
+
+
+def test_packet_loss_orders_events_once(spark, monkeypatch):
+    """The copies of an event carry its position, not the columns of the order; events without a station are counted, too."""
+    written = {}
+    plain = robustness.stage
+    monkeypatch.setattr(robustness, "stage", lambda df, label: written.setdefault(label, plain(df, label)))
+    rows = [(s, T0 + dt.timedelta(hours=i // 2), None if i == 7 else i % 2, 0.2 + i / 1000)
+            for s in ("a", None) for i in range(20)]
+    frame = spark.createDataFrame(rows, "source_id string, event_time timestamp, nr int, v double").select(
+        "source_id", "event_time", "nr", *[F.col("v").alias(f"soil_moisture_{d}cm") for d in (5, 10, 20, 50, 100)])
+    twice = frame.unionByName(frame)
+    out = robustness.packet_loss_table(twice, ["event_time", "nr"], [F.col("nr").cast("string"), F.col("event_time").cast("string")],
+                                       rates=(0.0, 0.5), layout=TINY)
+    got = {r.loss: r for r in out.collect()}
+    assert got[0.0].received == 80 and got[0.0].quarantined == 0 and got[0.0].states == 80
+    assert 0 < got[0.5].received < 80 and got[0.5].states == got[0.5].received
+    assert {r.state_mae for r in got.values()} == {0.0}
+    assert set(written) == {"ordered", "loss"} and not {"event_time", "nr"} & set(written["loss"].columns)
+    # the second of two equal events has the truth of both, one of unknown order has none
+    places = {r[0] for r in written["loss"].where("loss = 0 AND station = 'a'").select("_same").collect()}
+    assert places - {None} == {p for p in range(1, 41, 2) if p in places} and None in places
