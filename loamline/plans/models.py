@@ -22,22 +22,27 @@ from loamline.schemas import HORIZONS
 from loamline.stage import stage
 
 WEATHER = ["event_time", "precip_mm", "solar_rad_wm2", "air_temp_c"]
+# What every plan needs of a series' rows: their place in it and in the layout.
+PLACE = ["source_id", "split", "is_train", "rn", "n", "n_all", "block"]
 AR, ARX = "M1_AUTOREGRESSIVE", "M2_ENVIRONMENTAL_ARX"
 HYBRID_HOURS = 48
 
 
 def featured_series(rows: DataFrame, order: Sequence[str], target: Column | None = None,
                     horizons: Sequence[int] = HORIZONS, fraction: float = 0.5, oracle: bool = False,
-                    layout: Layout = DEFAULT, scored: bool = True) -> DataFrame:
+                    layout: Layout = DEFAULT, scored: bool = True, columns: Sequence[str] | None = None) -> DataFrame:
     """Valid states, split, with features and targets; ``y`` is root-zone moisture unless a column is given.
 
-    With ``scored``, series too short to be scored at every horizon are left out, as the experiments do.
+    With ``scored``, series too short to be scored at every horizon are left out, as the experiments do. ``columns`` names those
+    that a plan reads beside ``PLACE``, ``y`` and the targets; the written table has only them, where it is given.
     """
     keep = ["theta_rz", "soil_moisture_10cm", *WEATHER]
     series = split_states(rows, order, keep, fraction, layout)
     series = long_enough(series, horizons) if scored else series
     y = target if target is not None else F.col("theta_rz")
     featured = with_features(series.withColumn("y", y), horizons, oracle=oracle, layout=layout)
+    if columns is not None:
+        featured = featured.select(*PLACE, "y", *[f"y_{h}" for h in horizons], *columns)
     return stage(featured.drop("core"), "features")
 
 

@@ -16,6 +16,7 @@ from loamline.operators import uncertainty as U
 from loamline.operators.features import AR_FEATURES, ARX_FEATURES, Feature, compiled, feature_list, reach, with_features
 from loamline.operators.running import index_rows
 from loamline.operators.series import chronological_split, with_targets, with_targets_by_time
+from loamline.plans import models
 from loamline.stage import stage
 
 TINY = Layout(bucket_seconds=5 * 86400, block_rows=300, value_width=0.01)
@@ -205,3 +206,15 @@ def test_feature_lists_compile_to_causal_windows(spark):
                 lambda: compiled(df, [Feature("y", "rain", 1)]), lambda: compiled(df, [Feature("x", "y", 1), Feature("x", "y", 2)])):
         with pytest.raises(ValueError):
             bad()
+
+
+def test_featured_series_writes_what_its_plan_reads(spark):
+    rows = [("s", i, 0.2 + (i % 9) / 100) for i in range(300)]
+    frame = spark.createDataFrame(rows, "source_id string, i int, soil_moisture_10cm double").select(
+        "*", (F.lit(1.6e9).cast("long") + F.col("i") * 3600).cast("timestamp").alias("event_time"),
+        *[F.col("soil_moisture_10cm").alias(f"soil_moisture_{d}cm") for d in (5, 20, 50, 100)],
+        F.lit(0.0).alias("precip_mm"), F.lit(10.0).alias("solar_rad_wm2"), F.lit(5.0).alias("air_temp_c"))
+    whole = models.featured_series(frame, ["event_time"], horizons=(1, 6))
+    few = models.featured_series(frame, ["event_time"], horizons=(1, 6), columns=["regime"])
+    assert set(few.columns) == {*models.PLACE, "y", "y_1", "y_6", "regime"} < set(whole.columns)
+    assert sorted(map(str, few.collect())) == sorted(map(str, whole.select(*few.columns).collect()))
