@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from loamline.layout import Layout
 from loamline.operators.filters import FilterRules, filter_alerts
-from loamline.operators.running import block_window, core_rows, deal, previous, running
+from loamline.operators.running import block_window, core_rows, deal, index_rows, previous, running
 from loamline.operators.uncertainty import exceedance
 
 TINY = Layout(bucket_seconds=86400, block_rows=16, value_width=0.05)
@@ -37,7 +37,7 @@ def frame(spark, rows):
 
 
 def test_dealt_rows_have_exact_positions_and_neighbours(spark, rows):
-    odd = [(None, "2024-01-01 00:00:00", -1, 1.0), (3, None, -2, 1.0)]
+    odd = [(None, "2024-01-01 00:00:00", -1, 1.0)]
     dealt, few = deal(frame(spark, rows + odd), ["k"], ["t", "id"], TINY, before=5, after=7)
     w = block_window(["k"])
     got = core_rows(dealt.withColumns({"lag": F.lag("id", 5).over(w), "lead": F.lead("id", 7).over(w)})).collect()
@@ -51,6 +51,23 @@ def test_dealt_rows_have_exact_positions_and_neighbours(spark, rows):
         assert r.lead == (ids[r.rn + 6] if r.rn + 6 < len(ids) else None)
 
 
+@pytest.mark.parametrize("layout", [TINY, Layout()])
+def test_dealt_positions_equal_numbered_ones_with_nulls(spark, rows, layout):
+    """Rows without a time are left out, but count before the others, as in ``index_rows``."""
+    odd = [(k, None, -1 - i, 1.0) for i, k in enumerate([0] * 40 + [3, 3, 5, None])] + [(None, "2024-01-01 00:00:00", -100, 1.0), (77, None, -101, 1.0)]
+    df = frame(spark, rows + odd)
+    want = {r.id: (r.k, r.rn, r.n) for r in index_rows(df, ["k"], ["t", "id"], layout).collect()}
+    dealt = deal(df, ["k"], ["t", "id"], layout, before=5, after=7)[0]
+    got = {r.id: (r.k, r.rn, r.n) for r in core_rows(dealt).collect()}
+    assert got == want and len(got) == len(rows)
+    w = block_window(["k"])
+    items = in_order(rows)
+    for r in core_rows(dealt.withColumns({"lag": F.lag("id", 5).over(w), "lead": F.lead("id", 7).over(w)})).collect():
+        ids = [x[2] for x in items[r.k]]
+        i = ids.index(r.id)
+        assert r.lag == (ids[i - 5] if i >= 5 else None) and r.lead == (ids[i + 7] if i + 7 < len(ids) else None)
+
+
 @pytest.mark.parametrize("layout", [TINY, Layout()])
 def test_running_and_previous_values_over_sized_blocks(spark, rows, layout):
     dealt, few = deal(frame(spark, rows), ["k"], ["t", "id"], layout)
