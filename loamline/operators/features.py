@@ -76,7 +76,7 @@ def fill_both_ways(df: DataFrame, columns: Sequence[str], keys: Sequence[str] =
     values = {f"_f_{c}": ("last", c) for c in columns}
     if leading:
         values |= {f"_b_{c}": ("first_after", c) for c in columns}
-    filled = running(blocks, keys, values)
+    filled = running(blocks, keys, values, few=None if layout.whole else True)
     fill = {c: F.coalesce(F.col(f"_f_{c}"), F.col(f"_b_{c}")) if leading else F.col(f"_f_{c}") for c in columns}
     return filled.withColumns(fill).drop(*values, "block")
 

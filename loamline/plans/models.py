@@ -19,7 +19,7 @@ from loamline.operators.running import attach
 from loamline.operators.series import KEYS, by_horizon, long_enough
 from loamline.plans.walk_forward import split_states
 from loamline.schemas import HORIZONS
-from loamline.stage import stage
+from loamline.stage import stage, stage_dealt
 
 WEATHER = ["event_time", "precip_mm", "solar_rad_wm2", "air_temp_c"]
 # What every plan needs of a series' rows: their place in it and in the layout.
@@ -43,7 +43,7 @@ def featured_series(rows: DataFrame, order: Sequence[str], target: Column | None
     featured = with_features(series.withColumn("y", y), horizons, oracle=oracle, layout=layout)
     if columns is not None:
         featured = featured.select(*PLACE, "y", *[f"y_{h}" for h in horizons], *columns)
-    return stage(featured.drop("core"), "features")
+    return stage_dealt(featured.drop("core"), "features") if layout.whole else stage(featured.drop("core"), "features")
 
 
 def map_of(df: DataFrame, key: Column, fields: Sequence[str], name: str) -> DataFrame:
@@ -102,7 +102,7 @@ def ladder_points(featured: DataFrame, horizons: Sequence[int], bounds, fraction
     weights = stage(ridge.fit(featured, horizons, level), "weights")
     learnt = per_model(weights, [AR, ARX], ["bias", "weights"], "w")
     if intervals:
-        residual = U.residual_counts(featured, horizons)
+        residual = U.residual_counts(featured, horizons, layout=layout)
         b0 = exact_quantiles(residual, ["source_id", "horizon"], "residual", {"q10": 0.1, "q90": 0.9}, layout, None,
                              "weight").withColumn("model", F.lit("B0_PERSISTENCE"))
         own = in_sample_spread(featured, weights, horizons, bounds, layout)
@@ -111,7 +111,7 @@ def ladder_points(featured: DataFrame, horizons: Sequence[int], bounds, fraction
             per_model(spread, ["B0_PERSISTENCE", AR, ARX], ["q10", "q90"], "spread"), "source_id", "full",
         )
     params = for_test_rows(learnt, train_summary(featured), fraction)
-    level_rows = ewma(featured, 0.15, bounds=bounds, seeds=last_train_values(featured), layout=layout)
+    level_rows = ewma(featured.where(~F.col("is_train")) if layout.whole else featured, 0.15, bounds=bounds, seeds=last_train_values(featured), layout=layout)
     test = attach(level_rows.where(~F.col("is_train")).withColumnRenamed("point", "ewma"), params, KEYS, layout=layout)
     keep = ["source_id", "y", "ewma", "train_mean", "regime", *ARX_FEATURES, *also]
     pairs = by_horizon(test, horizons, keep, maps=["w", *(["spread"] if intervals else [])])
@@ -200,8 +200,9 @@ METHODS = ["U0_STATIC_QUANTILES", "U1_HORIZON_DISPERSION_MAD", "U2_REGIME_CONDIT
 def interval_params(featured: DataFrame, horizons: Sequence[int], coverages: Sequence[float], fraction: float,
                     layout: Layout = DEFAULT, methods: Sequence[str] = METHODS) -> DataFrame:
     """Parameters of the wanted calibrators, one row per station keyed to its test series."""
-    r = U.ranked(U.residual_counts(featured, horizons, ["regime"]), layout)
-    fitted = stage(U.fit_all(r, coverages), "fitted")
+    residuals = U.residual_counts(featured, horizons, ["regime"], layout)
+    r = None if layout.whole else U.ranked(residuals, layout)
+    fitted = stage(U.fit_groups(residuals, coverages, layout) if layout.whole else U.fit_all(r, coverages), "fitted")
     whole = fitted.where(F.col("regime") == U.ALL)
     names = list(U.interval_probs(coverages))
     out = None
@@ -209,7 +210,8 @@ def interval_params(featured: DataFrame, horizons: Sequence[int], coverages: Seq
     if METHODS[0] in methods:
         parts.append(map_of(whole, F.col("horizon"), names, "u0"))
     if METHODS[1] in methods:
-        parts.append(map_of(U.dispersion_of(r, fitted), F.col("horizon"), ["bias", "scale"], "u1"))
+        spread = U.fit_dispersion(residuals, layout) if layout.whole else U.dispersion_of(r, fitted)
+        parts.append(map_of(spread, F.col("horizon"), ["bias", "scale"], "u1"))
     if METHODS[2] in methods:
         entry = F.struct("regime", F.struct(*names))
         regimes = fitted.groupBy("source_id", "horizon").agg(F.map_from_entries(F.collect_list(entry)).alias("by_regime"))
