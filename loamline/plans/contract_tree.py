@@ -70,7 +70,8 @@ def _is(part: Leaf, x: Column) -> Column:
 
 def _joined(texts: Sequence[Column]) -> Column:
     """Faults, one a line; null where there are none. ``texts`` are strings or arrays of them, null for none."""
-    return F.nullif(F.concat_ws("\n", *texts), F.lit("")) if texts else F.lit(None).cast("string")
+    # not F.nullif: inside a lambda it would compute the text twice, at each level again
+    return let(F.concat_ws("\n", *texts), lambda t: F.when(t != "", t)) if texts else F.lit(None).cast("string")
 
 
 def _texts(faults: Sequence[tuple[str, str, Column]]) -> Column:
@@ -79,6 +80,8 @@ def _texts(faults: Sequence[tuple[str, str, Column]]) -> Column:
 
 
 def _leaf_faults(path: str, part: Leaf, v: Column) -> Column:
+    if part == Leaf(part.kind, part.required, part.nullable, keep_null=part.keep_null) and part.kind in ("text", "number", "flag"):
+        return F.lit(None).cast("string")  # its kind is its only rule
     return let(F.try_variant_get(v, "$", SQL_TYPES[part.kind]), lambda x: _value_faults(path, part, x))
 
 
@@ -183,9 +186,26 @@ def _written(part: Leaf | Obj | List, x: Column) -> Column:
     return F.when(x.isNotNull(), let(F.to_json(F.struct(x.alias("x"))), lambda alone: F.substr(alone, F.lit(6), F.length(alone) - 6)))
 
 
+def _keeps_null(part: Leaf | Obj | List) -> bool:
+    children = part.fields.values() if isinstance(part, Obj) else [part.item] if isinstance(part, List) else []
+    return getattr(part, "keep_null", False) or any(_keeps_null(child) for child in children)
+
+
+def _arranged(part: Leaf | Obj | List, x: Column) -> Column:
+    """A value with the contract's fields in their order, null where there is nothing to write."""
+    if isinstance(part, Obj):
+        inside = {name: _arranged(child, x[name]) for name, child in part.fields.items()}
+        some = F.coalesce(*[F.when(c.isNotNull(), True) for c in inside.values()], F.lit(False))
+        return F.when(x.isNotNull() & some, F.struct(*[c.alias(name) for name, c in inside.items()]))
+    if isinstance(part, List):
+        return F.transform(x, lambda y: _arranged(part.item, y))
+    return x.cast({"integer": "bigint", "flag": "boolean"}[part.kind]) if part.kind in ("integer", "flag") else x
+
+
 def json_of(contract: Obj, record: Column) -> Column:
-    """JSON of a struct with the contract's fields, in their order."""
-    return _written(contract, record)
+    """JSON of a struct with the contract's fields, in their order. Spark's writer leaves nulls out, so it writes a whole record at once
+    unless a part keeps its nulls."""
+    return _written(contract, record) if _keeps_null(contract) else F.to_json(_arranged(contract, record))
 
 
 _TEXT = Leaf(min_length=1)
@@ -206,9 +226,14 @@ TELEMETRY = Obj({
 
 
 def _unordered(v: Column) -> Column:
-    q = [F.try_variant_get(v, f"$.{n}", "double") for n in ("q10", "q25", "q50", "q75", "q90")]
-    known = F.array_compact(F.array(*q))
-    return F.array_sort(known) != known
+    names = ("q10", "q25", "q50", "q75", "q90")
+    # a value below one before it; those that are no number have no place in the order
+    def falls(known: Column) -> Column:
+        pairs = [F.get(known, k) > F.get(known, k + 1) for k in range(len(names) - 1)]
+        return F.coalesce(*[F.when(p, True) for p in pairs], F.lit(False))
+
+    opened = F.try_variant_get(v, "$", f"struct<{', '.join(f'{n}: double' for n in names)}>")
+    return let(opened, lambda q: let(F.filter(F.array(*[q[n] for n in names]), lambda x: x.isNotNull()), falls))
 
 
 FORECAST = Obj({

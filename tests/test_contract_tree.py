@@ -156,3 +156,38 @@ def test_several_faults_of_one_value_are_all_told(spark):
     assert out[0].violations == ["[x] is below one", "[x] is not a whole number", "[y] is odd", "[y] is shorter than 3"]
     assert out[1].violations == [] and out[1].is_valid
     assert out[2].violations == ["[root] is not a JSON object"]
+
+
+def optimised(df):
+    return df._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_faults_are_joined_once_and_records_written_at_once(spark):
+    """Each text of faults is computed once, not again at every level, and one writer makes the whole JSON of a record."""
+    raw = spark.createDataFrame([("{}",)], "value string")
+    joins = optimised(C.report(raw, C.FORECAST)).count("concat_ws")
+    parts = lambda p: 1 + (sum(map(parts, p.fields.values())) if isinstance(p, C.Obj) else parts(p.item) if isinstance(p, C.List) else 0)
+    assert 0 < joins <= 2 * parts(C.FORECAST)
+    rows = spark.sql("select 's' source_id, timestamp'2024-01-01' event_time, 1 horizon, timestamp'2024-01-01 01:00:00' valid_time, 0.5d point, "
+                     "0.1d q10, 0.2d q25, 0.3d q50, 0.4d q75, 0.5d q90 from range(2)")
+    plan = optimised(C.as_json(C.forecast_records(rows, "M", "mm"), C.FORECAST)).lower()
+    assert plan.count("to_json") + plan.count("structstojson") == 1
+
+
+def test_records_are_written_as_part_by_part(spark):
+    part = C.Obj({"a": C.Leaf("integer"), "b": C.Leaf(), "o": C.Obj({"x": C.Leaf("number"), "f": C.Leaf("flag")}), "l": C.List(C.Obj({"t": C.Leaf()}))})
+    kind = "r struct<l:array<struct<t:string>>, b:string, a:double, o:struct<x:double,f:boolean>>"
+    values = [([("é\"\\\n",), (None,), None], "q", 3.0, (0.1, None)), (None, None, None, (None, None)), ([], "", None, None), None,
+              (None, " /", 7.9, (float("nan"), True)), ([("t",)], None, -0.0, (1e-7, False)), (None, None, None, (float("inf"), None))]
+    df = spark.createDataFrame([(v,) for v in values], kind)
+    got = df.select(C.json_of(part, F.col("r")).alias("now"), C._written(part, F.col("r")).alias("was")).collect()
+    assert [r.now for r in got] == [r.was for r in got]
+
+
+@pytest.mark.parametrize("quantiles,bad", [('{"q10":1,"q25":2}', False), ('{"q10":2,"q25":1}', True), ('{"q10":2,"q50":null,"q90":1}', True),
+                                           ('{"q10":"x","q25":1,"q50":"0.5"}', True), ('{"q10":1,"q25":1.0,"q90":true}', None), ("{}", False)])
+def test_order_of_quantiles(spark, quantiles, bad):
+    v = F.parse_json(F.lit(quantiles))
+    known = F.array_compact(F.array(*[F.try_variant_get(v, f"$.{n}", "double") for n in ("q10", "q25", "q50", "q75", "q90")]))
+    now, was = spark.range(1).select(C._unordered(v), F.array_sort(known) != known).first()
+    assert now == was and bad in (None, now)
