@@ -87,6 +87,21 @@ def test_suffix_order(chunk, monkeypatch):
             assert prefix[i] == m
 
 
+@pytest.mark.parametrize("limit", [3, 7, 20, 100])
+def test_suffix_order_in_memory_equals_the_external_one(limit, monkeypatch):
+    rng = np.random.default_rng(limit)
+    texts = [rng.integers(0, k, 3000).astype(np.uint8) for k in (1, 2, 256)]
+    texts += [np.tile(rng.integers(200, 256, 137).astype(np.uint8), 20), np.concatenate([texts[1][:900], texts[2][:50], texts[1][:900], texts[2][:60]])]
+
+    def ordered(text, memory):
+        with external_sort.Scratch(memory) as scratch:
+            return [np.array(x).tolist() for x in external_sort.suffix_order(text, 256, scratch, limit)]
+
+    external = [ordered(text, 5000) for text in texts]
+    monkeypatch.setattr(external_sort, "_induce", None)  # not needed for a text in memory
+    assert [ordered(text, 1 << 20) for text in texts] == external
+
+
 @pytest.mark.parametrize("name,blanks", [("word_bpe_49k.json", "dropped"), ("byte_bpe_50k.json", "joined")])
 def test_pieces_give_the_library_ids(name, blanks):
     public = pytest.importorskip("public_tokenizers")
